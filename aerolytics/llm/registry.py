@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sharding
+from . import chat, fingerprints, mixing, sharding
 from .common import table
 
 SHARDS = 24
@@ -20,5 +20,13 @@ def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_shard": op2_shard, "op5_mix": op5_mix}
-ORACLE: dict[str, str] = {}
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.collapse(table(spark, sf_dir, "conversations"))
+
+
+def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_shard": op2_shard, "op5_mix": op5_mix, "op7_chat": op7_chat, "op10_fingerprint": op10_fingerprint}
+ORACLE: dict[str, str] = {"op7_chat": chat.ORACLE}
