@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, fingerprints, mixing, ngram_join, sharding
+from . import chat, fingerprints, mixing, ngram_join, sharding, toxicity
 from .common import table
 
 SHARDS = 24
@@ -16,6 +16,11 @@ def op2_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), sharding.ShardTree.of(SHARDS))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
@@ -32,5 +37,5 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_shard": op2_shard, "op5_mix": op5_mix, "op7_chat": op7_chat, "op8_ngram_join": op8_ngram_join, "op10_fingerprint": op10_fingerprint}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_shard": op2_shard, "op3_toxicity": op3_toxicity, "op5_mix": op5_mix, "op7_chat": op7_chat, "op8_ngram_join": op8_ngram_join, "op10_fingerprint": op10_fingerprint}
 ORACLE: dict[str, str] = {"op7_chat": chat.ORACLE}
