@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, fingerprints, mixing, ngram_join, sharding, toxicity
+from . import chat, fingerprints, mixing, ngram_join, quality, sharding, toxicity
 from .common import table
 
 SHARDS = 24
@@ -33,9 +33,14 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.scored(docs, quality.train(docs))
+
+
 def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_shard": op2_shard, "op3_toxicity": op3_toxicity, "op5_mix": op5_mix, "op7_chat": op7_chat, "op8_ngram_join": op8_ngram_join, "op10_fingerprint": op10_fingerprint}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_shard": op2_shard, "op3_toxicity": op3_toxicity, "op5_mix": op5_mix, "op7_chat": op7_chat, "op8_ngram_join": op8_ngram_join, "op9_quality": op9_quality, "op10_fingerprint": op10_fingerprint}
 ORACLE: dict[str, str] = {"op7_chat": chat.ORACLE}
