@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, fingerprints, mixing, ngram_join, quality, sharding, toxicity
+from . import chat, decontaminate, fingerprints, mixing, ngram_join, quality, sharding, toxicity
 from .common import table
 
 SHARDS = 24
@@ -25,6 +25,10 @@ def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.collapse(table(spark, sf_dir, "conversations"))
 
@@ -42,5 +46,5 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_shard": op2_shard, "op3_toxicity": op3_toxicity, "op5_mix": op5_mix, "op7_chat": op7_chat, "op8_ngram_join": op8_ngram_join, "op9_quality": op9_quality, "op10_fingerprint": op10_fingerprint}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_shard": op2_shard, "op3_toxicity": op3_toxicity, "op5_mix": op5_mix, "op6_decontaminate": op6_decontaminate, "op7_chat": op7_chat, "op8_ngram_join": op8_ngram_join, "op9_quality": op9_quality, "op10_fingerprint": op10_fingerprint}
 ORACLE: dict[str, str] = {"op7_chat": chat.ORACLE}
