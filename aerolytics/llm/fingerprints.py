@@ -1,7 +1,7 @@
 """Document fingerprints from closed syncmers, in DataFrame functions only.
 
-A text is read as tokens: runs without ASCII white space, cut after `run` code points, and single characters of
-scripts that do not put spaces between words; in a short text every character is a token as well. A k-mer of tokens is chosen when the least hash among its inner s-mers stands at
+A text is read as tokens: runs without ASCII white space; a run above `run` bytes is cut after as many code points and
+around single characters of scripts that do not put spaces between words. In a short text every character is a token as well. A k-mer of tokens is chosen when the least hash among its inner s-mers stands at
 its first or last place (a closed syncmer). Whether a k-mer is chosen depends on that k-mer alone, so an edit moves
 no choice beyond the k-mers that hold it, and chosen k-mers are anchors for positional matching (`anchors`).
 The fingerprint is the `keep` least distinct hashes of the chosen k-mers, eight hex digits each, in order. The
@@ -36,53 +36,62 @@ class Syncmers:
         return rf"[{_UNSPACED}]|[^\x20\x09-\x0D{_UNSPACED}]{{1,{self.run}}}"
 
 
-def _least(array: Column, keep: int) -> Column:
-    return F.slice(F.array_sort(F.array_distinct(array)), 1, keep)
+#: Each of these reads columns of the projection below, so that no array is worked out twice.
+def _split(text: Column) -> Column:
+    return F.split(F.btrim(text, F.lit(" \t\n\x0b\f\r")), r"[\x20\x09-\x0D]+")
 
 
-def _smers(text: Column, p: Syncmers, pattern: str | None = None) -> Column:
-    tokens = F.transform(F.regexp_extract_all(text, F.lit(pattern or p.pattern), F.lit(0)), lambda t: F.xxhash64(t))
-    n = F.size(tokens) - (p.s - 1)
-    return F.when(n > 0, F.transform(F.arrays_zip(*[F.slice(tokens, 1 + i, F.greatest(n, F.lit(0))).alias(f"t{i}") for i in range(p.s)]), lambda z: F.xxhash64(*[z[f"t{i}"] for i in range(p.s)]))).otherwise(F.array().cast("array<bigint>"))
+def _tokens(runs: str, p: Syncmers) -> Column:
+    """Hashes of the tokens of an array of runs; runs above p.run bytes are cut."""
+    r = F.col(runs)
+    cut = F.flatten(F.transform(r, lambda t: F.when(F.octet_length(t) > p.run, F.regexp_extract_all(t, F.lit(p.pattern), F.lit(0))).otherwise(F.array(t))))
+    return F.transform(F.when(F.exists(r, lambda t: F.octet_length(t) > p.run), cut).otherwise(r), lambda t: F.xxhash64(t))
 
 
-def _windows(smers: Column, p: Syncmers) -> Column:
-    """For each k-mer the hashes of its s-mers."""
-    w = p.k - p.s + 1
-    n = F.greatest(F.size(smers) - (w - 1), F.lit(0))
-    return F.arrays_zip(*[F.slice(smers, 1 + i, n).alias(f"s{i}") for i in range(w)])
+def _characters(text: Column, p: Syncmers) -> Column:
+    return F.when(F.char_length(text) <= p.short, F.transform(F.split(text, ""), lambda t: F.xxhash64(t))).otherwise(F.array().cast("array<bigint>"))
 
 
-def _closed(z: Column, p: Syncmers) -> Column:
-    w = p.k - p.s + 1
-    ends = F.least(z["s0"], z[f"s{w - 1}"])
-    inner = [z[f"s{i}"] for i in range(1, w - 1)]
-    return ends <= (F.least(*inner) if len(inner) > 1 else inner[0]) if inner else F.lit(True)
+def _smers(tokens: str, p: Syncmers) -> Column:
+    """Hashes of s tokens in a row; null where the array ends."""
+    t = F.col(tokens)
+    return F.transform(t, lambda x, i: F.when(i + (p.s - 1) < F.size(t), F.xxhash64(x, *[F.get(t, i + j) for j in range(1, p.s)])))
 
 
-def _code(z: Column, p: Syncmers) -> Column:
-    """32 bits of a k-mer, which its s-mers determine."""
-    return F.shiftrightunsigned(F.xxhash64(*[z[f"s{i}"] for i in range(p.k - p.s + 1)]), 32)
+def _chosen(smers: str, p: Syncmers, bits: int) -> Column:
+    """For each k-mer the first `bits` bits of its hash (which its s-mers determine), or null where it is not a closed syncmer."""
+    m, w = F.col(smers), p.k - p.s + 1
+
+    def one(x: Column, i: Column) -> Column:
+        rest = [F.get(m, i + j) for j in range(1, w)]
+        inner = rest[:-1]
+        code = F.xxhash64(x, *rest)
+        closed = F.lit(True) if not inner else F.least(x, rest[-1]) <= (F.least(*inner) if len(inner) > 1 else inner[0])
+        return F.when(rest[-1].isNotNull() & closed, F.shiftrightunsigned(code, 64 - bits) if bits < 64 else code)
+
+    return F.transform(m, one)
 
 
 def sketch(docs: DataFrame, texts: dict[str, str], p: Syncmers = Syncmers()) -> DataFrame:  # noqa: B008
     """docs with, for each name -> text column in `texts`, the array of the least hashes of its syncmers."""
-    none = F.array().cast("array<bigint>")
-    body = {n: F.coalesce(F.col(c), F.lit("")) for n, c in texts.items()}
-    d = docs.withColumns({f"_w_{n}": _smers(b, p) for n, b in body.items()} | {f"_c_{n}": F.when(F.char_length(b) <= p.short, _smers(b, p, "(?s).")).otherwise(none) for n, b in body.items()})
-    for n, b in body.items():
-        chosen = F.concat(*[F.transform(F.filter(_windows(F.col(f"_{x}_{n}"), p), lambda z: _closed(z, p)), lambda z: _code(z, p)) for x in "wc"])
+    d = docs
+    for n, c in texts.items():
+        body = F.coalesce(F.col(c), F.lit(""))
+        d = d.withColumns({"_w": _split(body), "_c": _characters(body, p)}).withColumn("_w", _tokens("_w", p))
+        for step in (_smers, lambda a, p: _chosen(a, p, 32)):
+            d = d.withColumns({a: step(a, p) for a in ("_w", "_c")})
+        distinct = F.array_except(F.when(F.size("_c") > 0, F.concat("_w", "_c")).otherwise(F.col("_w")), F.array(F.lit(None).cast("bigint")))
+        d = d.withColumn(n, F.slice(F.sort_array(distinct), 1, p.keep)).drop("_w", "_c")
         # too few tokens for a k-mer: the whole text stands for itself
-        d = d.withColumn(n, _least(chosen, p.keep)).withColumn(n, F.when(F.size(n) > 0, F.col(n)).otherwise(F.array(F.shiftrightunsigned(F.xxhash64(F.lit("whole"), b), 32))))
-    return d.drop(*[f"_{x}_{n}" for n in texts for x in "wc"])
+        d = d.withColumn(n, F.when(F.size(n) > 0, F.col(n)).otherwise(F.array(F.shiftrightunsigned(F.xxhash64(F.lit("whole"), body), 32))))
+    return d
 
 
 def anchors(docs: DataFrame, text: str = "text", p: Syncmers = Syncmers()) -> DataFrame:  # noqa: B008
     """doc_id and, for each anchor, pos (of its first token, from 0) and hash: for positional matching by joins on hash."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    d = docs.select("doc_id", _smers(body, p).alias("m"))
-    marks = F.transform(_windows(F.col("m"), p), lambda z, i: F.struct(i.alias("pos"), F.when(_closed(z, p), F.xxhash64(*[z[f"s{j}"] for j in range(p.k - p.s + 1)])).alias("hash")))
-    return d.select("doc_id", F.explode(F.filter(marks, lambda z: z["hash"].isNotNull())).alias("a")).select("doc_id", "a.pos", "a.hash")
+    d = docs.select("doc_id", _split(F.coalesce(F.col(text), F.lit(""))).alias("m")).withColumn("m", _tokens("m", p))
+    d = d.withColumn("m", _smers("m", p)).withColumn("m", _chosen("m", p, 64))
+    return d.select("doc_id", F.posexplode("m").alias("pos", "hash")).filter("hash IS NOT NULL")
 
 
 def as_text(hashes: Column) -> Column:
@@ -90,7 +99,7 @@ def as_text(hashes: Column) -> Column:
 
 
 def likeness(a: Column, b: Column, p: Syncmers = Syncmers()) -> Column:  # noqa: B008
-    both = _least(F.concat(a, b), p.keep)
+    both = F.slice(F.sort_array(F.array_distinct(F.concat(a, b))), 1, p.keep)
     return F.size(F.array_intersect(F.array_intersect(both, a), b)) / F.size(both)
 
 
