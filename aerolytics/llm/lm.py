@@ -1,11 +1,13 @@
 """Language-model scores: a causal self-attention model over subword ids, trained in numpy.
 
-A text is a sequence of lower-cased words and one end. The model's probability of a word is a mixture of
+A text is a sequence of lower-cased words and one end. The model's probability of a word is a mixture, with weights
+fitted by EM on texts kept from the attention's training, of
   attention  the product over the word's subword ids (a public byte-level vocabulary, given by its path; never trained)
-             of a one-head causal self-attention model with a softmax over the most frequent ids, an escape to the
-             unigram of the other ids, and the end; and
-  words      the relative frequency of the word among the most frequent words of the training documents.
-Both are normalised, so the score of a text is a log10 probability. Texts are cut into overlapping windows: each
+             of a one-head causal self-attention model with a softmax over the most frequent ids, buckets of the
+             others (each with a unigram inside), and the end;
+  words      the relative frequency of the word among the most frequent words of the training documents; and
+  text       its relative frequency among the words of the text before it.
+All are normalised, so the score of a text is a log10 probability. Texts are cut into overlapping windows: each
 scores its last `stride` ids with at least `context` ids before them (fewer at a text's start), so every id is scored
 once, by batched masked attention over many windows at a time.
 
@@ -46,16 +48,22 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 @dataclass(frozen=True)
 class LM:
     vocabulary: str = VOCABULARY
-    width: int = 16
+    width: int = 24
     context: int = 4
     stride: int = 12
-    frequent: int = 254  # ids with an output of their own; then the escape and the end
+    frequent: int = 224  # ids with an output of their own
+    buckets: int = 63  # outputs for the other ids, by how they begin; then the end
     top_words: int = 1 << 20
-    start_rows: int = 400
+    start_rows: int = 1_500
+    start_ids: int = 2_500_000
     share: int = 48  # one in so many training documents trains the weights
     fold: int = 7
     held: int = 2
 
+    @property
+    def outputs(self) -> int:
+        return self.frequent + self.buckets + 1
+
     @property
     def window(self) -> int:
         return self.context + self.stride
@@ -69,9 +77,10 @@ class Subwords:
         table = dict(self._parse())
         self.size = max(table.values()) + 1
         self.end = self.size  # the id of an end
-        self.head = np.zeros(self.size, bool)
+        self.head, self.begins = np.zeros(self.size, bool), np.zeros(self.size, np.int64)
         for token, i in table.items():
             self.head[i] = token[:1] == b" "
+            self.begins[i] = 256 * self.head[i] + (token.removeprefix(b" ")[:1] or b" ")[0]
 
     def _parse(self) -> Iterator[tuple[bytes, int]]:
         for line in self.ranks.splitlines():
@@ -121,13 +130,27 @@ class Read:
         self.id_first = self.piece_first[self.word_first]
 
 
+    def so_far(self) -> np.ndarray:
+        """For each word: how often it occurs among the words of its text before it, by their number; 0 for ends and first words."""
+        n = np.diff(self.word_first)
+        text = np.repeat(np.arange(len(n)), n)
+        place = np.arange(len(self.word)) - self.word_first[:-1][text]
+        key = text * np.int64(len(self.distinct) + 1) + self.word
+        order = np.argsort(key, kind="stable")
+        new = np.append(True, key[order][1:] != key[order][:-1])
+        first = np.flatnonzero(new)
+        before = np.empty(len(key), np.int64)
+        before[order] = np.arange(len(key)) - np.repeat(first, np.diff(np.append(first, len(key))))
+        return before / np.maximum(place, 1)
+
+
 class Attention:
     """One head over windows of class numbers; classes: frequent ids, the escape, the end; the input has a start too."""
 
     NAMES = ("E", "P", "A", "B", "O", "c")
 
     def __init__(self, p: LM, log_unigram: np.ndarray, seed: int = 0):
-        r, d, n = np.random.default_rng(seed), p.width, p.frequent + 2
+        r, d, n = np.random.default_rng(seed), p.width, p.outputs
         self.p, self.n = p, n
         f = np.float32
         self.E, self.P = r.normal(0, 0.3, (n + 1, d)).astype(f), r.normal(0, 0.1, (p.window, d)).astype(f)
@@ -261,7 +284,7 @@ class Model:
     tokens: int = 0  # N
     kinds: int = 0  # V
     whole: bool = True  # whether top holds every training word
-    mixture: float = 0.5
+    mixture: tuple[float, float, float] = (0.4, 0.4, 0.2)  # attention, words, the text so far
 
     def counts(self, hashes: np.ndarray) -> np.ndarray:
         """Counts of words by the table of frequent ones, -1 where it has none."""
@@ -270,19 +293,39 @@ class Model:
         at = np.minimum(np.searchsorted(self.top, hashes), len(self.top) - 1)
         return np.where(self.top[at] == hashes, self.top_counts[at], -1)
 
-    def word_logs(self, r: Read) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(attention, words, counts): natural logs for each word and end of the batch, and counts of the distinct ones."""
-        classes = self.of_id[r.ids]
-        pieces = self.attention.score(classes, r.id_first) + self.log_rest[r.ids]
-        attention = np.add.reduceat(pieces.astype(np.float64), r.piece_first[:-1]) if len(pieces) else np.empty(0)
+    def word_logs(self, r: Read) -> tuple[np.ndarray, np.ndarray]:
+        """Natural logs of the three parts [part, word or end] of the batch, and counts of the distinct words and the end."""
+        ids = self.of_id[r.ids]
+        pieces = self.attention.score(ids, r.id_first) + self.log_rest[r.ids]
         counts = np.append(self.counts(r.distinct), self.ends)
         total = max(1, int(self.top_counts.sum()) + self.ends)
+        out = np.empty((3, len(r.word)))
         with np.errstate(divide="ignore"):
-            logs = np.log(np.maximum(counts, 0) / total)
-        return attention, logs[r.word], counts
+            out[0] = np.add.reduceat(pieces.astype(np.float64), r.piece_first[:-1]) if len(pieces) else 0
+            out[1] = np.log(np.maximum(counts, 0) / total)[r.word]
+            out[2] = np.log(r.so_far())
+        return out, counts
 
-    def mixed(self, attention: np.ndarray, known: np.ndarray) -> np.ndarray:
-        return np.logaddexp(math.log(self.mixture) + attention, math.log1p(-self.mixture) + known)
+    def mixed(self, logs: np.ndarray) -> np.ndarray:
+        return np.logaddexp.reduce(np.log(self.mixture)[:, None] + logs, axis=0)
+
+
+def classes(seen: np.ndarray, subwords: Subwords, p: LM) -> tuple[np.ndarray, np.ndarray]:
+    """(class, log probability given the class) of every subword id, from corpus counts: the most frequent ids have a
+    class each; the others share buckets by their first byte and whether they begin a word, the lightest buckets one."""
+    order = np.argsort(-seen[:-1], kind="stable")[: p.frequent]
+    of_id = np.full(subwords.size + 1, -1, np.int64)
+    of_id[order], of_id[subwords.end] = np.arange(len(order)), p.outputs - 1
+    rest = np.flatnonzero(of_id < 0)
+    weight = np.bincount(subwords.begins[rest], seen[rest] + 0.5, 512)
+    named = np.argsort(-weight, kind="stable")[: p.buckets - 1]
+    bucket = np.full(512, p.buckets - 1)
+    bucket[named] = np.arange(len(named))
+    of_id[rest] = p.frequent + bucket[subwords.begins[rest]]
+    log_rest = np.zeros(subwords.size + 1)
+    mass = np.bincount(of_id[rest], seen[rest] + 0.5, p.outputs)
+    log_rest[rest] = np.log((seen[rest] + 0.5) / mass[of_id[rest]])
+    return of_id, log_rest
 
 
 def _training(p: LM) -> Column:
@@ -330,16 +373,15 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([seen], pa.int64())], ["w", "n"])
 
 
-def _mixture(model: Model, texts: pa.Array) -> float:
-    """The weight of the attention part that fits texts it was not trained on best, by EM."""
-    if not len(texts):
-        return 0.5
-    attention, known, _ = model.word_logs(Read(texts, model.subwords))
-    lam = 0.5
-    for _ in range(40):
-        a, b = math.log(lam) + attention, math.log1p(-lam) + known
-        lam = float(np.clip(np.exp(a - np.logaddexp(a, b)).mean(), 0.02, 0.98))
-    return lam
+def _mixture(model: Model, texts: pa.Array) -> tuple[float, float, float]:
+    """The weights of the parts that fit texts which the attention was not trained on best, by EM."""
+    logs, _ = model.word_logs(Read(texts, model.subwords))
+    w = np.array(model.mixture)
+    for _ in range(60):
+        parts = np.log(w)[:, None] + logs
+        w = np.exp(parts - np.logaddexp.reduce(parts, axis=0)).mean(axis=1)
+        w = np.maximum(w, 0.01) / np.maximum(w, 0.01).sum()
+    return tuple(map(float, w))
 
 
 def train(docs: DataFrame, p: LM = LM()) -> tuple[Model, DataFrame]:  # noqa: B008
@@ -356,14 +398,8 @@ def train(docs: DataFrame, p: LM = LM()) -> tuple[Model, DataFrame]:  # noqa: B0
     ids = counts.filter("kind = 1").select("key", "n").toArrow()
     seen = np.zeros(subwords.size + 1, np.int64)
     seen[ids["key"].to_numpy()] = ids["n"].to_numpy()
-    order = np.argsort(-seen[:-1], kind="stable")[: p.frequent]
-    escape, end = p.frequent, p.frequent + 1
-    of_id = np.full(subwords.size + 1, escape, np.int64)
-    of_id[order], of_id[subwords.end] = np.arange(len(order)), end
-    rest = of_id == escape
-    log_rest = np.zeros(subwords.size + 1)
-    log_rest[rest] = np.log((seen[rest] + 0.5) / (seen[rest] + 0.5).sum())
-    by_class = np.bincount(of_id, seen + 0.01, p.frequent + 2)
+    of_id, log_rest = classes(seen, subwords, p)
+    by_class = np.bincount(of_id, seen + 0.01, p.outputs) + 1e-6
     model = Model(p, subwords, of_id, log_rest, Attention(p, np.log(by_class / by_class.sum())))
     # the most frequent words: the least count at which at most top_words words are left
     least = 1
@@ -386,15 +422,15 @@ def train(docs: DataFrame, p: LM = LM()) -> tuple[Model, DataFrame]:  # noqa: B0
         texts = pa.concat_arrays(sample.chunks) if isinstance(sample, pa.ChunkedArray) else sample
         cut = max(1, len(texts) * 4 // 5)
         r = Read(texts.slice(0, cut), subwords)
-        limit = r.id_first[min(len(r.id_first) - 1, max(1, int(np.searchsorted(r.id_first, 400_000))))]
+        limit = r.id_first[min(len(r.id_first) - 1, max(1, int(np.searchsorted(r.id_first, p.start_ids))))]
         keep = r.id_first[r.id_first <= limit]
-        model.attention.train(of_id[r.ids[:limit]], keep, 3, 0.01)
+        model.attention.train(of_id[r.ids[:limit]], keep, 2, 0.02)
         chosen = rows.filter(F.pmod(F.xxhash64(F.lit(12), F.col("doc_id").cast("string")), F.lit(p.share)) == 0).select("text")
         local = chosen.mapInArrow(_local(model), "w binary, n long").withColumn("g", F.pmod(F.spark_partition_id(), F.lit(64)))
         sums = local.repartition(min(64, int(spark.conf.get("spark.sql.shuffle.partitions"))), "g").select("w", "n").mapInArrow(_added, "w binary, n long").collect()
         held = texts.slice(cut) if cut < len(texts) else texts
         if sums:
-            loss = lambda: -float(model.word_logs(Read(held, subwords))[0].mean())
+            loss = lambda: -float(model.word_logs(Read(held, subwords))[0][0].mean())
             start, before = model.attention.weights(), loss()
             model.attention.load(sum(np.frombuffer(s["w"], np.float64) for s in sums) / sum(s["n"] for s in sums))
             if loss() > before:
@@ -411,9 +447,9 @@ def _scored(model: Model):
         kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
         for batch in split_bytes(batches):
             r = Read(batch.column(3), model.subwords)
-            attention, known, counts = model.word_logs(r)
+            logs, counts = model.word_logs(r)
             at = r.word_first[:-1]  # every text has its end, so no range is empty
-            score = np.add.reduceat(model.mixed(attention, known), at) / math.log(10)
+            score = np.add.reduceat(model.mixed(logs), at) / math.log(10)
             c = counts[r.word]
             n = np.diff(r.word_first)
             base = np.add.reduceat(np.log10(np.maximum(c, 0) + 1), at)

@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, fingerprints, mixing, ngram_join, quality, sharding, toxicity
+from . import chat, decontaminate, fingerprints, lm, mixing, ngram_join, quality, sharding, toxicity
 from .common import table
 
 SHARDS = 24
 
 
+def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), sharding.ShardTree.of(SHARDS))
 
@@ -46,5 +50,5 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_shard": op2_shard, "op3_toxicity": op3_toxicity, "op5_mix": op5_mix, "op6_decontaminate": op6_decontaminate, "op7_chat": op7_chat, "op8_ngram_join": op8_ngram_join, "op9_quality": op9_quality, "op10_fingerprint": op10_fingerprint}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_lm": op1_lm, "op2_shard": op2_shard, "op3_toxicity": op3_toxicity, "op5_mix": op5_mix, "op6_decontaminate": op6_decontaminate, "op7_chat": op7_chat, "op8_ngram_join": op8_ngram_join, "op9_quality": op9_quality, "op10_fingerprint": op10_fingerprint}
 ORACLE: dict[str, str] = {"op7_chat": chat.ORACLE}
