@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, fingerprints, lm, mixing, ngram_join, quality, sharding, toxicity
+from . import chat, decontaminate, fingerprints, lm, mixing, ngram_join, quality, sharding, suffix_dedup, toxicity
 from .common import table
 
 SHARDS = 24
@@ -25,6 +25,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
@@ -50,5 +54,5 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_lm": op1_lm, "op2_shard": op2_shard, "op3_toxicity": op3_toxicity, "op5_mix": op5_mix, "op6_decontaminate": op6_decontaminate, "op7_chat": op7_chat, "op8_ngram_join": op8_ngram_join, "op9_quality": op9_quality, "op10_fingerprint": op10_fingerprint}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_lm": op1_lm, "op2_shard": op2_shard, "op3_toxicity": op3_toxicity, "op4_suffix_dedup": op4_suffix_dedup, "op5_mix": op5_mix, "op6_decontaminate": op6_decontaminate, "op7_chat": op7_chat, "op8_ngram_join": op8_ngram_join, "op9_quality": op9_quality, "op10_fingerprint": op10_fingerprint}
 ORACLE: dict[str, str] = {"op7_chat": chat.ORACLE}
