@@ -21,7 +21,8 @@ The chance that a document's groups are so uneven that step 2 misses a pair is b
 
 Defined cases: words are runs of bytes other than ASCII white space, A-Z lower-cased; fewer than k words make one
 shingle of all; null or empty texts have an empty set and link with nothing; repeated rows are equal documents; equal
-doc_ids with different texts are separate nodes that answer to the same id; other columns are not read.
+doc_ids with different texts are separate nodes that answer to the same id; a null doc_id counts as larger than any
+and comes back null; other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import written
@@ -58,6 +60,13 @@ class Join:
         return self.den * both >= self.num * (a + b - both)
 
 
+_LAST = (1 << 63) - 1
+
+
+def _id():
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
+
+
 def _prints(s: np.ndarray) -> tuple[int, int]:
     """128 bits of a set, as two signed longs."""
     a = np.add.reduce(mix64(s)) + np.uint64(len(s))
@@ -89,7 +98,8 @@ def _classes(join: Join):
         for batch in split_bytes(batches):
             sets = shingle_sets(batch.column(1), join.k)
             f = [_prints(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in f], pa.int64()), pa.array([x for _, x in f], pa.int64())], ["doc_id", "n", "f1", "f2"])
+            columns = [[len(s) for s in sets], [x for x, _ in f], [x for _, x in f]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[pa.array(c, pa.int64()) for c in columns]], ["doc_id", "x", "n", "f1", "f2"])
 
     return run
 
@@ -241,13 +251,13 @@ def _verified(join: Join):
 
 
 def linked(docs: DataFrame, join: Join = Join()) -> DataFrame:  # noqa: B008
-    """doc_id, n_shingles, component_id (the least doc_id reachable by links, itself included), f1, f2 (the class)."""
+    """doc_id (null: _LAST), x (a hash of the text), n_shingles, component_id (the least doc_id reachable by links, itself included)."""
     spark = docs.sparkSession
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = written(d.mapInArrow(_classes(join), "doc_id long, n long, f1 long, f2 long"), "join-classes")
+    d = docs.select(_id().alias("doc_id"), "text", F.xxhash64("text").alias("x"))
+    rows = written(d.mapInArrow(_classes(join), "doc_id long, x long, n long, f1 long, f2 long"), "join-classes")
     reps = rows.filter("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("id"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    signed = d.mapInArrow(_signed(join), "sig long, f1 long, f2 long").repartition(parts, "sig")
+    signed = d.select("doc_id", "text").mapInArrow(_signed(join), "sig long, f1 long, f2 long").repartition(parts, "sig")
     stars = signed.mapInArrow(_stars, "a1 long, a2 long, b1 long, b2 long").distinct()
     ends = reps.select("f1", "f2", "id")
     edges = stars.join(ends.select(F.col("f1").alias("a1"), F.col("f2").alias("a2"), F.col("id").alias("a")), ["a1", "a2"])
@@ -267,9 +277,23 @@ def linked(docs: DataFrame, join: Join = Join()) -> DataFrame:  # noqa: B008
     links = components(dealt.mapInArrow(_verified(join), "a long, b long"))
     named = reps.join(links, "id", "left").select(F.col("f1").alias("_f1"), F.col("f2").alias("_f2"), F.coalesce("component", "id").alias("component_id"))
     out = rows.join(named, (F.col("f1") == F.col("_f1")) & (F.col("f2") == F.col("_f2")), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "f1", "f2")
+    return out.select("doc_id", "x", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def join_documents(docs: DataFrame, join: Join = Join()) -> DataFrame:  # noqa: B008
     """doc_id, n_shingles, component_id."""
-    return linked(docs, join).select("doc_id", "n_shingles", "component_id")
+    known = lambda c: F.when(F.col(c) != _LAST, F.col(c)).alias(c)
+    return linked(docs, join).select(known("doc_id"), "n_shingles", known("component_id"))
+
+
+def one_of_each(docs: DataFrame, join: Join = Join()) -> DataFrame:  # noqa: B008
+    """docs with one document of each group of linked ones, the least doc_id (of its texts the least by hash, once);
+    documents without words all stay. All columns are kept as they are."""
+    found = written(linked(docs, join), "join-components")
+    chosen = found.filter("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "x")).alias("c")).select("c.doc_id", "c.x", F.lit(1).alias("_most"))
+    empty = found.filter("n_shingles = 0").select("doc_id", "x").distinct().withColumn("_most", F.lit(None).cast("int"))
+    keep = chosen.unionByName(empty).select(F.col("doc_id").alias("_k"), F.col("x").alias("_kx"), "_most")
+    d = docs.withColumns({"_id": _id(), "_x": F.xxhash64("text")})
+    d = d.withColumn("_row", F.row_number().over(W.partitionBy("_id", "_x").orderBy("_x")))
+    d = d.join(keep, (F.col("_id") == F.col("_k")) & (F.col("_x") == F.col("_kx")))
+    return d.filter(F.col("_most").isNull() | (F.col("_row") == 1)).select(*[F.col(f"`{c}`") for c in docs.columns])

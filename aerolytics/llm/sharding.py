@@ -102,3 +102,8 @@ def shard_documents(docs: DataFrame, tree: ShardTree, key: str = "doc_id", text:
         shard_of(F.col(key), tree).alias("shard"), shard_of(F.col(key), tree.grown()).alias("grown_shard"),
     )
     return numbered(rows, "shard", "slot", buckets).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+def with_shards(docs: DataFrame, tree: ShardTree, key: str = "doc_id") -> DataFrame:
+    """docs with their shard (a column of that name is replaced): a projection, without any shuffle."""
+    return docs.withColumn("shard", shard_of(F.col(key), tree))
