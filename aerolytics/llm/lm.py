@@ -45,12 +45,15 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+STAGES = 10
+
+
 @dataclass(frozen=True)
 class LM:
     vocabulary: str = VOCABULARY
     width: int = 24
     context: int = 4
-    stride: int = 12
+    stride: int = 20
     frequent: int = 224  # ids with an output of their own
     buckets: int = 63  # outputs for the other ids, by how they begin; then the end
     top_words: int = 1 << 20
@@ -130,11 +133,18 @@ class Read:
         self.id_first = self.piece_first[self.word_first]
 
 
-    def so_far(self) -> np.ndarray:
-        """For each word: how often it occurs among the words of its text before it, by their number; 0 for ends and first words."""
+    def places(self) -> tuple[np.ndarray, np.ndarray]:
+        """(text, words before it) of every word and end."""
         n = np.diff(self.word_first)
         text = np.repeat(np.arange(len(n)), n)
-        place = np.arange(len(self.word)) - self.word_first[:-1][text]
+        return text, np.arange(len(self.word)) - self.word_first[:-1][text]
+
+    def stage(self) -> np.ndarray:
+        return np.minimum(np.frexp(self.places()[1].astype(np.float64))[1], STAGES - 1)
+
+    def so_far(self) -> np.ndarray:
+        """For each word: how often it occurs among the words of its text before it, by their number; 0 for ends and first words."""
+        text, place = self.places()
         key = text * np.int64(len(self.distinct) + 1) + self.word
         order = np.argsort(key, kind="stable")
         new = np.append(True, key[order][1:] != key[order][:-1])
@@ -192,17 +202,16 @@ class Attention:
         s /= s.sum(axis=2, keepdims=True)
         z = np.matmul(s, v)
         hid = x[:, p.context :] + (z.reshape(-1, d) @ self.B).reshape(z.shape)
-        logits = hid.reshape(-1, d) @ self.O
-        logits += self.c
+        logits = np.concatenate([hid.reshape(-1, d), np.ones((hid.shape[0] * p.stride, 1), np.float32)], axis=1) @ np.concatenate([self.O, self.c[None]])
         return inputs, x, q, k, v, s, z, hid, logits, at[:, p.context :]
 
     def _causal(self) -> np.ndarray:
         p = self.p
         return np.where(np.arange(p.window)[None, :] > np.arange(p.stride)[:, None] + p.context, np.float32(-1e9), np.float32(0))
 
-    def score(self, classes: np.ndarray, first: np.ndarray, chunk: int = 384) -> np.ndarray:
+    def score(self, classes: np.ndarray, first: np.ndarray, chunk: int = 96) -> np.ndarray:
         """Natural log probability of each class given those before it in its text."""
-        out = np.zeros(len(classes), np.float32)
+        out, ones = np.zeros(len(classes), np.float32), np.ones(self.n, np.float32)
         block, low, high = self.windows(first)
         for a in range(0, len(block), chunk):
             part = slice(a, a + chunk)
@@ -212,7 +221,7 @@ class Attention:
             target = classes[np.where(ok, at, 0)]
             hit = logits[np.arange(len(at)), target]
             np.exp(logits, out=logits)  # logits stay small: weights are clipped in training
-            out[at[ok]] = (hit - np.log(logits.sum(axis=1)))[ok]
+            out[at[ok]] = (hit - np.log(logits @ ones))[ok]
         return out
 
     def step(self, classes: np.ndarray, block: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[float, list[np.ndarray]]:
@@ -284,7 +293,8 @@ class Model:
     tokens: int = 0  # N
     kinds: int = 0  # V
     whole: bool = True  # whether top holds every training word
-    mixture: tuple[float, float, float] = (0.4, 0.4, 0.2)  # attention, words, the text so far
+    #: Weights of attention, words and the text so far, by how many words come before: 0, 1, 2-3, 4-7, ...
+    mixture: np.ndarray = field(default_factory=lambda: np.tile([0.4, 0.4, 0.2], (STAGES, 1)))
 
     def counts(self, hashes: np.ndarray) -> np.ndarray:
         """Counts of words by the table of frequent ones, -1 where it has none."""
@@ -306,8 +316,8 @@ class Model:
             out[2] = np.log(r.so_far())
         return out, counts
 
-    def mixed(self, logs: np.ndarray) -> np.ndarray:
-        return np.logaddexp.reduce(np.log(self.mixture)[:, None] + logs, axis=0)
+    def mixed(self, logs: np.ndarray, stage: np.ndarray) -> np.ndarray:
+        return np.logaddexp.reduce(np.log(self.mixture)[stage].T + logs, axis=0)
 
 
 def classes(seen: np.ndarray, subwords: Subwords, p: LM) -> tuple[np.ndarray, np.ndarray]:
@@ -336,7 +346,7 @@ def _counted(subwords: Subwords):
     """(kind 0, word hash, count), (kind 1, subword id, count) and (kind 2, 0, texts) of a partition's batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in split_bytes(batches):
+        for batch in split_bytes(batches, limit=3 << 20):
             r = Read(batch.column(0), subwords)
             n = np.bincount(r.which, minlength=len(r.distinct)) if len(r.distinct) else np.empty(0, np.int64)
             ids, k = np.unique(r.ids, return_counts=True)
@@ -373,15 +383,21 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([seen], pa.int64())], ["w", "n"])
 
 
-def _mixture(model: Model, texts: pa.Array) -> tuple[float, float, float]:
+def _mixture(model: Model, texts: pa.Array) -> np.ndarray:
     """The weights of the parts that fit texts which the attention was not trained on best, by EM."""
-    logs, _ = model.word_logs(Read(texts, model.subwords))
-    w = np.array(model.mixture)
+    r = Read(texts, model.subwords)
+    logs, _ = model.word_logs(r)
+    stage = r.stage()
+    w, n = model.mixture.copy(), np.bincount(stage, minlength=STAGES)[:, None]
+    prior = 20.0  # words that a stage borrows from the mean of all
     for _ in range(60):
-        parts = np.log(w)[:, None] + logs
-        w = np.exp(parts - np.logaddexp.reduce(parts, axis=0)).mean(axis=1)
-        w = np.maximum(w, 0.01) / np.maximum(w, 0.01).sum()
-    return tuple(map(float, w))
+        parts = np.log(w)[stage].T + logs
+        share = np.exp(parts - np.logaddexp.reduce(parts, axis=0))
+        sums = np.stack([np.bincount(stage, part, STAGES) for part in share], axis=1)
+        w = (sums + prior * sums.sum(0) / n.sum()) / (n + prior)
+        w = np.maximum(w, 0.005)
+        w /= w.sum(1, keepdims=True)
+    return w
 
 
 def train(docs: DataFrame, p: LM = LM()) -> tuple[Model, DataFrame]:  # noqa: B008
@@ -424,7 +440,7 @@ def train(docs: DataFrame, p: LM = LM()) -> tuple[Model, DataFrame]:  # noqa: B0
         r = Read(texts.slice(0, cut), subwords)
         limit = r.id_first[min(len(r.id_first) - 1, max(1, int(np.searchsorted(r.id_first, p.start_ids))))]
         keep = r.id_first[r.id_first <= limit]
-        model.attention.train(of_id[r.ids[:limit]], keep, 2, 0.02)
+        model.attention.train(of_id[r.ids[:limit]], keep, int(np.clip(2 * p.start_ids // max(1, limit), 2, 10)), 0.02)
         chosen = rows.filter(F.pmod(F.xxhash64(F.lit(12), F.col("doc_id").cast("string")), F.lit(p.share)) == 0).select("text")
         local = chosen.mapInArrow(_local(model), "w binary, n long").withColumn("g", F.pmod(F.spark_partition_id(), F.lit(64)))
         sums = local.repartition(min(64, int(spark.conf.get("spark.sql.shuffle.partitions"))), "g").select("w", "n").mapInArrow(_added, "w binary, n long").collect()
@@ -445,11 +461,11 @@ def _scored(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "key", "tf"]
         kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
-        for batch in split_bytes(batches):
+        for batch in split_bytes(batches, limit=3 << 20):
             r = Read(batch.column(3), model.subwords)
             logs, counts = model.word_logs(r)
             at = r.word_first[:-1]  # every text has its end, so no range is empty
-            score = np.add.reduceat(model.mixed(logs), at) / math.log(10)
+            score = np.add.reduceat(model.mixed(logs, r.stage()), at) / math.log(10)
             c = counts[r.word]
             n = np.diff(r.word_first)
             base = np.add.reduceat(np.log10(np.maximum(c, 0) + 1), at)
