@@ -6,9 +6,12 @@ exact (up to 64-bit hashes of shingles) and names connected components, so copie
 1. Equal sets are one class; its least doc_id stands for it. Copies go no further.
 2. Distribution. Two sets that link differ in at most D elements, D following from their sizes. A set's elements are
    dealt by hash into more than D groups, so one group at least is equal in both: it is the signature under which
-   they meet. Sizes within the threshold fall into the same or the next size class; a set signs for both. Sets that
-   meet under a signature are linked by a star, and the stars' components are the candidate clusters. Unlike a
-   single rare token, a signature holds several tokens, so passages and words that many documents share join nothing.
+   they meet. How many elements a shared group must have at least is set for each document, as high as its own sizes
+   of groups allow. Shingles that are very frequent, by counts over all documents, take no part where the others
+   fill more than D groups. Sizes within the threshold fall into the same or the next size class; a set signs for
+   its own class and the one below. Sets that meet under a signature are linked by a star, and the stars' components
+   are the candidate clusters. Unlike a single rare token, a signature holds several tokens, so passages and words that
+   many documents share join little.
 3. Verification, inside a cluster. Tokens are ordered by their frequency there. A document's prefix at level l holds
    n - ceil(t n) + l of its rarest tokens; two that link share at least min(l, l') tokens of their prefixes. Each
    document's level is the one of least estimated cost: tokens scanned plus verifications, estimated from the
@@ -43,6 +46,8 @@ from .words import mix64, shingle_sets, split_bytes
 
 #: Ids above this many are joined by a shuffle and not broadcast.
 BROADCAST_IDS = 1_000_000
+#: At most so many shingles, the most frequent by batch counts, are kept out of signatures. Which ones changes no result.
+HEAVY = 100_000
 
 
 @dataclass(frozen=True)
@@ -74,41 +79,81 @@ def _prints(s: np.ndarray) -> tuple[int, int]:
     return int(np.int64(a.astype(np.int64))), int(np.int64(b.astype(np.int64)))
 
 
-def signatures(s: np.ndarray, join: Join) -> np.ndarray:
-    """The signatures of a set, for its size class and the next (uint64)."""
-    n = len(s)
+def _groups(s: np.ndarray, groups: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """Deals a set to groups by hash: (signature of each group that has elements, how many it has)."""
+    group = (mix64(s ^ np.uint64(0x5BD1E995 + salt)) >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)
+    order = np.argsort(group, kind="stable")
+    g = group[order]
+    first = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+    sums = np.add.reduceat(mix64(s[order]), first)
+    return mix64(sums ^ mix64(g[first] + np.uint64(salt << 40))), np.diff(np.append(first, len(s)))
+
+
+def signatures(s: np.ndarray, join: Join, heavy: np.ndarray | None = None) -> np.ndarray:
+    """The signatures of a set (uint64), as the smaller of a pair under its own size class and as the larger under the class below.
+
+    Of two that link, at most D elements differ, so at most D groups do. A set whose light elements (those that are not
+    `heavy`) fill more than D groups signs with these alone; one that has fewer signs with all its elements, too. It
+    signs with its largest groups, the least size being the one that more than D groups reach: whichever of a pair
+    asks for more has a group that is equal in the other, and the other signs with it as well."""
+    n, out = len(s), []
     width = math.log(1 / join.t) * 1.001
-    own, out = int(math.log(n) / width), []
-    for c in (own, own + 1):
-        largest = math.exp((c + 1) * width)
-        differ = int(2 * largest * (1 - join.t) / (1 + join.t) + 1e-9)
+    own = int(math.log(n) / width)
+    light = s if heavy is None or not len(heavy) else s[heavy[np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)] != s]
+    for c in (own, own - 1):
+        if c < 0:
+            continue
+        differ = int(math.exp((c + 1) * width) * (1 / join.t - 1) + 1e-9)
         groups = differ + 7 + differ // 4
         for salt in range(2 if n <= 64 else 1):
-            group = (mix64(s ^ np.uint64(0x5BD1E995 + salt)) >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)
-            order = np.argsort(group, kind="stable")
-            g = group[order]
-            first = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
-            sums = np.add.reduceat(mix64(s[order]), first)
-            out.append(mix64(sums ^ mix64(g[first] + np.uint64((c + 1) << 40 | salt << 36))))
+            for kind, part in enumerate((light, s)):
+                if not len(part):
+                    continue
+                sigs, sizes = _groups(part, groups, (c + 1) * 4 + 2 * salt + kind)
+                enough = len(sizes) > differ
+                out.append(sigs[sizes >= np.sort(sizes)[-differ - 1]] if enough else sigs)
+                if enough or part is s:
+                    break
     return np.concatenate(out)
 
 
-def _classes(join: Join):
+def _classes(join: Join, often: int = 8):
+    """(kind 0) doc_id, x, n, f1, f2 of each text; (kind 1) hash and count of shingles that `often` texts of a batch hold."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["kind", "doc_id", "x", "n", "f1", "f2"]
         for batch in split_bytes(batches):
             sets = shingle_sets(batch.column(1), join.k)
             f = [_prints(s) for s in sets]
             columns = [[len(s) for s in sets], [x for x, _ in f], [x for _, x in f]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[pa.array(c, pa.int64()) for c in columns]], ["doc_id", "x", "n", "f1", "f2"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int8)), batch.column(0), batch.column(2), *[pa.array(c, pa.int64()) for c in columns]], names)
+            distinct = dict(zip(f, sets, strict=True))  # copies count once
+            token, count = np.unique(np.concatenate(list(distinct.values()) or [np.empty(0, np.uint64)]), return_counts=True)
+            token, count = token[count >= often].astype(np.int64), count[count >= often]
+            none = pa.nulls(len(token), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(token), np.int8)), none, none, pa.array(count), pa.array(token), none], names)
 
     return run
 
 
-def _signed(join: Join):
+def _signed(join: Join, parts: int, heavy: np.ndarray, flush: int = 1_000_000):
+    """Signatures dealt by part and packed: (part; signatures; the classes that signed). A class is named by f1; should
+    two share it, they meet as well and are told apart when the names are joined back."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()  # copies within a task sign once
+        sigs, names, held = [], [], 0
+
+        def packed() -> pa.RecordBatch:
+            s, f = np.concatenate(sigs), np.concatenate(names)
+            part = (s >> np.uint64(32)).astype(np.int64) % parts
+            order = np.argsort(part, kind="stable")
+            s, f = s[order], f[order]
+            cut = np.searchsorted(part[order], np.arange(parts + 1))
+            have = np.flatnonzero(np.diff(cut))
+            return pa.RecordBatch.from_arrays([pa.array(have.astype(np.int32)), *[pa.array([x[cut[i] : cut[i + 1]].tobytes() for i in have], pa.binary()) for x in (s, f)]], ["part", "sigs", "names"])
+
         for batch in split_bytes(batches):
-            sigs, f1, f2 = [], [], []
             for s in shingle_sets(batch.column(1), join.k):
                 f = _prints(s)
                 if not len(s) or f in seen:
@@ -116,34 +161,37 @@ def _signed(join: Join):
                 if len(seen) > 500_000:
                     seen.clear()
                 seen.add(f)
-                sigs.append(signatures(s, join))
-                f1.append(np.full(len(sigs[-1]), f[0], np.int64))
-                f2.append(np.full(len(sigs[-1]), f[1], np.int64))
-            if sigs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (sigs, f1, f2)], ["sig", "f1", "f2"])
+                sigs.append(signatures(s, join, heavy))
+                names.append(np.full(len(sigs[-1]), f[0], np.int64))
+                held += len(sigs[-1])
+                if held >= flush:
+                    yield packed()
+                    sigs, names, held = [], [], 0
+        if held:
+            yield packed()
 
     return run
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each signature: an edge from every class to the least. One partition of three longs a row."""
-    parts = [[np.asarray(b.column(i)) for i in range(3)] for b in batches if b.num_rows]
-    if not parts:
+    """Of each signature: an edge from every class to the least. One partition of two longs a signature."""
+    got = [(np.frombuffer(s, np.uint64), np.frombuffer(f, np.int64)) for b in batches for s, f in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+    if not got:
         return
-    sig, f1, f2 = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    sig, name = np.concatenate([s for s, _ in got]), np.concatenate([f for _, f in got])
+    del got
     order = np.argsort(sig, kind="stable")
-    same = np.append(sig[order][1:] == sig[order][:-1], False)
-    order = order[same | np.append(False, same[:-1])]  # signatures that occur twice at least
-    order = order[np.lexsort((f2[order], f1[order], sig[order]))]
-    sig, f1, f2 = sig[order], f1[order], f2[order]
+    sig, name = sig[order], name[order]
+    same = np.append(sig[1:] == sig[:-1], False)
+    keep = same | np.append(False, same[:-1])  # signatures that occur twice at least
+    sig, name = sig[keep], name[keep]
     if not len(sig):
         return
     first = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
-    head = np.repeat(first, np.diff(np.append(first, len(sig))))
-    edges = np.stack([f1[head], f2[head], f1, f2], axis=1)
-    edges = np.unique(edges[(f1[head] != f1) | (f2[head] != f2)], axis=0)
+    head = np.repeat(np.minimum.reduceat(name, first), np.diff(np.append(first, len(sig))))
+    edges = np.unique(np.stack([head, name], axis=1)[head != name], axis=0)
     if len(edges):
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(edges[:, i])) for i in range(4)], ["a1", "a2", "b1", "b2"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(edges[:, i])) for i in (0, 1)], ["fa", "fb"])
 
 
 def adapt_join(sets: list[np.ndarray], join: Join, levels: int = 12) -> list[tuple[int, int]]:
@@ -254,14 +302,15 @@ def linked(docs: DataFrame, join: Join = Join()) -> DataFrame:  # noqa: B008
     """doc_id (null: _LAST), x (a hash of the text), n_shingles, component_id (the least doc_id reachable by links, itself included)."""
     spark = docs.sparkSession
     d = docs.select(_id().alias("doc_id"), "text", F.xxhash64("text").alias("x"))
-    rows = written(d.mapInArrow(_classes(join), "doc_id long, x long, n long, f1 long, f2 long"), "join-classes")
+    read = written(d.mapInArrow(_classes(join), "kind byte, doc_id long, x long, n long, f1 long, f2 long"), "join-classes")
+    rows = read.filter("kind = 0").drop("kind")
+    often = read.filter("kind = 1").groupBy("f1").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "f1").limit(HEAVY).select("f1").toArrow()["f1"]
+    heavy = np.sort(often.to_numpy().astype(np.uint64))
     reps = rows.filter("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("id"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    signed = d.select("doc_id", "text").mapInArrow(_signed(join), "sig long, f1 long, f2 long").repartition(parts, "sig")
-    stars = signed.mapInArrow(_stars, "a1 long, a2 long, b1 long, b2 long").distinct()
-    ends = reps.select("f1", "f2", "id")
-    edges = stars.join(ends.select(F.col("f1").alias("a1"), F.col("f2").alias("a2"), F.col("id").alias("a")), ["a1", "a2"])
-    edges = edges.join(ends.select(F.col("f1").alias("b1"), F.col("f2").alias("b2"), F.col("id").alias("b")), ["b1", "b2"])
+    signed = d.select("doc_id", "text").mapInArrow(_signed(join, parts, heavy), "part int, sigs binary, names binary").repartition(parts, "part")
+    stars = signed.mapInArrow(_stars, "fa long, fb long").distinct()
+    edges = stars.join(reps.select(F.col("f1").alias("fa"), F.col("id").alias("a")), "fa").join(reps.select(F.col("f1").alias("fb"), F.col("id").alias("b")), "fb")
     clusters = components(edges.select("a", "b"))
     members = clusters.join(reps, "id")
     weight = members.groupBy("component").agg(F.sum("n").alias("tokens"))
@@ -290,10 +339,18 @@ def one_of_each(docs: DataFrame, join: Join = Join()) -> DataFrame:  # noqa: B00
     """docs with one document of each group of linked ones, the least doc_id (of its texts the least by hash, once);
     documents without words all stay. All columns are kept as they are."""
     found = written(linked(docs, join), "join-components")
-    chosen = found.filter("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "x")).alias("c")).select("c.doc_id", "c.x", F.lit(1).alias("_most"))
-    empty = found.filter("n_shingles = 0").select("doc_id", "x").distinct().withColumn("_most", F.lit(None).cast("int"))
-    keep = chosen.unionByName(empty).select(F.col("doc_id").alias("_k"), F.col("x").alias("_kx"), "_most")
-    d = docs.withColumns({"_id": _id(), "_x": F.xxhash64("text")})
-    d = d.withColumn("_row", F.row_number().over(W.partitionBy("_id", "_x").orderBy("_x")))
-    d = d.join(keep, (F.col("_id") == F.col("_k")) & (F.col("_x") == F.col("_kx")))
-    return d.filter(F.col("_most").isNull() | (F.col("_row") == 1)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    words = found.filter("n_shingles > 0")
+    chosen = words.groupBy("component_id").agg(F.min(F.struct("doc_id", "x")).alias("c")).select(F.col("c.doc_id").alias("_k"), F.col("c.x").alias("_kx"))
+    match = (F.col("doc_id") == F.col("_k")) & (F.col("x") == F.col("_kx"))
+    gone = written(words.join(chosen, match, "left_anti").select(F.col("doc_id").alias("_k"), F.col("x").alias("_kx")).distinct(), "join-gone")
+    again = written(words.join(chosen, match).groupBy("_k", "_kx").agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n"), "join-again")
+    side = lambda t: F.broadcast(t) if t.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else t
+    on = (F.col("_id") == F.col("_k")) & (F.col("_x") == F.col("_kx"))
+    d = docs.withColumns({"_id": _id(), "_x": F.xxhash64("text")}).join(side(gone), on, "left_anti")
+    out = [F.col(f"`{c}`") for c in docs.columns]
+    if again.isEmpty():
+        return d.select(*out)
+    # rows that repeat a chosen document: one of them stays
+    twice = side(again)
+    once = d.join(twice, on, "left_semi").withColumn("_row", F.row_number().over(W.partitionBy("_id", "_x").orderBy("_x"))).filter("_row = 1")
+    return d.join(twice, on, "left_anti").select(*out).unionAll(once.select(*out))
