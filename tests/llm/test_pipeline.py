@@ -1,0 +1,66 @@
+import re
+from collections import Counter, defaultdict
+
+import __spark_entry__ as entry
+import corpus_pipeline as cp
+from aerolytics.llm import registry, toxicity
+from aerolytics.llm.sharding import ShardTree
+
+import fixtures as fx
+from test_mixing import brute_targets
+from test_ngram_join import brute as brute_join
+from test_sharding import brute as brute_shard
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_registered():
+    found = entry.queries()
+    assert [sum(k.startswith(f"op{n}_") for k in found) for n in range(1, 11)] == [1] * 10 and "pipeline" in found
+    assert set(registry.ORACLE) <= set(registry.QUERIES) and "op7_chat" in entry.oracle_sql()
+    assert [n for n, _ in cp.STAGES] == ["toxicity", "ngram_join", "decontamination", "mixing", "sharding"]
+
+
+def test_stages_equal_brute_force(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns, given = docs.columns, {r.doc_id: r for r in docs.collect()}
+    kept = []
+    for i, (_, stage) in enumerate(cp.STAGES):
+        out = stage(spark, docs, SF)
+        out.write.parquet(f"{tmp_path}/{i}")
+        docs = spark.read.parquet(f"{tmp_path}/{i}")
+        kept.append(docs.collect())
+        assert docs.columns == columns + (["shard"] if i == 4 else [])
+        assert all(tuple(r)[:5] == tuple(given[r.doc_id]) for r in kept[-1])
+    ids = [Counter(r.doc_id for r in rows) for rows in kept]
+    all_docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = toxicity.train(all_docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    assert set(ids[0]) == {r.doc_id for r in toxicity.scored(all_docs, model).filter("score < 0.5").collect()}
+    assert set(ids[1]) == {d for d, (_, c) in brute_join([(r.doc_id, r.text) for r in kept[0]], 5, 80, 100).items() if d == c}
+    words = lambda t: t.lower().split()
+    items = [words(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    held = {d for d in ids[1] for w in [words(given[d].text)] if any(w[a : a + len(x)] == x for x in items for a in range(len(w) - len(x) + 1) if w[a] == x[0])}
+    assert held and not held & set(ids[2]) and len(set(ids[1]) - set(ids[2]) - held) <= 2
+    size, got = defaultdict(int), defaultdict(int)
+    n = {d: len(re.findall(r"[^\x20\x09-\x0D]+", given[d].text)) for d in ids[2]}
+    for d in ids[2]:
+        size[given[d].source] += n[d]
+    for d, k in ids[3].items():
+        assert k <= 3
+        got[given[d].source] += k * n[d]
+    largest = max(n.values())
+    assert all(abs(got[s] - float(t)) <= 0.05 * float(t) + largest for s, t in brute_targets(size).items())
+    assert ids[4] == ids[3] and all(r.shard == brute_shard(str(r.doc_id), ShardTree.of(24)) for r in kept[4])
+
+
+def test_run(spark):
+    assert cp.run(spark, "/root/testdata/sf0.001").count() > 100 and cp.ORACLE_SQL is None
+
+
+def test_stages_take_awkward_rows(spark):
+    for docs in (fx.awkward(spark, extra=True).drop("shard"), fx.empty(spark)):
+        columns = docs.columns
+        for _, stage in cp.STAGES[:4]:
+            docs = stage(spark, docs, "/root/testdata/sf0.001")
+            assert docs.columns == columns
+        assert cp.STAGES[4][1](spark, docs, "/root/testdata/sf0.001").count() >= 0
