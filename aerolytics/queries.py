@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import operators as op
 from .plans import FLIGHTS_SQL, REGION_MONTH_SQL, flights, flights_by_region, flights_over
-from .sources import Tables, flights_from_wire, to_wire
+from .sources import Tables, flights_from_lines, flights_from_wire, header_ordinals, to_wire
 from .sinks import route_messages, top_messages
 from .streaming import run_twin
 
@@ -43,6 +44,30 @@ def _fit(s: SparkSession, d: str) -> DataFrame:
     return s.createDataFrame([{k: float(v) for k, v in got.items()}])
 
 
+def _raw_lines(f: DataFrame) -> DataFrame:
+    """Flights as raw CSV lines: cities are quoted and hold a comma, other unread fields are empty."""
+    at = {v: k for k, v in header_ordinals().items()}
+    city = F.lit('"City, ST"')
+    value = {"dep_time": F.col("crs_dep_time")}
+    cells = [F.coalesce(value.get(at[i], F.col(at[i])).cast("string"), F.lit("")) if i in at else city if i in (12, 18) else F.lit("") for i in range(40)]
+    return f.select(F.concat_ws(",", *cells).alias("value"))
+
+
+def _read_back(mode: str) -> Query:
+    keep = ("origin", "dest", "flight_date", "carrier", "flight_num", "crs_dep_time", "dep_time", "dep_delay", "arr_delay")
+    return lambda s, d: flights_from_lines(_raw_lines(flights(s, d)), mode).select(*keep)
+
+
+def _union_of_keys(s: SparkSession, d: str) -> DataFrame:
+    best = _best(s, d)
+    return reduce(DataFrame.unionByName, [op.pick_keys(best, [k]) for k in BEST_KEYS])
+
+
+def _ranked_text(s: SparkSession, d: str) -> DataFrame:
+    lines = op.endpoint_counts(flights(s, d)).select(F.concat_ws("\t", "airport", F.col("n").cast("string")).alias("value"))
+    return op.first_per_count(op.first_token_counts(lines), "n", "airport")
+
+
 QUERIES: dict[str, Query] = {
     "io1_flights_view": lambda s, d: flights(s, d).drop("origin_key", "dest_key"),
     "q11_airport_counts": lambda s, d: op.endpoint_counts(flights(s, d)),
@@ -73,6 +98,11 @@ QUERIES: dict[str, Query] = {
     "q32_lookup": lambda s, d: op.lookup(_best(s, d), *BEST_KEYS[0]),
     "q32_two_leg_trip": lambda s, d: op.two_leg_trips(_best(s, d, False)),
     "p4_wire_round_trip": lambda s, d: flights_from_wire(to_wire(flights(s, d).withColumn("dep_time", F.col("crs_dep_time")))).select("origin", "dest", "flight_date", "carrier", "flight_num", "crs_dep_time", "dep_time", "dep_delay", "arr_delay"),
+    "p1_naive_csv": _read_back("naive"),
+    "p1_strict_csv": _read_back("strict"),
+    "p12_ranked_text": _ranked_text,
+    "u1_union_of_keys": _union_of_keys,
+    "a9_top_lists": lambda s, d: op.top_list_per(op.mean_delay_cents(flights(s, d), ["origin", "dest"], "dep_delay"), "origin", "avg_cents", "dest", 3).select("origin", F.concat_ws(" ", F.transform("best", lambda b: F.concat(b["dest"], F.lit(":"), b["avg_cents"].cast("string")))).alias("best")),
     "a10_count": lambda s, d: flights(s, d).agg(F.count("*").alias("n")),
     "wordcount_documents": lambda s, d: op.word_counts(Tables(s, d).documents, "text"),
     **{f"stream_{k}": (lambda s, d, k=k: run_twin(s, d, k)) for k in ("q11", "q12", "q21", "q22", "q24", "q32")},
@@ -145,4 +175,11 @@ ORACLE: dict[str, str] = {
     "a10_count": f"{_F} SELECT count(*) AS n FROM flights",
     "wordcount_documents": "SELECT word, count(*) AS n FROM (SELECT unnest(string_split(text, ' ')) AS word FROM documents) GROUP BY word",
 }
+ORACLE |= {
+    "p1_naive_csv": ORACLE["p4_wire_round_trip"],
+    "p1_strict_csv": ORACLE["p4_wire_round_trip"],
+    "p12_ranked_text": ORACLE["q11_rank_tie_drop"],
+    "u1_union_of_keys": ORACLE["q32_selected_keys"],
+    "a9_top_lists": f"{_F}, {_cents('origin, dest', 'dep_delay')}, r AS ({_ranked('origin', 'avg_cents', 'dest').replace('<= 10', '<= 3')}) SELECT origin, string_agg(concat(dest, ':', CAST(avg_cents AS VARCHAR)), ' ' ORDER BY rank) AS best FROM r GROUP BY origin",
+}
 ORACLE |= {"stream_q11": ORACLE["q11_top10_airports"], "stream_q12": ORACLE["q12_top10_carriers"], "stream_q21": ORACLE["q21_top10"], "stream_q22": ORACLE["q22_top10"], "stream_q24": ORACLE["q24_mean_arrival"], "stream_q32": ORACLE["q32_best_flights"]}
