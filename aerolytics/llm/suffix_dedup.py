@@ -9,7 +9,8 @@ A byte goes if it lies in a 50-byte string that also starts in a document with a
 3. Segments of the other keys are dealt by key. In each task the distinct segments are the documents of a collection
    whose Burrows-Wheeler transform is built column-wise (Bauer, Cox and Rosone): each round prepends one symbol to
    every document and places all suffixes by their first symbol, stably; symbol by symbol the transform is read from
-   one file and written to the next in order. After the last round the suffixes are sorted and neighbours that share
+   one column (a file, when it is large) and written to the next in order. Segments that cannot share a window, by
+   the bytes next to their key, are left out. After the last round the suffixes are sorted and neighbours that share
    50 symbols form the classes of equal windows; the least doc_id of a class keeps them.
 4. Marked windows go back to their documents, are merged to spans and cut out.
 
@@ -43,8 +44,8 @@ _LAST = (1 << 63) - 1
 class Repeats:
     length: int = 50
     inner: int = 16
-    run: int = 64
-    block: int = 3_000_000  # symbols of a collection
+    run: int = 35
+    block: int = 2_000_000  # symbols of a collection
     flush: int = 400_000  # anchors that a task packs at a time
 
 
@@ -173,58 +174,103 @@ def _cut(p: Repeats):
     return run
 
 
-def sorted_suffixes(body: np.ndarray, cuts: np.ndarray, block: int = 1 << 18) -> np.ndarray:
+class Column:
+    """Suffix starts in order, doubled, odd for an end: a file, or an array while it is small."""
+
+    def __init__(self, in_memory: bool):
+        self.file = None if in_memory else tempfile.NamedTemporaryFile(prefix="columns-")
+        self.array = np.empty(0, np.int32)
+
+    def write(self, n: int) -> np.ndarray:
+        if self.file is not None:
+            return np.memmap(self.file.name, np.int32, "w+", shape=(n,))
+        if len(self.array) < n:
+            self.array = np.empty(2 * n, np.int32)
+        return self.array[:n]
+
+    def read(self, a: int, n: int) -> np.ndarray:
+        return self.array[a : a + n] if self.file is None else np.fromfile(self.file.name, np.int32, n, offset=4 * a)
+
+    def close(self) -> None:
+        if self.file is not None:
+            self.file.close()
+
+
+def sorted_suffixes(body: np.ndarray, cuts: np.ndarray, block: int = 1 << 16, in_memory: int = 1 << 25) -> np.ndarray:
     """Starts of all suffixes of the documents body[cuts[i]:cuts[i + 1]], sorted; symbols must be above 0.
 
-    Round j holds the transform of all suffixes of at most j symbols as a file of suffix starts, in order. A suffix's
-    symbol is the one before its start; prepending it to all at once, stably by symbol, is the order of round j + 1
-    (with the empty suffixes first). Documents that are used up keep their place in the order through their suffixes."""
+    Round j holds the transform of all suffixes of at most j symbols as a column of suffix starts, in order (a file, if
+    there are more than in_memory symbols). A suffix's symbol is the one before its start; prepending it to all at
+    once, stably by symbol, is the order of round j + 1 (with the empty suffixes first). The old column is read and
+    the new one written in blocks, each symbol's part in order."""
     before = np.zeros(len(body) + 1, np.uint8)  # symbol before a start; 0 at a document's first
     before[1:] = body
     before[cuts[:-1]] = 0
-    ends = cuts[1:].astype(np.int32)
-    rounds = int(np.diff(cuts).max())
-    # an end coincides with the next document's first position: starts are kept doubled, odd for ends
-    here, there = (tempfile.NamedTemporaryFile(prefix="columns-") for _ in range(2))
+    last = body[cuts[1:] - 1]  # before an end stands its own document's last symbol
+    ends = (2 * cuts[1:] + 1).astype(np.int32)
+    rounds, n = int(np.diff(cuts).max()), len(ends)
+    here, there = (Column(len(body) + n <= in_memory) for _ in range(2))
     try:
-        (2 * ends + 1).astype(np.int32).tofile(here)
-        here.flush()
-        n = len(ends)
-        for _ in range(rounds):
-            counts = np.zeros(257, np.int64)
-            for a in range(0, n, block):
-                counts[:256] += np.bincount(_symbols(here.name, a, min(block, n - a), before, body)[1], minlength=256)
-            place = np.append(0, np.cumsum(counts[1:256])) + len(ends)
-            total = int(len(ends) + counts[1:].sum())
-            out = np.memmap(there.name, np.int32, "w+", shape=(total,))
-            out[: len(ends)] = 2 * ends + 1
-            for a in range(0, n, block):
-                start, symbol = _symbols(here.name, a, min(block, n - a), before, body)
+        here.write(n)[:] = ends
+        for j in range(rounds):
+            blocks, counts = range(0, n, block), np.zeros(256, np.int64)
+            symbols = []
+            for a in blocks:
+                starts = here.read(a, min(block, n - a))
+                symbol = before[starts >> 1]
+                if a < len(ends):  # the empty suffixes come first
+                    symbol[: len(ends) - a] = last[a : a + len(starts)]
+                counts += np.bincount(symbol, minlength=256)
+                symbols.append(symbol)
+            place = len(ends) + np.append(0, np.cumsum(counts[1:]))
+            out = there.write(int(place[-1]))
+            out[: len(ends)] = ends
+            for a, symbol in zip(blocks, symbols, strict=True):
+                starts = here.read(a, len(symbol))
                 order = np.argsort(symbol, kind="stable")
                 got = np.bincount(symbol, minlength=256)
+                moved = ((starts >> 1)[order] - 1) << 1
                 at = int(got[0])
-                for c in np.flatnonzero(got[1:]) + 1:
-                    k = int(got[c])
-                    out[place[c - 1] : place[c - 1] + k] = 2 * (start[order[at : at + k]] - 1)
-                    place[c - 1] += k
+                for c in np.flatnonzero(got[1:]):
+                    k = int(got[c + 1])
+                    out[place[c] : place[c] + k] = moved[at : at + k]
+                    place[c] += k
                     at += k
+            n = len(out)
             del out
-            here, there, n = there, here, total
-        final = np.fromfile(here.name, np.int32, n)
-        return final[final % 2 == 0] // 2
+            here, there = there, here
+        final = here.read(0, n)
+        return final[final & 1 == 0] >> 1
     finally:
         here.close()
         there.close()
 
 
-def _symbols(path: str, a: int, n: int, before: np.ndarray, body: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A block of the file: suffix starts, and the symbol before each."""
-    doubled = np.fromfile(path, np.int32, n, offset=4 * a)
-    start = doubled >> 1
-    symbol = before[start]
-    odd = doubled & 1 == 1
-    symbol[odd] = body[start[odd] - 1]  # before an end stands its own document's last symbol
-    return start, symbol
+def _candidates(key: np.ndarray, body: np.ndarray, cuts: np.ndarray, p: Repeats) -> np.ndarray:
+    """Which segments (distinct, sorted by key) can share a window with another of their key.
+
+    A shared window holds the key's substring and, on its left or on its right, at least half of the other bytes. So
+    one of two longer substrings around it must be equal, too. Segments that hold the key more than once all stay."""
+    power, inverse = _powers(len(body) + 1)
+    sums = np.zeros(len(body) + 1, np.uint64)
+    np.cumsum((body.astype(np.uint64) + np.uint64(1)) * power[: len(body)], out=sums[1:])
+    part = lambda a, b: mix64((sums[b] - sums[a]) * inverse[a])
+    seg = np.repeat(np.arange(len(key)), np.diff(cuts))
+    at = np.arange(len(body) - p.inner + 1)
+    at = at[part(at, at + p.inner) == key[seg[at]]]
+    at = at[at + p.inner <= cuts[seg[at] + 1]]
+    times = np.bincount(seg[at], minlength=len(key))
+    keep = times != 1
+    at = at[times[seg[at]] == 1]
+    of, more = seg[at], (p.length - p.inner + 1) // 2
+    for a, b in ((at - more, at + p.inner), (at, at + p.inner + more)):
+        ok = (a >= cuts[of]) & (b <= cuts[of + 1])
+        h = part(a[ok], b[ok]) + mix64(key[of[ok]])
+        _, inverse_, count = np.unique(h, return_inverse=True, return_counts=True)
+        keep[of[ok]] |= count[inverse_] > 1
+    # one that holds the key more often can match any other of the key
+    odd = np.unique(key[times != 1])
+    return keep | np.isin(key, odd)
 
 
 def _classes(starts: np.ndarray, body: np.ndarray, length: int) -> np.ndarray:
@@ -253,6 +299,10 @@ def marks(key: np.ndarray, doc: np.ndarray, body: np.ndarray, cuts: np.ndarray,
     _, inverse, count = np.unique(key[first], return_inverse=True, return_counts=True)
     some = np.flatnonzero(count[inverse] > 1)
     some = some[np.argsort(key[first[some]], kind="stable")]
+    if len(some):
+        length = size[first[some]]
+        own = np.append(0, np.cumsum(length))
+        some = some[_candidates(key[first[some]], body[np.repeat(cuts[first[some]] - own[:-1], length) + np.arange(own[-1])], own, p)]
     weight = np.cumsum(size[first[some]])
     edge = np.append(True, key[first[some]][1:] != key[first[some]][:-1])
     block = np.zeros(len(some), np.int64)
@@ -309,7 +359,7 @@ def _marked(p: Repeats):
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in split_bytes(batches, limit=2 << 20):
         out = []
         for doc, body, whole, spans in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
             body = body or b""
