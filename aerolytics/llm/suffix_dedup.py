@@ -6,7 +6,8 @@ A byte goes if it lies in a 50-byte string that also starts in a document with a
 2. Anchors. Each 50-byte window is keyed by the least hash of its 16-byte substrings, so equal windows have equal
    keys. Windows in a row with one key form a segment. Keys are dealt by hash, packed; those that occur in one text
    only go no further: their windows are unique.
-3. Segments of the other keys are dealt by key. In each task the distinct segments are the documents of a collection
+3. Segments of the other keys are dealt by key; of equal ones in a batch only the least document's, as the others go in
+   any case. In each task the distinct segments are the documents of a collection
    whose Burrows-Wheeler transform is built column-wise (Bauer, Cox and Rosone): each round prepends one symbol to
    every document and places all suffixes by their first symbol, stably; symbol by symbol the transform is read from
    one column (a file, when it is large) and written to the next in order. Segments that cannot share a window, by
@@ -150,8 +151,13 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[a : a + (1 << 16), i])) for i in (0, 1)], ["x1", "key"])
 
 
+def _binary(ends: np.ndarray, body: np.ndarray) -> pa.Array:
+    return pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(body.tobytes())])
+
+
 def _cut(p: Repeats):
-    """The segments of a document whose keys are shared."""
+    """The segments of documents whose keys are shared, with all their places; and, without bytes and dealt anyhow, the
+    places of those that are already known to go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in split_bytes(batches, limit=1 << 20):
@@ -167,9 +173,35 @@ def _cut(p: Repeats):
                 continue
             size = windows + p.length - 1
             cuts = np.append(0, np.cumsum(size))
-            body = data[np.repeat(at - cuts[:-1], size) + np.arange(cuts[-1])]
-            column = pa.BinaryArray.from_buffers(pa.binary(), len(key), [None, pa.py_buffer(cuts.astype(np.int32).tobytes()), pa.py_buffer(body.tobytes())])
-            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), batch.column(0).take(pa.array(text)), batch.column(1).take(pa.array(text)), pa.array((at - offsets[text]).astype(np.int32)), column], ["key", "doc_id", "x1", "start", "segment"])
+            pos = np.arange(cuts[-1]) - np.repeat(cuts[:-1], size)
+            body = data[np.repeat(at, size) + pos]
+            # what a document holds several times travels once, with all its places
+            prints = np.add.reduceat((body.astype(np.uint64) + np.uint64(1)) * _powers(int(size.max()) + 1)[0][pos], cuts[:-1])
+            prints = mix64(prints ^ key) + size.astype(np.uint64)
+            _, first, which = np.unique(prints + mix64(text.astype(np.uint64)), return_index=True, return_inverse=True)
+            starts = (at - offsets[text])[np.argsort(which, kind="stable")].astype(np.int32)
+            own = np.append(0, np.cumsum(np.bincount(which)))
+            # a segment that a smaller document of the batch holds, too, goes as it is: only the least one's bytes travel
+            doc = batch.column(0).to_numpy()[text[first]]
+            _, same = np.unique(prints[first], return_inverse=True)
+            least = np.full(int(same.max()) + 1, _LAST, np.int64)
+            np.minimum.at(least, same, doc)
+            gone = doc > least[same]
+            for rows in (np.flatnonzero(~gone), np.flatnonzero(gone)):
+                if not len(rows):
+                    continue
+                held = own[rows + 1] - own[rows]
+                at_ = np.append(0, np.cumsum(held))
+                mine = starts[np.repeat(own[rows] - at_[:-1], held) + np.arange(at_[-1])]
+                seg = first[rows]
+                n = size[seg]
+                if gone[rows[0]]:
+                    deal, column = mix64(np.arange(len(rows)).astype(np.uint64) + key[seg]), pa.nulls(len(rows), pa.binary())
+                else:
+                    deal, ends = key[seg], np.append(0, np.cumsum(n))
+                    column = _binary(ends, body[np.repeat(cuts[seg] - ends[:-1], n) + np.arange(ends[-1])])
+                of = pa.array(text[seg])
+                yield pa.RecordBatch.from_arrays([pa.array(deal.astype(np.int64)), batch.column(0).take(of), batch.column(1).take(of), _binary(4 * at_, mine), column, pa.array(n.astype(np.int32))], ["key", "doc_id", "x1", "starts", "segment", "n"])
 
     return run
 
@@ -246,28 +278,41 @@ def sorted_suffixes(body: np.ndarray, cuts: np.ndarray, block: int = 1 << 16, in
         there.close()
 
 
+def _chunks(cuts: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of documents of about `limit` symbols."""
+    i, n = 0, len(cuts) - 1
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(cuts, cuts[i] + limit, side="right")) - 1)
+        yield i, min(j, n)
+        i = j
+
+
 def _candidates(key: np.ndarray, body: np.ndarray, cuts: np.ndarray, p: Repeats) -> np.ndarray:
     """Which segments (distinct, sorted by key) can share a window with another of their key.
 
     A shared window holds the key's substring and, on its left or on its right, at least half of the other bytes. So
     one of two longer substrings around it must be equal, too. Segments that hold the key more than once all stay."""
-    power, inverse = _powers(len(body) + 1)
-    sums = np.zeros(len(body) + 1, np.uint64)
-    np.cumsum((body.astype(np.uint64) + np.uint64(1)) * power[: len(body)], out=sums[1:])
-    part = lambda a, b: mix64((sums[b] - sums[a]) * inverse[a])
-    seg = np.repeat(np.arange(len(key)), np.diff(cuts))
-    at = np.arange(len(body) - p.inner + 1)
-    at = at[part(at, at + p.inner) == key[seg[at]]]
-    at = at[at + p.inner <= cuts[seg[at] + 1]]
-    times = np.bincount(seg[at], minlength=len(key))
+    times, sides, more = np.zeros(len(key), np.int64), ([], []), (p.length - p.inner + 1) // 2
+    for i, j in _chunks(cuts):
+        text, own, mine = body[cuts[i] : cuts[j]], cuts[i : j + 1] - cuts[i], key[i:j]
+        power, inverse = _powers(len(text) + 1)
+        sums = np.zeros(len(text) + 1, np.uint64)
+        np.cumsum((text.astype(np.uint64) + np.uint64(1)) * power[: len(text)], out=sums[1:])
+        part = lambda a, b: mix64((sums[b] - sums[a]) * inverse[a])  # noqa: B023, E731
+        seg = np.repeat(np.arange(j - i), np.diff(own))
+        at = np.flatnonzero(part(np.arange(len(text) - p.inner + 1), np.arange(p.inner, len(text) + 1)) == mine[seg[: len(text) - p.inner + 1]])
+        at = at[at + p.inner <= own[seg[at] + 1]]
+        times[i:j] = np.bincount(seg[at], minlength=j - i)
+        at = at[times[i:j][seg[at]] == 1]
+        of = seg[at]
+        for side, (a, b) in zip(sides, ((at - more, at + p.inner), (at, at + p.inner + more)), strict=True):
+            ok = (a >= own[of]) & (b <= own[of + 1])
+            side.append((of[ok] + i, part(a[ok], b[ok]) + mix64(mine[of[ok]])))
     keep = times != 1
-    at = at[times[seg[at]] == 1]
-    of, more = seg[at], (p.length - p.inner + 1) // 2
-    for a, b in ((at - more, at + p.inner), (at, at + p.inner + more)):
-        ok = (a >= cuts[of]) & (b <= cuts[of + 1])
-        h = part(a[ok], b[ok]) + mix64(key[of[ok]])
-        _, inverse_, count = np.unique(h, return_inverse=True, return_counts=True)
-        keep[of[ok]] |= count[inverse_] > 1
+    for side in sides:
+        of, h = (np.concatenate([x[i] for x in side]) for i in (0, 1))
+        _, which, count = np.unique(h, return_inverse=True, return_counts=True)
+        keep[of] |= count[which] > 1
     # one that holds the key more often can match any other of the key
     odd = np.unique(key[times != 1])
     return keep | np.isin(key, odd)
@@ -286,10 +331,12 @@ def _classes(starts: np.ndarray, body: np.ndarray, length: int) -> np.ndarray:
 
 def marks(key: np.ndarray, doc: np.ndarray, body: np.ndarray, cuts: np.ndarray, p: Repeats) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(segment, first byte in it, bytes): the spans that smaller documents hold too. Segments come sorted by key."""
-    size = np.diff(cuts)
-    pos = np.arange(len(body)) - np.repeat(cuts[:-1], size)
-    print_ = np.add.reduceat((body.astype(np.uint64) + np.uint64(1)) * _powers(int(size.max()) + 1)[0][pos], cuts[:-1]) if len(size) else np.empty(0, np.uint64)
-    print_ = mix64(print_ ^ key) + size.astype(np.uint64)
+    size, prints = np.diff(cuts), []
+    for i, j in _chunks(cuts):
+        pos = np.arange(cuts[j] - cuts[i]) - np.repeat(cuts[i:j] - cuts[i], size[i:j])
+        value = (body[cuts[i] : cuts[j]].astype(np.uint64) + np.uint64(1)) * _powers(int(size.max()) + 1)[0][pos]
+        prints.append(np.add.reduceat(value, cuts[i:j] - cuts[i]))
+    print_ = np.concatenate(prints or [np.empty(0, np.uint64)])
     _, first, which = np.unique(print_, return_index=True, return_inverse=True)  # equal segments are one document of the collection
     least = np.full(len(first), _LAST, np.int64)
     np.minimum.at(least, which, doc)
@@ -346,14 +393,22 @@ def _marked(p: Repeats):
         batches = [b for b in batches if b.num_rows]
         if not batches:
             return
-        key, doc, x1, start = (np.concatenate([b.column(i).to_numpy() for b in batches]) for i in range(4))
-        column = pa.concat_arrays([b.column(4).cast(pa.large_binary()) for b in batches])
+        key, doc, x1, size = (np.concatenate([b.column(i).to_numpy() for b in batches]) for i in (0, 1, 2, 5))
+        places, column = (pa.concat_arrays([b.column(i).cast(pa.large_binary()) for b in batches]) for i in (3, 4))
         del batches
-        body, cuts = buffers(column)
-        key = key.astype(np.uint64)
-        seg, offset, n = marks(key, doc, body, cuts, p)
+        known = column.is_null().to_numpy(zero_copy_only=False)
+        here = np.flatnonzero(~known)
+        body, cuts = buffers(column.take(pa.array(here)))
+        starts, own = buffers(places)
+        starts, own = np.frombuffer(starts.tobytes(), np.int32), own // 4
+        seg, offset, n = marks(key[here].astype(np.uint64), doc[here], body, cuts, p)
+        gone = np.flatnonzero(known)
+        seg, offset, n = np.concatenate([here[seg], gone]), np.append(offset, np.zeros(len(gone), np.int64)), np.append(n, size[gone])
         if len(seg):
-            yield pa.RecordBatch.from_arrays([pa.array(doc[seg]), pa.array(x1[seg]), pa.array((start[seg] + offset).astype(np.int32)), pa.array(n.astype(np.int32))], ["doc_id", "x1", "start", "n"])
+            k = own[seg + 1] - own[seg]
+            start = starts[np.repeat(own[seg] - np.append(0, np.cumsum(k)[:-1]), k) + np.arange(int(k.sum()))] + np.repeat(offset, k)
+            seg, n = np.repeat(seg, k), np.repeat(n, k)
+            yield pa.RecordBatch.from_arrays([pa.array(doc[seg]), pa.array(x1[seg]), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], ["doc_id", "x1", "start", "n"])
 
     return run
 
@@ -398,7 +453,7 @@ def remove_repeats(docs: DataFrame, p: Repeats = Repeats()) -> DataFrame:  # noq
     lists = shared.join(classes.select("x1", F.col("low").alias("doc_id")), "x1").groupBy("doc_id", "x1").agg(F.collect_list("key").alias("keys"))
     lists = written(lists, "repeat-keys")
     found = d.join(lists, ["doc_id", "x1"]).select("doc_id", "x1", "text", "keys")
-    cut = found.mapInArrow(_cut(p), "key long, doc_id long, x1 long, start int, segment binary")
+    cut = found.mapInArrow(_cut(p), "key long, doc_id long, x1 long, starts binary, segment binary, n int")
     spans = written(cut.repartition(parts, "key").mapInArrow(_marked(p), "doc_id long, x1 long, start int, n int"), "repeat-spans")
     drop_written(lists)
     twice = classes.filter("copies > 1").select(F.col("x1").alias("c1"), F.col("x2").alias("c2"), "low")

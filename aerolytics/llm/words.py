@@ -15,7 +15,7 @@ _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def _powers(n: int) -> np.ndarray:
