@@ -147,10 +147,12 @@ class Scorer:
 
 def fit_scorer(texts: pa.Array, target: np.ndarray, rounds: int = 120, rate: float = 0.5, l2: float = 1e-7) -> Scorer:
     """Adagrad on the logistic loss with the posteriors as targets."""
-    index, first, n = hashed(texts)
-    doc = np.repeat(np.arange(len(n)), n * 3)
-    each = (1 / np.maximum(n, 1))[doc]
-    used, at = np.unique(index, return_inverse=True)
+    parts = [hashed(t) for t in _sliced(texts)]
+    n = np.concatenate([x for _, _, x in parts])
+    used, at = np.unique(np.concatenate([x.astype(np.int32) for x, _, _ in parts]), return_inverse=True)
+    at, doc = at.astype(np.int32), np.repeat(np.arange(len(n), dtype=np.int32), n * 3)
+    each = (1 / np.maximum(n, 1)).astype(np.float32)[doc]
+    del parts
     w, g2, b, b2 = np.zeros(len(used)), np.full(len(used), 1e-8), 0.0, 1e-8
     for _ in range(rounds):
         z = np.bincount(doc, w[at] * each, minlength=len(n)) + b
@@ -166,6 +168,11 @@ def fit_scorer(texts: pa.Array, target: np.ndarray, rounds: int = 120, rate: flo
     return Scorer(weights, float(b))
 
 
+def _sliced(texts: pa.Array, rows: int = 200) -> Iterator[pa.Array]:
+    for a in range(0, len(texts), rows):
+        yield texts.slice(a, rows)
+
+
 def _patterns(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in split_bytes(batches):
@@ -186,7 +193,7 @@ class Model:
     scorer: Scorer
 
 
-def train(docs: DataFrame, most_rows: int = 6_000) -> Model | None:
+def train(docs: DataFrame, most_rows: int = 4_000) -> Model | None:
     """The label model sees the vote patterns of all documents; the scorer at most most_rows texts, a bounded sample by hash."""
     got = _patterns(docs).toArrow()
     if not got.num_rows:
@@ -197,7 +204,7 @@ def train(docs: DataFrame, most_rows: int = 6_000) -> Model | None:
     rows = docs.filter(order <= edge).select("doc_id", "text", order.alias("h")).orderBy("h", "text").limit(most_rows).toArrow()
     texts = rows["text"].combine_chunks() if rows.num_rows else pa.array([], pa.string())
     texts = pa.concat_arrays(texts.chunks) if isinstance(texts, pa.ChunkedArray) else texts
-    return Model(labels, fit_scorer(texts, labels.posterior(votes(texts))))
+    return Model(labels, fit_scorer(texts, labels.posterior(np.concatenate([votes(t) for t in _sliced(texts)]))))
 
 
 def scored(docs: DataFrame, model: Model | None) -> DataFrame:
