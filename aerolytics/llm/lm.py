@@ -5,7 +5,9 @@ fitted by EM on texts kept from the attention's training, of
   attention  the product over the word's subword ids (a public byte-level vocabulary, given by its path; never trained)
              of a one-head causal self-attention model with a softmax over the most frequent ids, buckets of the
              others (each with a unigram inside), and the end;
-  words      the relative frequency of the word among the most frequent words of the training documents; and
+  words      the relative frequency of the word among the most frequent words of the training documents;
+  kinds      the same within kinds of documents (languages, say), each by its probability given the words so far. Kinds
+             are found on the starting documents; every training document then counts for its most likely kind; and
   text       its relative frequency among the words of the text before it.
 All are normalised, so the score of a text is a log10 probability. Texts are cut into overlapping windows: each
 scores its last `stride` ids with at least `context` ids before them (fewer at a text's start), so every id is scored
@@ -54,12 +56,14 @@ class LM:
     width: int = 24
     context: int = 4
     stride: int = 20
-    frequent: int = 224  # ids with an output of their own
-    buckets: int = 63  # outputs for the other ids, by how they begin; then the end
-    top_words: int = 1 << 20
+    frequent: int = 160  # ids with an output of their own
+    buckets: int = 39  # outputs for the other ids, by how they begin; then the end
+    top_words: int = 1 << 19
     start_rows: int = 1_500
     start_ids: int = 2_500_000
-    share: int = 48  # one in so many training documents trains the weights
+    kinds: int = 4  # of documents
+    kind_words: int = 20_000  # words that tell kinds apart, of the starting documents
+    share: int = 64  # one in so many training documents trains the weights
     fold: int = 7
     held: int = 2
 
@@ -118,7 +122,13 @@ class Read:
         data, _ = buffers(texts)
         h, first, starts, stops = words(texts, True)
         self.first = first
-        self.distinct, at, self.which = np.unique(h, return_index=True, return_inverse=True)
+        # one stable sort gives the distinct words and, for so_far(), each word's places in order
+        self.order = np.argsort(h, kind="stable")
+        ranked = h[self.order]
+        new = np.append(True, ranked[1:] != ranked[:-1])[: len(h)]
+        heads = np.flatnonzero(new)
+        self.distinct, at, self.which = ranked[heads], self.order[heads], np.empty(len(h), np.int64)
+        self.which[self.order] = np.cumsum(new) - 1
         if subwords is None:
             return
         raw = data.tobytes()
@@ -144,14 +154,58 @@ class Read:
 
     def so_far(self) -> np.ndarray:
         """For each word: how often it occurs among the words of its text before it, by their number; 0 for ends and first words."""
-        text, place = self.places()
-        key = text * np.int64(len(self.distinct) + 1) + self.word
-        order = np.argsort(key, kind="stable")
-        new = np.append(True, key[order][1:] != key[order][:-1])
-        first = np.flatnonzero(new)
-        before = np.empty(len(key), np.int64)
-        before[order] = np.arange(len(key)) - np.repeat(first, np.diff(np.append(first, len(key))))
-        return before / np.maximum(place, 1)
+        n = np.diff(self.first)
+        text = np.repeat(np.arange(len(n)), n)
+        t, w = text[self.order], self.which[self.order]
+        first = np.flatnonzero(np.append(True, (t[1:] != t[:-1]) | (w[1:] != w[:-1]))[: len(t)])
+        before = np.empty(len(t), np.int64)
+        before[self.order] = np.arange(len(t)) - np.repeat(first, np.diff(np.append(first, len(t))))
+        return np.insert(before / np.maximum(np.arange(len(t)) - self.first[:-1][text], 1), self.first[1:], 0.0)
+
+
+@dataclass
+class Kinds:
+    """A mixture of unigrams: which of a few kinds a text is."""
+
+    words: np.ndarray  # hashes, ascending
+    logs: np.ndarray  # [word, kind]
+    prior: np.ndarray
+
+    @classmethod
+    def fit(cls, r: Read, p: LM, rounds: int = 25) -> Kinds:
+        texts, n = len(r.first) - 1, np.bincount(r.which, minlength=len(r.distinct))
+        used = np.sort(np.argsort(-n, kind="stable")[: p.kind_words])
+        used = used[n[used] > 1]
+        row = np.full(len(r.distinct) + 1, -1)
+        row[used] = np.arange(len(used))
+        text = np.repeat(np.arange(texts), np.diff(r.first))
+        word = row[r.which]
+        pair, tf = np.unique(text[word >= 0] * np.int64(len(used) + 1) + word[word >= 0], return_counts=True)
+        text, word = np.divmod(pair, len(used) + 1)
+        total = np.bincount(word, tf, len(used)) + 0.1
+        logs = np.log(total / total.sum())[:, None] + np.random.default_rng(5).normal(0, 0.5, (len(used), p.kinds))
+        prior = np.full(p.kinds, 1 / p.kinds)
+        for _ in range(rounds):
+            like = np.stack([np.bincount(text, tf * logs[word, k], texts) for k in range(p.kinds)], axis=1) + np.log(prior)
+            q = np.exp(like - np.logaddexp.reduce(like, axis=1, keepdims=True))
+            prior = (q.sum(0) + 1) / (texts + p.kinds)
+            sums = np.stack([np.bincount(word, tf * q[text, k], len(used)) for k in range(p.kinds)], axis=1)
+            smooth = sums + 50 * (total / total.sum())[:, None]
+            logs = np.log(smooth / smooth.sum(0))
+        return cls(r.distinct[used], logs, prior)
+
+    def of(self, r: Read) -> np.ndarray:
+        """The most likely kind of each text."""
+        logs = np.zeros((len(r.distinct), len(self.prior)))
+        if len(self.words):
+            at = np.minimum(np.searchsorted(self.words, r.distinct), len(self.words) - 1)
+            hit = self.words[at] == r.distinct
+            logs[hit] = self.logs[at[hit]]
+        out = np.zeros((len(r.first) - 1, len(self.prior)))
+        some = np.flatnonzero(np.diff(r.first))
+        if len(some):
+            out[some] = np.add.reduceat(logs[r.which], r.first[some], axis=0)
+        return np.argmax(out + np.log(self.prior), axis=1)
 
 
 class Attention:
@@ -185,7 +239,7 @@ class Attention:
         k = np.arange(len(text)) - np.repeat(np.append(0, np.cumsum(n)[:-1]), n)
         return first[text] + k * self.p.stride, first[text], first[text + 1]
 
-    def _forward(self, classes: np.ndarray, block: np.ndarray, low: np.ndarray, high: np.ndarray):
+    def _forward(self, classes: np.ndarray, block: np.ndarray, low: np.ndarray, high: np.ndarray, scoring: bool = False):
         p, d = self.p, self.p.width
         at = block[:, None] + np.arange(-p.context, p.stride)
         before = np.clip(at - 1, 0, len(classes) - 1)
@@ -197,10 +251,15 @@ class Attention:
         s += self._causal()
         if (at[:, 0] < low).any():
             s += np.where((at < low[:, None])[:, None, :], np.float32(-1e9), np.float32(0))
-        s -= s.max(axis=2, keepdims=True)
-        np.exp(s, out=s)
-        s /= s.sum(axis=2, keepdims=True)
-        z = np.matmul(s, v)
+        if scoring:  # the sum of the weights comes as one more value; what it divides is smaller
+            np.exp(np.minimum(s, np.float32(60), out=s), out=s)
+            z = np.matmul(s, np.concatenate([v, np.ones((*v.shape[:2], 1), np.float32)], axis=2))
+            z = z[:, :, :d] / z[:, :, d:]
+        else:
+            s -= s.max(axis=2, keepdims=True)
+            np.exp(s, out=s)
+            s /= s.sum(axis=2, keepdims=True)
+            z = np.matmul(s, v)
         hid = x[:, p.context :] + (z.reshape(-1, d) @ self.B).reshape(z.shape)
         logits = np.concatenate([hid.reshape(-1, d), np.ones((hid.shape[0] * p.stride, 1), np.float32)], axis=1) @ np.concatenate([self.O, self.c[None]])
         return inputs, x, q, k, v, s, z, hid, logits, at[:, p.context :]
@@ -215,7 +274,7 @@ class Attention:
         block, low, high = self.windows(first)
         for a in range(0, len(block), chunk):
             part = slice(a, a + chunk)
-            *_, logits, at = self._forward(classes, block[part], low[part], high[part])
+            *_, logits, at = self._forward(classes, block[part], low[part], high[part], True)
             at = at.ravel()
             ok = at < np.repeat(high[part], self.p.stride)
             target = classes[np.where(ok, at, 0)]
@@ -285,7 +344,7 @@ class Model:
     p: LM
     subwords: Subwords
     of_id: np.ndarray  # class of each subword id, the end included
-    log_rest: np.ndarray  # natural log probability of an id given the escape; 0 for ids with a class
+    log_rest: np.ndarray  # natural log probability of an id given its class, by the likeliest kind of text so far
     attention: Attention
     top: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))  # hashes of the most frequent words, ascending
     top_counts: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
@@ -293,27 +352,46 @@ class Model:
     tokens: int = 0  # N
     kinds: int = 0  # V
     whole: bool = True  # whether top holds every training word
-    #: Weights of attention, words and the text so far, by how many words come before: 0, 1, 2-3, 4-7, ...
-    mixture: np.ndarray = field(default_factory=lambda: np.tile([0.4, 0.4, 0.2], (STAGES, 1)))
+    #: Weights of attention, words, kinds and the text so far, by how many words come before: 0, 1, 2-3, 4-7, ...
+    mixture: np.ndarray = field(default_factory=lambda: np.tile([0.4, 0.3, 0.2, 0.1], (STAGES, 1)))
+    by_kind: np.ndarray = field(default_factory=lambda: np.zeros((1, 1), np.float32))  # natural log probability [frequent word, and last the end; kind]
+    prior: np.ndarray = field(default_factory=lambda: np.ones(1))
 
-    def counts(self, hashes: np.ndarray) -> np.ndarray:
-        """Counts of words by the table of frequent ones, -1 where it has none."""
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of words in the table of frequent ones, -1 where it has none."""
         if not len(self.top):
             return np.full(len(hashes), -1, np.int64)
         at = np.minimum(np.searchsorted(self.top, hashes), len(self.top) - 1)
-        return np.where(self.top[at] == hashes, self.top_counts[at], -1)
+        return np.where(self.top[at] == hashes, at, -1)
+
+    def kind_logs(self, r: Read, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each word and end: its natural log probability by the kinds, weighed by the words of the text before it; and the likeliest kind by these."""
+        known = np.append(places >= 0, True)
+        table = np.zeros((len(known), len(self.prior)))
+        table[:-1][known[:-1]] = self.by_kind[:-1][places[known[:-1]]]
+        table[-1] = self.by_kind[-1]
+        own = table[r.word]  # 0 for words outside the table: they say nothing of the kind
+        sums = np.zeros((len(own) + 1, own.shape[1]))
+        np.cumsum(own, axis=0, out=sums[1:])
+        seen = sums[:-1] - sums[r.word_first[:-1]][r.places()[0]] + np.log(self.prior)
+        likeliest = seen.argmax(axis=1)
+        seen -= seen[np.arange(len(seen)), likeliest][:, None]
+        np.exp(seen, out=seen)
+        with np.errstate(divide="ignore"):
+            return np.where(known[r.word], np.log((seen * np.exp(own)).sum(axis=1) / seen.sum(axis=1)), -np.inf), likeliest
 
     def word_logs(self, r: Read) -> tuple[np.ndarray, np.ndarray]:
-        """Natural logs of the three parts [part, word or end] of the batch, and counts of the distinct words and the end."""
-        ids = self.of_id[r.ids]
-        pieces = self.attention.score(ids, r.id_first) + self.log_rest[r.ids]
-        counts = np.append(self.counts(r.distinct), self.ends)
+        """Natural logs of the four parts [part, word or end] of the batch, and counts of the distinct words and the end."""
+        places = self.places(r.distinct)
+        counts = np.append(np.where(places >= 0, np.append(self.top_counts, 0)[places], -1), self.ends)
         total = max(1, int(self.top_counts.sum()) + self.ends)
-        out = np.empty((3, len(r.word)))
+        out = np.empty((4, len(r.word)))
         with np.errstate(divide="ignore"):
-            out[0] = np.add.reduceat(pieces.astype(np.float64), r.piece_first[:-1]) if len(pieces) else 0
             out[1] = np.log(np.maximum(counts, 0) / total)[r.word]
-            out[2] = np.log(r.so_far())
+            out[2], kind = self.kind_logs(r, places) if self.ends else (-np.inf, np.zeros(len(r.word), np.int64))
+            out[3] = np.log(r.so_far())
+        pieces = self.attention.score(self.of_id[r.ids], r.id_first) + self.log_rest[np.repeat(kind, np.diff(r.piece_first)), r.ids]
+        out[0] = np.add.reduceat(pieces.astype(np.float64), r.piece_first[:-1]) if len(pieces) else 0
         return out, counts
 
     def mixed(self, logs: np.ndarray, stage: np.ndarray) -> np.ndarray:
@@ -321,20 +399,24 @@ class Model:
 
 
 def classes(seen: np.ndarray, subwords: Subwords, p: LM) -> tuple[np.ndarray, np.ndarray]:
-    """(class, log probability given the class) of every subword id, from corpus counts: the most frequent ids have a
-    class each; the others share buckets by their first byte and whether they begin a word, the lightest buckets one."""
-    order = np.argsort(-seen[:-1], kind="stable")[: p.frequent]
+    """(class of every subword id, log probability [kind, id] given the class) from corpus counts seen[kind, id]: the most
+    frequent ids have a class each; the others share buckets by their first byte and whether they begin a word, the
+    lightest buckets one."""
+    total = seen.sum(axis=0)
+    order = np.argsort(-total[:-1], kind="stable")[: p.frequent]
     of_id = np.full(subwords.size + 1, -1, np.int64)
     of_id[order], of_id[subwords.end] = np.arange(len(order)), p.outputs - 1
     rest = np.flatnonzero(of_id < 0)
-    weight = np.bincount(subwords.begins[rest], seen[rest] + 0.5, 512)
+    weight = np.bincount(subwords.begins[rest], total[rest] + 0.5, 512)
     named = np.argsort(-weight, kind="stable")[: p.buckets - 1]
     bucket = np.full(512, p.buckets - 1)
     bucket[named] = np.arange(len(named))
     of_id[rest] = p.frequent + bucket[subwords.begins[rest]]
-    log_rest = np.zeros(subwords.size + 1)
-    mass = np.bincount(of_id[rest], seen[rest] + 0.5, p.outputs)
-    log_rest[rest] = np.log((seen[rest] + 0.5) / mass[of_id[rest]])
+    mass = np.bincount(of_id[rest], total[rest] + 0.5, p.outputs)
+    share = (total[rest] + 0.5) / mass[of_id[rest]]
+    log_rest = np.zeros((len(seen), subwords.size + 1), np.float32)
+    for log, own in zip(log_rest, seen, strict=True):
+        log[rest] = np.log((own[rest] + 20 * share) / (np.bincount(of_id[rest], own[rest], p.outputs)[of_id[rest]] + 20))
     return of_id, log_rest
 
 
@@ -342,17 +424,27 @@ def _training(p: LM) -> Column:
     return crc_of(F.col("doc_id")) % p.fold != p.held
 
 
-def _counted(subwords: Subwords):
-    """(kind 0, word hash, count), (kind 1, subword id, count) and (kind 2, 0, texts) of a partition's batches."""
+def _pairs(a: np.ndarray, b: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs of small numbers, and how often each occurs."""
+    counts = np.bincount(a * np.int64(max(1, width)) + b)
+    have = np.flatnonzero(counts)
+    return *np.divmod(have, max(1, width)), counts[have]
+
+
+def _counted(subwords: Subwords, kinds: Kinds):
+    """(kind 0, word hash, count, kind of text), (kind 1, subword id, count) and (kind 2, 0, texts) of a partition's batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in split_bytes(batches, limit=3 << 20):
             r = Read(batch.column(0), subwords)
-            n = np.bincount(r.which, minlength=len(r.distinct)) if len(r.distinct) else np.empty(0, np.int64)
-            ids, k = np.unique(r.ids, return_counts=True)
-            kind = np.concatenate([np.zeros(len(n), np.int8), np.ones(len(ids), np.int8), [2]]).astype(np.int8)
-            key = np.concatenate([r.distinct.astype(np.int64), ids, [0]])
-            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(key), pa.array(np.concatenate([n, k, [batch.num_rows]]).astype(np.int64))], ["kind", "key", "n"])
+            of = kinds.of(r)
+            z, w, n = _pairs(np.repeat(of, np.diff(r.first)), r.which, len(r.distinct))
+            z_ids, ids, k = _pairs(np.repeat(of, np.diff(r.id_first)), r.ids, subwords.size + 1)
+            ends = np.bincount(of, minlength=len(kinds.prior))
+            kind = np.repeat(np.array([0, 1, 2], np.int8), [len(n), len(ids), len(ends)])
+            key = np.concatenate([r.distinct[w].astype(np.int64), ids, np.zeros(len(ends), np.int64)])
+            group = np.concatenate([z, z_ids, np.arange(len(ends))]).astype(np.int8)
+            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(key), pa.array(np.concatenate([n, k, ends]).astype(np.int64)), pa.array(group)], ["kind", "key", "n", "z"])
 
     return run
 
@@ -405,17 +497,25 @@ def train(docs: DataFrame, p: LM = LM()) -> tuple[Model, DataFrame]:  # noqa: B0
     spark = docs.sparkSession
     subwords = Subwords(Path(p.vocabulary).read_bytes())  # on the driver; the ranks travel with the functions
     rows = docs.filter(_training(p))
-    counts = written(rows.select("text").mapInArrow(_counted(subwords), "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "lm-counts")
+    place = F.xxhash64(F.lit(11), F.col("doc_id").cast("string"))
+    edge = rows.select(place.alias("h")).orderBy("h").limit(p.start_rows).agg(F.max("h")).first()[0]
+    sample = rows.filter(place <= edge).select("text", place.alias("h")).orderBy("h", "text").limit(p.start_rows).toArrow()["text"]
+    texts = pa.concat_arrays(sample.chunks) if sample.num_chunks else pa.array([], pa.string())
+    kinds = Kinds.fit(Read(texts, None), p)
+    sums = [F.sum(F.when(F.col("z") == z, F.col("n")).otherwise(0)).alias(f"z{z}") for z in range(p.kinds)]
+    counted = rows.select("text").mapInArrow(_counted(subwords, kinds), "kind byte, key long, n long, z byte")
+    counts = written(counted.groupBy("kind", "key").agg(F.sum("n").alias("n"), *sums), "lm-counts")
     table = counts.filter("kind = 0").select("key", "n")
     totals = counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("k")).collect()
     n, k = ({r["kind"]: r[c] for r in totals} for c in ("n", "k"))
     ends, distinct = n.get(2, 0), k.get(0, 0)
     # subword ids: one row an id, 50 thousand at most
-    ids = counts.filter("kind = 1").select("key", "n").toArrow()
-    seen = np.zeros(subwords.size + 1, np.int64)
-    seen[ids["key"].to_numpy()] = ids["n"].to_numpy()
+    ids = counts.filter("kind = 1").select("key", *[f"z{z}" for z in range(p.kinds)]).toArrow()
+    seen = np.zeros((p.kinds, subwords.size + 1), np.int64)
+    for z in range(p.kinds):
+        seen[z, ids["key"].to_numpy()] = ids[f"z{z}"].to_numpy()
     of_id, log_rest = classes(seen, subwords, p)
-    by_class = np.bincount(of_id, seen + 0.01, p.outputs) + 1e-6
+    by_class = np.bincount(of_id, seen.sum(axis=0) + 0.01, p.outputs) + 1e-6
     model = Model(p, subwords, of_id, log_rest, Attention(p, np.log(by_class / by_class.sum())))
     # the most frequent words: the least count at which at most top_words words are left
     least = 1
@@ -426,16 +526,20 @@ def train(docs: DataFrame, p: LM = LM()) -> tuple[Model, DataFrame]:  # noqa: B0
             if words_with > room:
                 break
             room, least = room - words_with, count
-    top = table.filter(F.col("n") >= least).toArrow()
+    top = counts.filter((F.col("kind") == 0) & (F.col("n") >= least)).select("key", "n", *[F.col(f"z{z}").cast("float").alias(f"z{z}") for z in range(p.kinds)]).toArrow()
     hashes = top["key"].to_numpy().astype(np.uint64)
     by = np.argsort(hashes)
     model.top, model.top_counts, model.whole = hashes[by], top["n"].to_numpy()[by], distinct <= top.num_rows
     model.ends, model.tokens, model.kinds = int(ends), int(n.get(0, 0) + ends), int(distinct + (ends > 0))
     if ends:
-        place = F.xxhash64(F.lit(11), F.col("doc_id").cast("string"))
-        edge = rows.select(place.alias("h")).orderBy("h").limit(p.start_rows).agg(F.max("h")).first()[0]
-        sample = rows.filter(place <= edge).select("text", place.alias("h")).orderBy("h", "text").limit(p.start_rows).toArrow()["text"]
-        texts = pa.concat_arrays(sample.chunks) if isinstance(sample, pa.ChunkedArray) else sample
+        of_ends = counts.filter("kind = 2").select(*[f"z{z}" for z in range(p.kinds)]).first()
+        by_kind = np.empty((len(by) + 1, p.kinds), np.float32)
+        for z in range(p.kinds):
+            n_z = np.append(top[f"z{z}"].to_numpy()[by], of_ends[z]).astype(np.float64)
+            whole = np.append(model.top_counts, ends) / (model.top_counts.sum() + ends)
+            by_kind[:, z] = np.log((n_z + 1000 * whole) / (n_z.sum() + 1000))
+        model.by_kind, model.prior = by_kind, (np.array(of_ends, float) + 1) / (ends + p.kinds)
+        del top
         cut = max(1, len(texts) * 4 // 5)
         r = Read(texts.slice(0, cut), subwords)
         limit = r.id_first[min(len(r.id_first) - 1, max(1, int(np.searchsorted(r.id_first, p.start_ids))))]
