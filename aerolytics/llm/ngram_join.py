@@ -90,7 +90,8 @@ def _groups(s: np.ndarray, groups: int, salt: int) -> tuple[np.ndarray, np.ndarr
 
 
 def signatures(s: np.ndarray, join: Join, heavy: np.ndarray | None = None) -> np.ndarray:
-    """The signatures of a set (uint64), as the smaller of a pair under its own size class and as the larger under the class below.
+    """The signatures of a set (uint64), as the smaller of a pair under its own size class and as the larger under the class
+    below: the last bit says which, the others must agree.
 
     Of two that link, at most D elements differ, so at most D groups do. A set whose light elements (those that are not
     `heavy`) fill more than D groups signs with these alone; one that has fewer signs with all its elements, too. It
@@ -100,7 +101,7 @@ def signatures(s: np.ndarray, join: Join, heavy: np.ndarray | None = None) -> np
     width = math.log(1 / join.t) * 1.001
     own = int(math.log(n) / width)
     light = s if heavy is None or not len(heavy) else s[heavy[np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)] != s]
-    for c in (own, own - 1):
+    for role, c in enumerate((own, own - 1)):
         if c < 0:
             continue
         differ = int(math.exp((c + 1) * width) * (1 / join.t - 1) + 1e-9)
@@ -111,13 +112,14 @@ def signatures(s: np.ndarray, join: Join, heavy: np.ndarray | None = None) -> np
                     continue
                 sigs, sizes = _groups(part, groups, (c + 1) * 4 + 2 * salt + kind)
                 enough = len(sizes) > differ
-                out.append(sigs[sizes >= np.sort(sizes)[-differ - 1]] if enough else sigs)
+                chosen = sigs[sizes >= np.sort(sizes)[-differ - 1]] if enough else sigs
+                out.append(chosen & ~np.uint64(1) | np.uint64(role))
                 if enough or part is s:
                     break
     return np.concatenate(out)
 
 
-def _classes(join: Join, often: int = 8):
+def _classes(join: Join, often: int = 4):
     """(kind 0) doc_id, x, n, f1, f2 of each text; (kind 1) hash and count of shingles that `often` texts of a batch hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +148,7 @@ def _signed(join: Join, parts: int, heavy: np.ndarray, flush: int = 1_000_000):
 
         def packed() -> pa.RecordBatch:
             s, f = np.concatenate(sigs), np.concatenate(names)
-            part = (s >> np.uint64(32)).astype(np.int64) % parts
+            part = (s >> np.uint64(32)).astype(np.int64) % parts  # without the last bit
             order = np.argsort(part, kind="stable")
             s, f = s[order], f[order]
             cut = np.searchsorted(part[order], np.arange(parts + 1))
@@ -174,22 +176,24 @@ def _signed(join: Join, parts: int, heavy: np.ndarray, flush: int = 1_000_000):
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each signature: an edge from every class to the least. One partition of two longs a signature."""
+    """Of each signature: an edge from every class to the least one that signs as the smaller; without such a one, none, as
+    those that all sign as the larger meet under their own size. One partition of two longs a signature."""
     got = [(np.frombuffer(s, np.uint64), np.frombuffer(f, np.int64)) for b in batches for s, f in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
     if not got:
         return
     sig, name = np.concatenate([s for s, _ in got]), np.concatenate([f for _, f in got])
     del got
     order = np.argsort(sig, kind="stable")
-    sig, name = sig[order], name[order]
+    role, sig, name = sig[order] & np.uint64(1), sig[order] >> np.uint64(1), name[order]
     same = np.append(sig[1:] == sig[:-1], False)
     keep = same | np.append(False, same[:-1])  # signatures that occur twice at least
-    sig, name = sig[keep], name[keep]
+    role, sig, name = role[keep], sig[keep], name[keep]
     if not len(sig):
         return
     first = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
-    head = np.repeat(np.minimum.reduceat(name, first), np.diff(np.append(first, len(sig))))
-    edges = np.unique(np.stack([head, name], axis=1)[head != name], axis=0)
+    none = np.iinfo(np.int64).max
+    head = np.repeat(np.minimum.reduceat(np.where(role == 0, name, none), first), np.diff(np.append(first, len(sig))))
+    edges = np.unique(np.stack([head, name], axis=1)[(head != name) & (head != none)], axis=0)
     if len(edges):
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(edges[:, i])) for i in (0, 1)], ["fa", "fb"])
 
