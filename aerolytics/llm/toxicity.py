@@ -233,7 +233,7 @@ def fit(texts: list[str], labels: np.ndarray, part: np.ndarray, fewest: int = 12
     return Model(lexicon, trees, Isotonic().fit(trees.raw(x[bend]), labels[bend]))
 
 
-def train(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000, fold: int = 5, held: int = 0) -> Model:
+def train(docs: DataFrame, labels: DataFrame, most_rows: int = 8_000, fold: int = 5, held: int = 0) -> Model:
     """Learns from labelled documents whose crc32(doc_id) mod fold is not `held`: at most most_rows, a bounded sample by hash."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").alias("toxic"))
     known = known.filter(crc_of(F.col("id")) % fold != held).orderBy(F.xxhash64("id"), "id").limit(most_rows)
