@@ -14,9 +14,10 @@ scores its last `stride` ids with at least `context` ids before them (fewer at a
 once, by batched masked attention over many windows at a time.
 
 What is learnt from the corpus: counts of all words and of all subword ids of all training documents (distributed sums);
-attention weights, started on `start_rows` documents and then trained on a share of the documents of every partition,
-each partition by itself, and averaged by ids seen (one round of federated averaging). That share grows with the
-input; averages are formed on the executors in at most 64 streams, so the driver sees 64 sets of weights at most.
+attention weights, started on four fifths of `start_rows` documents and then trained in one streamed pass over all
+training documents, each partition by itself, and averaged by ids seen (one round of federated averaging). Only the
+last fifth of the starting documents, 300 at most, is kept from it, as the mixture is fitted on these. Averages are
+formed on the executors in at most 64 streams, so the driver sees 64 sets of weights at most.
 
 The add-one unigram base needs the count of every token. The most frequent words (at most `top_words`, a fixed size)
 are looked up where the text is; the rest go through a join on the word's hash and are summed by row.
@@ -54,16 +55,15 @@ STAGES = 10
 class LM:
     vocabulary: str = VOCABULARY
     width: int = 24
-    context: int = 4
-    stride: int = 20
-    frequent: int = 160  # ids with an output of their own
-    buckets: int = 39  # outputs for the other ids, by how they begin; then the end
-    top_words: int = 1 << 19
+    context: int = 12
+    stride: int = 12
+    frequent: int = 224  # ids with an output of their own
+    buckets: int = 63  # outputs for the other ids, by how they begin; then the end
+    top_words: int = 1 << 20
     start_rows: int = 1_500
     start_ids: int = 2_500_000
     kinds: int = 4  # of documents
     kind_words: int = 20_000  # words that tell kinds apart, of the starting documents
-    share: int = 64  # one in so many training documents trains the weights
     fold: int = 7
     held: int = 2
 
@@ -349,6 +349,7 @@ class Model:
     top: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))  # hashes of the most frequent words, ascending
     top_counts: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
     ends: int = 0  # training documents
+    trained: int = 0  # subword ids that the pass over the training documents took
     tokens: int = 0  # N
     kinds: int = 0  # V
     whole: bool = True  # whether top holds every training word
@@ -497,10 +498,10 @@ def train(docs: DataFrame, p: LM = LM()) -> tuple[Model, DataFrame]:  # noqa: B0
     spark = docs.sparkSession
     subwords = Subwords(Path(p.vocabulary).read_bytes())  # on the driver; the ranks travel with the functions
     rows = docs.filter(_training(p))
-    place = F.xxhash64(F.lit(11), F.col("doc_id").cast("string"))
+    place = F.xxhash64(F.lit(11), F.col("doc_id").cast("string"), F.col("text"))
     edge = rows.select(place.alias("h")).orderBy("h").limit(p.start_rows).agg(F.max("h")).first()[0]
-    sample = rows.filter(place <= edge).select("text", place.alias("h")).orderBy("h", "text").limit(p.start_rows).toArrow()["text"]
-    texts = pa.concat_arrays(sample.chunks) if sample.num_chunks else pa.array([], pa.string())
+    sample = rows.filter(place <= edge).select("text", place.alias("h")).orderBy("h", "text").limit(p.start_rows).toArrow()
+    texts = sample["text"].combine_chunks() if sample.num_rows else pa.array([], pa.string())
     kinds = Kinds.fit(Read(texts, None), p)
     sums = [F.sum(F.when(F.col("z") == z, F.col("n")).otherwise(0)).alias(f"z{z}") for z in range(p.kinds)]
     counted = rows.select("text").mapInArrow(_counted(subwords, kinds), "kind byte, key long, n long, z byte")
@@ -545,13 +546,16 @@ def train(docs: DataFrame, p: LM = LM()) -> tuple[Model, DataFrame]:  # noqa: B0
         limit = r.id_first[min(len(r.id_first) - 1, max(1, int(np.searchsorted(r.id_first, p.start_ids))))]
         keep = r.id_first[r.id_first <= limit]
         model.attention.train(of_id[r.ids[:limit]], keep, int(np.clip(2 * p.start_ids // max(1, limit), 2, 10)), 0.02)
-        chosen = rows.filter(F.pmod(F.xxhash64(F.lit(12), F.col("doc_id").cast("string")), F.lit(p.share)) == 0).select("text")
-        local = chosen.mapInArrow(_local(model), "w binary, n long").withColumn("g", F.pmod(F.spark_partition_id(), F.lit(64)))
+        # the texts that fit the mixture do not train, nor do their repeated rows
+        fits = F.lit(False) if cut == len(texts) else place.between(sample["h"][cut].as_py(), edge)
+        others = rows.filter(~fits)
+        local = others.select("text").mapInArrow(_local(model), "w binary, n long").withColumn("g", F.pmod(F.spark_partition_id(), F.lit(64)))
         sums = local.repartition(min(64, int(spark.conf.get("spark.sql.shuffle.partitions"))), "g").select("w", "n").mapInArrow(_added, "w binary, n long").collect()
         held = texts.slice(cut) if cut < len(texts) else texts
         if sums:
             loss = lambda: -float(model.word_logs(Read(held, subwords))[0][0].mean())
             start, before = model.attention.weights(), loss()
+            model.trained = sum(s["n"] for s in sums)
             model.attention.load(sum(np.frombuffer(s["w"], np.float64) for s in sums) / sum(s["n"] for s in sums))
             if loss() > before:
                 model.attention.load(start)

@@ -131,3 +131,10 @@ def test_awkward_rows(spark):
     rows = score_documents(held, SMALL).collect()  # nothing to learn from
     assert rows and all(r.train_tokens == 0 and r.n_known == 0 and r.base_score == 0 for r in rows)
     assert train(held, SMALL)[0].ends == 0
+
+
+def test_attention_is_trained_on_all_training_documents_but_those_of_the_mixture(spark, subwords):
+    d = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 300")
+    docs = [r.text for r in d.filter((F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7) != 2).collect()]
+    size = [len(Read(pa.array([t]), subwords).ids) for t in docs]
+    assert sum(size) - sum(sorted(size)[-8:]) <= train(d, SMALL)[0].trained < sum(size)
