@@ -17,7 +17,8 @@ What is learnt from the corpus: counts of all words and of all subword ids of al
 attention weights, started on four fifths of `start_rows` documents and then trained in one streamed pass over all
 training documents, each partition by itself, and averaged by ids seen (one round of federated averaging). Only the
 last fifth of the starting documents, 300 at most, is kept from it, as the mixture is fitted on these. Averages are
-formed on the executors in at most 64 streams, so the driver sees 64 sets of weights at most.
+formed on the executors in at most 64 streams, so the driver sees 64 sets of weights at most. The averaged weights are
+always the model's; `held_out` has what attention alone scores with them and with those of the start.
 
 The add-one unigram base needs the count of every token. The most frequent words (at most `top_words`, a fixed size)
 are looked up where the text is; the rest go through a join on the word's hash and are summed by row.
@@ -62,6 +63,7 @@ class LM:
     top_words: int = 1 << 20
     start_rows: int = 1_500
     start_ids: int = 2_500_000
+    rate: float = 0.001  # of the pass over all training documents
     kinds: int = 4  # of documents
     kind_words: int = 20_000  # words that tell kinds apart, of the starting documents
     fold: int = 7
@@ -349,6 +351,7 @@ class Model:
     top: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))  # hashes of the most frequent words, ascending
     top_counts: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
     ends: int = 0  # training documents
+    held_out: tuple[float, float] | None = None  # log10 probability a token by attention alone, of the texts that fit the mixture: with the weights of the start, and with the averaged ones
     trained: int = 0  # subword ids that the pass over the training documents took
     tokens: int = 0  # N
     kinds: int = 0  # V
@@ -458,7 +461,7 @@ def _local(model: Model, rounds: int = 1):
         seen = 0
         for batch in split_bytes(batches, limit=2 << 20):
             r = Read(batch.column(0), model.subwords)
-            a.train(model.of_id[r.ids], r.id_first, rounds, 0.003, seed=seen)
+            a.train(model.of_id[r.ids], r.id_first, rounds, model.p.rate, seed=seen)
             seen += len(r.ids)
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([(a.weights().astype(np.float64) * seen).tobytes()], pa.binary()), pa.array([seen], pa.int64())], ["w", "n"])
@@ -553,12 +556,11 @@ def train(docs: DataFrame, p: LM = LM()) -> tuple[Model, DataFrame]:  # noqa: B0
         sums = local.repartition(min(64, int(spark.conf.get("spark.sql.shuffle.partitions"))), "g").select("w", "n").mapInArrow(_added, "w binary, n long").collect()
         held = texts.slice(cut) if cut < len(texts) else texts
         if sums:
-            loss = lambda: -float(model.word_logs(Read(held, subwords))[0][0].mean())
-            start, before = model.attention.weights(), loss()
+            alone = lambda: float(model.word_logs(Read(held, subwords))[0][0].mean() / math.log(10))
+            before = alone()
             model.trained = sum(s["n"] for s in sums)
-            model.attention.load(sum(np.frombuffer(s["w"], np.float64) for s in sums) / sum(s["n"] for s in sums))
-            if loss() > before:
-                model.attention.load(start)
+            model.attention.load(sum(np.frombuffer(s["w"], np.float64) for s in sums) / model.trained)
+            model.held_out = (before, alone())
         model.mixture = _mixture(model, held)
     return model, table
 

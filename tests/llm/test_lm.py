@@ -138,3 +138,10 @@ def test_attention_is_trained_on_all_training_documents_but_those_of_the_mixture
     docs = [r.text for r in d.filter((F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7) != 2).collect()]
     size = [len(Read(pa.array([t]), subwords).ids) for t in docs]
     assert sum(size) - sum(sorted(size)[-8:]) <= train(d, SMALL)[0].trained < sum(size)
+
+
+def test_averaged_weights_are_kept_whatever_they_score(spark):
+    d = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 100")
+    start, worse = (train(d, LM(start_rows=80, start_ids=200_000, rate=r))[0] for r in (1e-12, 0.25))
+    assert worse.held_out[1] < worse.held_out[0] == start.held_out[0]
+    assert np.abs(worse.attention.weights() - start.attention.weights()).max() > 0.05
