@@ -5,7 +5,7 @@ fitted by EM on texts kept from the attention's training, of
   attention  the product over the word's subword ids (a public byte-level vocabulary, given by its path; never trained)
              of a one-head causal self-attention model with a softmax over the most frequent ids, buckets of the
              others (each with a unigram inside), and the end;
-  words      the relative frequency of the word among the most frequent words of the training documents;
+  words      the relative frequency of the word in the training documents;
   kinds      the same within kinds of documents (languages, say), each by its probability given the words so far. Kinds
              are found on the starting documents; every training document then counts for its most likely kind; and
   text       its relative frequency among the words of the text before it.
@@ -20,8 +20,9 @@ last fifth of the starting documents, 300 at most, is kept from it, as the mixtu
 formed on the executors in at most 64 streams, so the driver sees 64 sets of weights at most. The averaged weights are
 always the model's; `held_out` has what attention alone scores with them and with those of the start.
 
-The add-one unigram base needs the count of every token. The most frequent words (at most `top_words`, a fixed size)
-are looked up where the text is; the rest go through a join on the word's hash and are summed by row.
+Words, kinds and the add-one unigram base need the count of every training word. The most frequent words (at most
+`top_words`, a fixed size) are looked up where the text is; where there are more, the counts of the rest come to each
+text by a join on the word's hash before it is scored, so no score depends on `top_words`.
 
 Defined cases: null is an empty text, whose only token is its end; without training documents every count is 0, the
 base is 0 per token with N = 0 and V = 0, and the model is uniform over ids; repeated rows are scored alike; an empty
@@ -341,6 +342,22 @@ class Attention:
         return self
 
 
+@dataclass
+class Rare:
+    """Counts of training words that the table of frequent ones lacks."""
+
+    words: np.ndarray  # hashes, ascending
+    counts: np.ndarray
+    by_kind: np.ndarray  # [word, kind]
+
+    @classmethod
+    def of(cls, columns: list[pa.Array]) -> Rare:
+        """From columns key, n, z0, z1, ...; a word may be there many times."""
+        key, at = np.unique(columns[0].to_numpy(zero_copy_only=False).astype(np.uint64), return_index=True)
+        n, *by = (c.to_numpy(zero_copy_only=False)[at] for c in columns[1:])
+        return cls(key, n, np.stack(by, axis=1).astype(np.float64))
+
+
 @dataclass
 class Model:
     p: LM
@@ -358,7 +375,9 @@ class Model:
     whole: bool = True  # whether top holds every training word
     #: Weights of attention, words, kinds and the text so far, by how many words come before: 0, 1, 2-3, 4-7, ...
     mixture: np.ndarray = field(default_factory=lambda: np.tile([0.4, 0.3, 0.2, 0.1], (STAGES, 1)))
-    by_kind: np.ndarray = field(default_factory=lambda: np.zeros((1, 1), np.float32))  # natural log probability [frequent word, and last the end; kind]
+    top_by_kind: np.ndarray = field(default_factory=lambda: np.zeros((0, 1), np.float32))  # counts [word, kind]
+    ends_by_kind: np.ndarray = field(default_factory=lambda: np.zeros(1))
+    of_kind: np.ndarray = field(default_factory=lambda: np.zeros(1))  # tokens of each kind
     prior: np.ndarray = field(default_factory=lambda: np.ones(1))
 
     def places(self, hashes: np.ndarray) -> np.ndarray:
@@ -368,13 +387,25 @@ class Model:
         at = np.minimum(np.searchsorted(self.top, hashes), len(self.top) - 1)
         return np.where(self.top[at] == hashes, at, -1)
 
-    def kind_logs(self, r: Read, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def counts(self, hashes: np.ndarray, rare: Rare | None) -> tuple[np.ndarray, np.ndarray]:
+        """Training counts of words, and last of the end: in all, and [word, kind]; `rare` has the training words outside the table."""
+        places = self.places(hashes)
+        n, by = np.zeros(len(hashes) + 1, np.int64), np.zeros((len(hashes) + 1, len(self.prior)))
+        n[-1], by[-1] = self.ends, self.ends_by_kind
+        hit = np.flatnonzero(places >= 0)
+        n[hit], by[hit] = self.top_counts[places[hit]], self.top_by_kind[places[hit]]
+        if rare is not None and len(rare.words):
+            at = np.minimum(np.searchsorted(rare.words, hashes), len(rare.words) - 1)
+            hit = np.flatnonzero((rare.words[at] == hashes) & (places < 0))
+            n[hit], by[hit] = rare.counts[at[hit]], rare.by_kind[at[hit]]
+        return n, by
+
+    def kind_logs(self, r: Read, counts: np.ndarray, by_kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of each word and end: its natural log probability by the kinds, weighed by the words of the text before it; and the likeliest kind by these."""
-        known = np.append(places >= 0, True)
+        known = counts > 0
         table = np.zeros((len(known), len(self.prior)))
-        table[:-1][known[:-1]] = self.by_kind[:-1][places[known[:-1]]]
-        table[-1] = self.by_kind[-1]
-        own = table[r.word]  # 0 for words outside the table: they say nothing of the kind
+        table[known] = np.log((by_kind[known] + 1000 * (counts[known] / self.tokens)[:, None]) / (self.of_kind + 1000))
+        own = table[r.word]  # 0 for words that no training document has: they say nothing of the kind
         sums = np.zeros((len(own) + 1, own.shape[1]))
         np.cumsum(own, axis=0, out=sums[1:])
         seen = sums[:-1] - sums[r.word_first[:-1]][r.places()[0]] + np.log(self.prior)
@@ -384,15 +415,13 @@ class Model:
         with np.errstate(divide="ignore"):
             return np.where(known[r.word], np.log((seen * np.exp(own)).sum(axis=1) / seen.sum(axis=1)), -np.inf), likeliest
 
-    def word_logs(self, r: Read) -> tuple[np.ndarray, np.ndarray]:
+    def word_logs(self, r: Read, rare: Rare | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Natural logs of the four parts [part, word or end] of the batch, and counts of the distinct words and the end."""
-        places = self.places(r.distinct)
-        counts = np.append(np.where(places >= 0, np.append(self.top_counts, 0)[places], -1), self.ends)
-        total = max(1, int(self.top_counts.sum()) + self.ends)
+        counts, by_kind = self.counts(r.distinct, rare)
         out = np.empty((4, len(r.word)))
         with np.errstate(divide="ignore"):
-            out[1] = np.log(np.maximum(counts, 0) / total)[r.word]
-            out[2], kind = self.kind_logs(r, places) if self.ends else (-np.inf, np.zeros(len(r.word), np.int64))
+            out[1] = np.log(counts / max(1, self.tokens))[r.word]
+            out[2], kind = self.kind_logs(r, counts, by_kind) if self.ends else (-np.inf, np.zeros(len(r.word), np.int64))
             out[3] = np.log(r.so_far())
         pieces = self.attention.score(self.of_id[r.ids], r.id_first) + self.log_rest[np.repeat(kind, np.diff(r.piece_first)), r.ids]
         out[0] = np.add.reduceat(pieces.astype(np.float64), r.piece_first[:-1]) if len(pieces) else 0
@@ -479,10 +508,10 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([seen], pa.int64())], ["w", "n"])
 
 
-def _mixture(model: Model, texts: pa.Array) -> np.ndarray:
+def _mixture(model: Model, texts: pa.Array, rare: Rare | None = None) -> np.ndarray:
     """The weights of the parts that fit texts which the attention was not trained on best, by EM."""
     r = Read(texts, model.subwords)
-    logs, _ = model.word_logs(r)
+    logs, _ = model.word_logs(r, rare)
     stage = r.stage()
     w, n = model.mixture.copy(), np.bincount(stage, minlength=STAGES)[:, None]
     prior = 20.0  # words that a stage borrows from the mean of all
@@ -497,7 +526,7 @@ def _mixture(model: Model, texts: pa.Array) -> np.ndarray:
 
 
 def train(docs: DataFrame, p: LM = LM()) -> tuple[Model, DataFrame]:  # noqa: B008
-    """The model, and the table of word counts (key, n) of the training documents."""
+    """The model, and the table of word counts (key, n, and z0, z1, ... by kind) of the training documents."""
     spark = docs.sparkSession
     subwords = Subwords(Path(p.vocabulary).read_bytes())  # on the driver; the ranks travel with the functions
     rows = docs.filter(_training(p))
@@ -509,8 +538,9 @@ def train(docs: DataFrame, p: LM = LM()) -> tuple[Model, DataFrame]:  # noqa: B0
     sums = [F.sum(F.when(F.col("z") == z, F.col("n")).otherwise(0)).alias(f"z{z}") for z in range(p.kinds)]
     counted = rows.select("text").mapInArrow(_counted(subwords, kinds), "kind byte, key long, n long, z byte")
     counts = written(counted.groupBy("kind", "key").agg(F.sum("n").alias("n"), *sums), "lm-counts")
-    table = counts.filter("kind = 0").select("key", "n")
-    totals = counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("k")).collect()
+    z_names = [f"z{z}" for z in range(p.kinds)]
+    table = counts.filter("kind = 0").select("key", "n", *z_names)
+    totals = counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("k"), *[F.sum(z).alias(z) for z in z_names]).collect()
     n, k = ({r["kind"]: r[c] for r in totals} for c in ("n", "k"))
     ends, distinct = n.get(2, 0), k.get(0, 0)
     # subword ids: one row an id, 50 thousand at most
@@ -536,13 +566,10 @@ def train(docs: DataFrame, p: LM = LM()) -> tuple[Model, DataFrame]:  # noqa: B0
     model.top, model.top_counts, model.whole = hashes[by], top["n"].to_numpy()[by], distinct <= top.num_rows
     model.ends, model.tokens, model.kinds = int(ends), int(n.get(0, 0) + ends), int(distinct + (ends > 0))
     if ends:
-        of_ends = counts.filter("kind = 2").select(*[f"z{z}" for z in range(p.kinds)]).first()
-        by_kind = np.empty((len(by) + 1, p.kinds), np.float32)
-        for z in range(p.kinds):
-            n_z = np.append(top[f"z{z}"].to_numpy()[by], of_ends[z]).astype(np.float64)
-            whole = np.append(model.top_counts, ends) / (model.top_counts.sum() + ends)
-            by_kind[:, z] = np.log((n_z + 1000 * whole) / (n_z.sum() + 1000))
-        model.by_kind, model.prior = by_kind, (np.array(of_ends, float) + 1) / (ends + p.kinds)
+        by_kind = {r["kind"]: np.array([r[z] for z in z_names], float) for r in totals}
+        model.ends_by_kind, model.of_kind = by_kind[2], by_kind[2] + by_kind.get(0, 0.0)
+        model.top_by_kind = np.stack([top[z].to_numpy()[by] for z in z_names], axis=1)
+        model.prior = (by_kind[2] + 1) / (ends + p.kinds)
         del top
         cut = max(1, len(texts) * 4 // 5)
         r = Read(texts.slice(0, cut), subwords)
@@ -561,35 +588,43 @@ def train(docs: DataFrame, p: LM = LM()) -> tuple[Model, DataFrame]:  # noqa: B0
             model.trained = sum(s["n"] for s in sums)
             model.attention.load(sum(np.frombuffer(s["w"], np.float64) for s in sums) / model.trained)
             model.held_out = (before, alone())
-        model.mixture = _mixture(model, held)
+        rare = None
+        if not model.whole:  # the words of 300 texts at most
+            asked = Read(held, None).distinct
+            asked = spark.createDataFrame(pa.table({"key": asked[model.places(asked) < 0].astype(np.int64)}))
+            rare = Rare.of([c.combine_chunks() for c in table.join(asked, "key").select("key", "n", *z_names).toArrow().columns])
+        model.mixture = _mixture(model, held, rare)
     return model, table
 
 
+def _asked(model: Model):
+    """(rid, key) of the distinct words of each text that the table of frequent words lacks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in split_bytes(batches, limit=3 << 20):
+            r = Read(batch.column(1), None)
+            text = np.repeat(np.arange(batch.num_rows), np.diff(r.first))
+            odd = (model.places(r.distinct) < 0)[r.which]
+            t, w = np.divmod(np.unique(text[odd] * np.int64(len(r.distinct) + 1) + r.which[odd]), len(r.distinct) + 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(t)), pa.array(r.distinct[w].astype(np.int64))], ["rid", "key"])
+
+    return run
+
+
 def _scored(model: Model):
-    """A row for each text; and, where the table of frequent words is not whole, a row for each other distinct word of it."""
+    """A row for each text; where the table of frequent words is not whole, the last column has the counts of the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "key", "tf"]
-        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
+        names = ["doc_id", "held_out", "n_tokens", "n_known", "base", "score"]
         for batch in split_bytes(batches, limit=3 << 20):
-            r = Read(batch.column(3), model.subwords)
-            logs, counts = model.word_logs(r)
+            r = Read(batch.column(2), model.subwords)
+            logs, counts = model.word_logs(r, None if model.whole else Rare.of(batch.column(3).flatten().flatten()))
             at = r.word_first[:-1]  # every text has its end, so no range is empty
             score = np.add.reduceat(model.mixed(logs, r.stage()), at) / math.log(10)
             c = counts[r.word]
-            n = np.diff(r.word_first)
-            base = np.add.reduceat(np.log10(np.maximum(c, 0) + 1), at)
+            base = np.add.reduceat(np.log10(c + 1), at)
             seen = np.add.reduceat((c > 0).astype(np.int64), at)
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(3)], pa.array(n), pa.array(seen), pa.array(base), pa.array(score), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.int64())], names)
-            if model.whole:
-                continue
-            text = np.repeat(np.arange(batch.num_rows), np.diff(r.first))
-            odd = counts[:-1][r.which] < 0
-            pair, tf = np.unique(text[odd] * np.int64(len(r.distinct) + 1) + r.which[odd], return_counts=True)
-            if len(pair):
-                t, w = np.divmod(pair, len(r.distinct) + 1)
-                key = pa.array(r.distinct[w].astype(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(t)), *[pa.nulls(len(t), k) for k in kinds[1:7]], key, pa.array(tf.astype(np.int64))], names)
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(2)], pa.array(np.diff(r.word_first)), pa.array(seen), pa.array(base), pa.array(score)], names)
 
     return run
 
@@ -597,13 +632,12 @@ def _scored(model: Model):
 def score_documents(docs: DataFrame, p: LM = LM()) -> DataFrame:  # noqa: B008
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     model, table = train(docs, p)
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), (~_training(p)).alias("held_out"), "text")
-    schema = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, key long, tf long"
-    parts = written(rows.mapInArrow(_scored(model), schema), "lm-scores")
-    out = parts.filter("key IS NULL").drop("key", "tf")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (~_training(p)).alias("held_out"), "text")
     if not model.whole:
-        rare = parts.filter("key IS NOT NULL").select("rid", "key", "tf").join(table, "key")
-        rare = rare.groupBy("rid").agg(F.sum("tf").alias("known"), F.sum(F.col("tf") * F.log10(F.col("n") + 1)).alias("logs"))
-        out = out.join(rare, "rid", "left").withColumns({"n_known": F.col("n_known") + F.coalesce("known", F.lit(0)), "base": F.col("base") + F.coalesce("logs", F.lit(0.0))})
+        rows = written(rows.withColumn("rid", F.monotonically_increasing_id()), "lm-texts")
+        found = rows.select("rid", "text").mapInArrow(_asked(model), "rid long, key long").join(table, "key")
+        found = found.groupBy("rid").agg(F.collect_list(F.struct(*table.columns)).alias("known"))
+        rows = rows.join(found, "rid", "left").select("doc_id", "held_out", "text", "known")
+    out = written(rows.mapInArrow(_scored(model), "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"), "lm-scores")
     rest = math.log10(model.tokens + model.kinds + 1)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * rest).alias("base_score"), "score")

@@ -145,3 +145,11 @@ def test_averaged_weights_are_kept_whatever_they_score(spark):
     start, worse = (train(d, LM(start_rows=80, start_ids=200_000, rate=r))[0] for r in (1e-12, 0.25))
     assert worse.held_out[1] < worse.held_out[0] == start.held_out[0]
     assert np.abs(worse.attention.weights() - start.attention.weights()).max() > 0.05
+
+
+def test_scores_do_not_depend_on_the_table_of_frequent_words(spark):
+    d = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 200").unionByName(fx.awkward(spark))
+    key = lambda r: (r.doc_id is None, r.doc_id, r.n_tokens, r.score)
+    whole, *cut = (sorted(score_documents(d, LM(start_rows=40, start_ids=20_000, top_words=top)).collect(), key=key) for top in (1 << 20, 1, 300))
+    for rows in cut:
+        assert all(a[:6] == b[:6] and abs(a.score - b.score) <= 1e-3 + 1e-5 * abs(a.score) for a, b in zip(whole, rows, strict=True))
