@@ -1,4 +1,4 @@
-"""Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming search, exact verification.
+"""Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming search, signature shingles, exact verification.
 
 Items and documents are read as lower-cased words. Anchors are the words whose hash is least among `around` words in a
 row, so a copy of an item has the anchors of the item whatever stands about it. A window runs from an anchor over the
@@ -7,13 +7,19 @@ anchors. A window's fingerprint is the SimHash of its words, words that many ite
 
 Fingerprints are cut into blocks; two that differ in at most `radius` bits agree up to radius // blocks bits in one
 block at least, so looking up each block with all its neighbours at that distance finds every fingerprint within the
-radius (multi-index hashing). What is found is verified: the item against the stretch of the document that it would
-cover, by the exact weighted Jaccard similarity of their 5-word shingles (a shingle weighs the sum of its words).
+radius (multi-index hashing). Windows alone lose copies that are edited where the anchors stand. Therefore every shingle
+of a document is also looked up among the items' signatures: an item's signature is those of its 5-word shingles, least
+shared among items first, that together weigh more than the part that a similar stretch may lack (1 - `similarity`), so
+every stretch that reaches the similarity holds one of them at least.
+
+What is found is verified by the exact weighted Jaccard similarity of 5-word shingles (a shingle weighs the sum of its
+words): the best stretch near what was found, of half to about twice the item's words, that begins and ends with a
+shingle of the item.
 
 The index of a block of at most `items_a_pass` items travels to the executors (its size is bounded by that); more
 items take more passes over the documents. Documents are read in one scan a pass, without a shuffle.
 
-Defined cases: items without words match nothing; items shorter than a shingle are one shingle; null and empty texts
+Defined cases: items without words match nothing; items shorter than a shingle are one shingle, looked up at every word; null and empty texts
 are clean; repeated rows, repeated items and equal ids are all reported; extra columns are not read.
 """
 
@@ -190,6 +196,7 @@ class Index:
         if self.built is None:
             self.built = {n: Multi(np.array([f for f, _, _ in w], np.uint64), self.p.radius, self.p.blocks) for n, w in self.windows.items()}
             self.shingles = [self._set(x) for x in self.items]
+            self.signatures = self._signatures()
 
     def _set(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct shingles and their weights."""
@@ -198,36 +205,93 @@ class Index:
         s, at = np.unique(_shingled(h, k) if k else np.empty(0, np.uint64), return_index=True)
         return s, w[at]
 
-    def similarity(self, item: int, stretch: np.ndarray) -> float:
-        if len(stretch) < self.p.shingle > len(self.items[item]) and len(stretch) != len(self.items[item]):
-            return 0.0
-        (a, wa), (b, wb) = self.shingles[item], self._set(stretch)
-        both = wa[np.isin(a, b, assume_unique=True)].sum()
-        return float(both / max(1, wa.sum() + wb.sum() - both))
+    def _signatures(self) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Words of a shingle -> (signature shingles, ascending; their items; whether any has these first 22 bits)."""
+        every, df = np.unique(np.concatenate([s for s, _ in self.shingles] or [np.empty(0, np.uint64)]), return_counts=True)
+        lists: dict[int, list[tuple[np.ndarray, int]]] = {}
+        for i, (s, w) in enumerate(self.shingles):
+            if len(self.items[i]) < self.p.shingle:
+                continue
+            order = np.lexsort((s, df[np.searchsorted(every, s)]))
+            heavy = np.cumsum(w[order]) > (1 - self.p.similarity) * w.sum() + 1e-6
+            lists.setdefault(min(self.p.shingle, len(self.items[i])), []).append((s[order[: int(heavy.argmax()) + 1]], i))
+        out = {}
+        for k, parts in lists.items():
+            keys, items = np.concatenate([s for s, _ in parts]), np.repeat([i for _, i in parts], [len(s) for s, _ in parts])
+            order, flags = np.argsort(keys, kind="stable"), np.zeros(1 << 22, bool)
+            flags[keys >> np.uint64(42)] = True
+            out[k] = keys[order], items[order], flags
+        return out
+
+    def _best(self, item: int, s: np.ndarray, w: np.ndarray) -> tuple[float, int, int]:
+        """(similarity, first word, words) of the best stretch of a run of shingles s with weights w; similarity 0 if none is similar."""
+        own, own_w = self.shingles[item]
+        size, k, whole = len(self.items[item]), min(self.p.shingle, len(self.items[item])), int(own_w.sum())
+        inside = np.isin(s, own)
+        shared = np.append(0, np.cumsum(w * inside))
+        order = np.argsort(s, kind="stable")
+        before = np.full(len(s), -1)  # the place of the same shingle before
+        same = s[order[1:]] == s[order[:-1]]
+        before[order[1:][same]] = order[:-1][same]
+        best = (0.0, 0, 0)
+        for i in np.flatnonzero(inside):
+            to = min(i + 2 * size, len(s))
+            if shared[to] - shared[i] < self.p.similarity * whole - 1e-6:
+                continue
+            new = w[i:to] * (before[i:to] < i)
+            both, total = np.cumsum(new * inside[i:to]), np.cumsum(new)
+            value = np.where(inside[i:to] & (2 * (np.arange(to - i) + k) >= size), both / (whole + total - both), 0)
+            j = int(value.argmax())
+            if value[j] >= self.p.similarity - 1e-12 and value[j] > best[0]:
+                best = (float(value[j]), int(i), j + k)
+                if best[0] == 1:
+                    break
+        return best
 
     def search(self, h: np.ndarray, first: np.ndarray) -> list[tuple[int, int, float, int, int]]:
         """(text, item id, similarity, first word, words), the best stretch of each text and item."""
         self._prepare()
-        if not len(h) or not self.windows:
+        if not len(h) or not self.items:
             return []
-        sums, at = Sums(h, self.weights(h), self.width), _anchors(h, self.p.around)
+        weights = self.weights(h)
+        sums, at = Sums(h, weights, self.width), _anchors(h, self.p.around)
         starts = first[:-1][first[:-1] < first[1:]]
         at = np.union1d(at, starts)  # a short text's first word stands in for an anchor
         text = np.searchsorted(first, at, side="right") - 1
-        best: dict[tuple[int, int], tuple[float, int, int]] = {}
+        found = []  # (text, item, word)
         for length, multi in self.built.items():
             ok = at + length <= first[text + 1]
             here, of = at[ok], text[ok]
             if not len(here):
                 continue
-            for q, e in zip(*multi.search(sums.simhash(here, length)), strict=True):
-                _, item, offset = self.windows[length][e]
-                t = int(of[q])
-                a = max(int(first[t]), int(here[q]) - offset)
-                b = min(int(first[t + 1]), int(here[q]) - offset + len(self.items[item]))
-                s = self.similarity(item, h[a:b])
-                if s >= self.p.similarity and ((t, item) not in best or (s, -a) > (best[t, item][0], -best[t, item][1])):
-                    best[t, item] = (s, a - int(first[t]), b - a)
+            q, e = multi.search(sums.simhash(here, length))
+            found.append(np.stack([of[q], np.array([i for _, i, _ in self.windows[length]])[e], here[q]], axis=1))
+        runs = {k: _shingled(h, k) for k in self.signatures}
+        for k, (keys, items, flags) in self.signatures.items():
+            s = runs[k]
+            hit = np.flatnonzero(flags[s >> np.uint64(42)])
+            a, b = (np.searchsorted(keys, s[hit], side=side) for side in ("left", "right"))
+            n = b - a
+            here = np.repeat(hit, n)
+            of = np.searchsorted(first, here, side="right") - 1
+            item = items[np.repeat(a - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(int(n.sum()))] if len(here) else here
+            ok = here + k <= first[of + 1]
+            found.append(np.stack([of[ok], item[ok], here[ok]], axis=1))
+        found = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 3), np.int64)
+        best: dict[tuple[int, int], tuple[float, int, int]] = {}
+        weighs: dict[int, np.ndarray] = {}
+        heads = np.flatnonzero(np.append(True, (found[1:, :2] != found[:-1, :2]).any(axis=1))[: len(found)])
+        for part in np.split(found, heads[1:]) if len(found) else []:
+            t, item, reach = int(part[0, 0]), int(part[0, 1]), 2 * len(self.items[part[0, 1]])
+            k = min(self.p.shingle, len(self.items[item]))
+            if k not in weighs:
+                weighs[k] = np.convolve(weights.astype(np.int64), np.ones(k, np.int64), "valid") if len(h) >= k else np.empty(0, np.int64)
+            for near in np.split(part[:, 2], np.flatnonzero(np.diff(part[:, 2]) > 2 * reach) + 1):
+                a, b = max(int(first[t]), int(near[0]) - reach), min(int(first[t + 1]) - k + 1, int(near[-1]) + reach)
+                if a < b:
+                    s, word, n = self._best(item, runs[k][a:b], weighs[k][a:b])
+                    if s > best.get((t, item), (0.0,))[0]:
+                        best[t, item] = (s, a + word - int(first[t]), n)
         return [(t, self.ids[i], *v) for (t, i), v in sorted(best.items())]
 
 

@@ -1,8 +1,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from aerolytics.llm import registry
 from aerolytics.llm.decontaminate import Decontaminate, Index, Multi, matches, without_matches
+from aerolytics.llm.words import words as hashed
 
 import fixtures as fx
 
@@ -68,3 +70,28 @@ def test_awkward_rows(spark):
     assert without_matches(d, bench).columns == d.columns
     assert matches(fx.empty(spark), bench).count() == 0 and without_matches(fx.empty(spark), bench).count() == 0
     assert Index([], [], Decontaminate()).search(np.array([1, 2], np.uint64), np.array([0, 2])) == []
+
+
+def _found(items, docs):
+    index = Index(list(range(len(items))), [" ".join(x) for x in items], Decontaminate())
+    return {(t, i): v for t, i, *v in index.search(*hashed(pa.array([" ".join(x) for x in docs])))}
+
+
+def test_edits_at_head_middle_and_tail_are_found_up_to_the_similarity():
+    r = random.Random(6)
+    word = lambda n: [f"v{r.randrange(10**6)}" for _ in range(n)]
+    sets = lambda x: set(zip(*[x[j:] for j in range(5)], strict=False))
+    items = [word(n) for n in (20, 40, 60, 80, 100, 150) for _ in range(20)]
+    docs, likely = [], {}
+    for i, x in enumerate(items):
+        n = max(1, len(x) * 9 // 100)
+        middle = len(x) // 2
+        for y in (x[n:], x[:-n], word(n) + x[n:], x[:-n] + word(n), x[:middle] + word(n) + x[middle + n :], x[: len(x) // 2], x[n:-n]):
+            likely[len(docs), i] = len(sets(x) & sets(y)) / len(sets(x) | sets(y))
+            docs.append(word(30) + y + (word(30) if len(docs) % 2 else []))
+    got = _found(items, docs)
+    assert {p for p, s in likely.items() if s >= 0.8} <= set(got) and sum(s >= 0.8 for s in likely.values()) > 400
+    for (t, i), (s, a, n) in got.items():
+        y = docs[t][a : a + n]
+        assert s >= 0.8 and abs(s - len(sets(items[i]) & sets(y)) / len(sets(items[i]) | sets(y))) < 1e-9
+        assert s >= likely[t, i] - 1e-9
