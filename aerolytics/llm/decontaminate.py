@@ -210,8 +210,6 @@ class Index:
         every, df = np.unique(np.concatenate([s for s, _ in self.shingles] or [np.empty(0, np.uint64)]), return_counts=True)
         lists: dict[int, list[tuple[np.ndarray, int]]] = {}
         for i, (s, w) in enumerate(self.shingles):
-            if len(self.items[i]) < self.p.shingle:
-                continue
             order = np.lexsort((s, df[np.searchsorted(every, s)]))
             heavy = np.cumsum(w[order]) > (1 - self.p.similarity) * w.sum() + 1e-6
             lists.setdefault(min(self.p.shingle, len(self.items[i])), []).append((s[order[: int(heavy.argmax()) + 1]], i))

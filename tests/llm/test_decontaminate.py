@@ -95,3 +95,13 @@ def test_edits_at_head_middle_and_tail_are_found_up_to_the_similarity():
         y = docs[t][a : a + n]
         assert s >= 0.8 and abs(s - len(sets(items[i]) & sets(y)) / len(sets(items[i]) | sets(y))) < 1e-9
         assert s >= likely[t, i] - 1e-9
+
+
+def test_exact_copies_of_short_items_are_found():
+    r = random.Random(7)
+    word = lambda n: [f"v{r.randrange(10**6)}" for _ in range(n)]
+    items = [word(n) for n in range(1, 11) for _ in range(40)]
+    got = _found(items, [word(20) + x + word(20) for x in items])
+    assert {(t, i) for t, i in got if t == i} == {(i, i) for i in range(len(items))}
+    assert all(got[i, i] == [1.0, 20, len(x)] for i, x in enumerate(items))
+    assert not {(t, i) for t, i in got if t != i and len(items[i]) > 1}
