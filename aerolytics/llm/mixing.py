@@ -3,13 +3,14 @@
 1. Targets: sources in code-point order (null last) share all words by weight; a target stops at `most` times its
    source's size and the excess goes to the others by weight, until none is above.
 2. Blocks: each source's documents lie on a line in seeded order; the line is cut into blocks of equal word counts.
-   Seats, as many as blocks, go to the sources one by one by the highest quotient target / (2 k + 1). The seat of
-   rank r belongs to shard r mod shards: a whole-number quota for each source and shard.
+   A source whose target is `most` times its size takes all its blocks `most` times. Seats, as many as blocks fill the
+   other targets, go to the other sources one by one by the highest quotient target / (2 k + 1). The seat of rank r
+   belongs to shard r mod shards: a whole-number quota for each source and shard.
 3. Selection: a source's j-th seat takes the j-th block of its line in seeded order, round after round.
 4. A document takes the words of it that lie in selected blocks, each as often as the block was selected.
 
-The number of blocks is a parameter, so the tables of seats and blocks have a fixed size; only positions on the
-lines are computed over documents, by hash bucket, so that no task holds a whole source.
+The number of blocks is a parameter, raised where the least of the other targets would be under `least_seats` blocks; it
+grows with the number of sources, not with the documents. Only positions on the lines are computed over documents, by hash bucket, so that no task holds a whole source.
 
 Defined cases: null text has size 0 and takes 0; null source is a source of its own; repeated rows are separate
 documents; an empty table gives no rows; columns other than doc_id, text and source are not read.
@@ -32,6 +33,7 @@ class Mix:
     most: int = 3  # times a source may be repeated
     blocks: int = 24_000
     least_block: int = 16  # words; small tables get fewer blocks
+    least_seats: int = 8  # blocks that the least target below `most` times its source comes to
     shards: int = 24
     seed: int = 17
     buckets: int = 512
@@ -61,19 +63,33 @@ def targets(rows: DataFrame, mix: Mix) -> DataFrame:
     return s.select("source", "rank", "weight", "source_size", F.when(F.col("full"), F.col("cap").cast("double")).otherwise(F.col("weight") * F.col("level")).alias("target"), "total")
 
 
+def _repeated_whole(mix: Mix) -> Column:
+    """Whether a source's target is `most` times its size."""
+    return F.col("target") >= F.col("source_size") * mix.most
+
+
 def _block_words(mix: Mix) -> Column:
     sources = F.count("*").over(W.partitionBy())
-    wanted = F.greatest(4 * sources, F.least(F.lit(mix.blocks), F.floor(F.col("total") / mix.least_block)))
+    least = F.min(F.when(~_repeated_whole(mix), F.col("target"))).over(W.partitionBy())
+    fine = F.least(F.col("total"), F.ceil(mix.least_seats * F.col("total") / least))
+    wanted = F.greatest(4 * sources, F.least(F.lit(mix.blocks), F.floor(F.col("total") / mix.least_block)), fine)
     return F.col("total") / wanted
 
 
+def _n_blocks() -> Column:
+    return F.greatest(F.lit(1), F.least(F.col("source_size"), F.round(F.col("source_size") / F.col("unit")).cast("long")))
+
+
 def seats(by_source: DataFrame, mix: Mix) -> DataFrame:
     """rank (of the source), j (its seat, from 0) and shard: the apportionment, one row a seat."""
     s = by_source.withColumn("unit", _block_words(mix)).filter(F.col("target") > 0)
-    s = s.withColumns({"share": F.col("target") / F.col("unit"), "seats": F.round(F.col("total") / F.col("unit"))})
+    whole = s.filter(_repeated_whole(mix)).select("rank", F.explode(F.sequence(F.lit(0), (mix.most * _n_blocks()).cast("int") - 1)).alias("j"))
+    whole = whole.withColumn("shard", ((F.col("rank") + F.col("j")) % mix.shards).cast("int"))
+    s = s.filter(~_repeated_whole(mix))
+    s = s.withColumns({"share": F.col("target") / F.col("unit"), "seats": F.round(F.sum("target").over(W.partitionBy()) / F.col("unit"))})
     s = s.select("rank", "target", "seats", F.explode(F.sequence(F.lit(0), F.ceil(2 * F.col("share")).cast("int") + 2)).alias("k"))
     s = s.withColumn("place", F.row_number().over(W.orderBy(F.desc(F.col("target") / (2 * F.col("k") + 1)), "rank", "k")) - 1).filter(F.col("place") < F.col("seats"))
-    return s.select("rank", F.col("k").alias("j"), (F.col("place") % mix.shards).cast("int").alias("shard"))
+    return s.select("rank", F.col("k").alias("j"), (F.col("place") % mix.shards).cast("int").alias("shard")).unionByName(whole)
 
 
 def quotas(chosen: DataFrame) -> DataFrame:
@@ -84,8 +100,7 @@ def quotas(chosen: DataFrame) -> DataFrame:
 def blocks(by_source: DataFrame, mix: Mix) -> DataFrame:
     """rank, block, begin and words (of the block; lengths differ by one at most), o (its place in seeded order), n (blocks of the source)."""
     s = by_source.withColumn("unit", _block_words(mix)).filter(F.col("source_size") > 0)
-    n = F.greatest(F.lit(1), F.least(F.col("source_size"), F.round(F.col("source_size") / F.col("unit")).cast("long")))
-    s = s.withColumn("n", n).select("rank", "source_size", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("block"))
+    s = s.withColumn("n", _n_blocks()).select("rank", "source_size", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("block"))
     s = s.withColumns({"begin": F.expr("(block * source_size) div n"), "words": F.expr("((block + 1) * source_size) div n - (block * source_size) div n")})
     seeded = W.partitionBy("rank").orderBy(F.xxhash64(F.lit(mix.seed), "rank", "block"), "block")
     return s.withColumn("o", F.row_number().over(seeded) - 1)

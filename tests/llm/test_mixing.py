@@ -103,3 +103,18 @@ def test_awkward_rows(spark):
     assert mixing.mixed_copies(fx.empty(spark)).count() == 0
     only = fx.texts(spark, (1, None), (2, ""))
     assert [r.taken for r in mixing.mix_documents(only).collect()] == [0, 0] and mixing.mixed_copies(only).count() == 2
+
+
+def test_small_sources_beside_a_hot_one_come_to_their_targets(spark):
+    sizes = {"a": 40_000, "b": 3, "c": 30, "d": 400, "e": 9_000, None: 50}
+    rows = [(i, " ".join(["w"] * n), source) for source, whole in sizes.items() for i, n in enumerate([whole // 3] * 3 + [whole % 3])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mix, want = Mix(blocks=400), brute_targets(sizes)
+    taken = Counter()
+    for r in mixing.mix_rows(mixing.sized(docs, mix), mix).collect():
+        assert 0 <= r.taken <= 3 * r.size
+        taken[r.source] += r.taken
+    for s, n in sizes.items():
+        assert taken[s] == 3 * n if want[s] == 3 * n else abs(taken[s] / float(want[s]) - 1) < 0.05
+    copies = Counter(r.source for r in mixing.mixed_copies(docs, mix).collect() if r.text)
+    assert copies["b"] == copies["c"] == 9 and copies["d"] == copies[None] == 12
