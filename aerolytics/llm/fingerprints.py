@@ -1,12 +1,13 @@
 """Document fingerprints from closed syncmers, in DataFrame functions only.
 
 A text is read as tokens: runs without ASCII white space; a run above `run` bytes is cut after as many code points and
-around single characters of scripts that do not put spaces between words. In a short text every character is a token as well. A k-mer of tokens is chosen when the least hash among its inner s-mers stands at
+around single characters of scripts that do not put spaces between words. Apart from these, every character of a text,
+however long, is a token of a second kind. A k-mer of tokens is chosen when the least hash among its inner s-mers stands at
 its first or last place (a closed syncmer). Whether a k-mer is chosen depends on that k-mer alone, so an edit moves
 no choice beyond the k-mers that hold it, and chosen k-mers are anchors for positional matching (`anchors`).
-The fingerprint is the `keep` least distinct hashes of the chosen k-mers, eight hex digits each, in order. The
-likeness of two fingerprints estimates the Jaccard similarity of their k-mer sets: of the `keep` least hashes of
-both together, the share that both hold.
+The fingerprint is two sketches, the `keep` least distinct hashes of the chosen k-mers of words (even numbers) and then
+of characters (odd ones), eight hex digits each, in order. The likeness of two fingerprints estimates the Jaccard
+similarity of their k-mer sets: of the `keep` least hashes of both together, kind by kind, the share that both hold.
 
 Defined cases: a null text is an empty one; a text with fewer than k characters has the one hash of its whole text;
 equal texts, empty ones included, have equal fingerprints and likeness 1. Everything is linear in the text. Columns other than doc_id and text are not read.
@@ -29,7 +30,6 @@ class Syncmers:
     s: int = 2
     keep: int = 64
     run: int = 24
-    short: int = 600  # up to so many code points a text's characters count as tokens too
 
     @property
     def pattern(self) -> str:
@@ -48,8 +48,8 @@ def _tokens(runs: str, p: Syncmers) -> Column:
     return F.transform(F.when(F.exists(r, lambda t: F.octet_length(t) > p.run), cut).otherwise(r), lambda t: F.xxhash64(t))
 
 
-def _characters(text: Column, p: Syncmers) -> Column:
-    return F.when(F.char_length(text) <= p.short, F.transform(F.split(text, ""), lambda t: F.xxhash64(t))).otherwise(F.array().cast("array<bigint>"))
+def _characters(text: Column) -> Column:
+    return F.transform(F.split(text, ""), lambda t: F.xxhash64(t))
 
 
 def _smers(tokens: str, p: Syncmers) -> Column:
@@ -77,13 +77,14 @@ def sketch(docs: DataFrame, texts: dict[str, str], p: Syncmers = Syncmers()) ->
     d = docs
     for n, c in texts.items():
         body = F.coalesce(F.col(c), F.lit(""))
-        d = d.withColumns({"_w": _split(body), "_c": _characters(body, p)}).withColumn("_w", _tokens("_w", p))
+        d = d.withColumns({"_w": _split(body), "_c": _characters(body)}).withColumn("_w", _tokens("_w", p))
         for step in (_smers, lambda a, p: _chosen(a, p, 32)):
             d = d.withColumns({a: step(a, p) for a in ("_w", "_c")})
-        distinct = F.array_except(F.when(F.size("_c") > 0, F.concat("_w", "_c")).otherwise(F.col("_w")), F.array(F.lit(None).cast("bigint")))
-        d = d.withColumn(n, F.slice(F.sort_array(distinct), 1, p.keep)).drop("_w", "_c")
+        least = lambda a: F.slice(F.sort_array(F.array_except(F.col(a), F.array(F.lit(None).cast("bigint")))), 1, p.keep)
+        even, odd = F.transform(least("_w"), lambda h: h.bitwiseAND(F.lit(~1))), F.transform(least("_c"), lambda h: h.bitwiseOR(F.lit(1)))
+        d = d.withColumn(n, F.array_distinct(F.concat(even, odd))).drop("_w", "_c")
         # too few tokens for a k-mer: the whole text stands for itself
-        d = d.withColumn(n, F.when(F.size(n) > 0, F.col(n)).otherwise(F.array(F.shiftrightunsigned(F.xxhash64(F.lit("whole"), body), 32))))
+        d = d.withColumn(n, F.when(F.size(n) > 0, F.col(n)).otherwise(F.array(F.shiftrightunsigned(F.xxhash64(F.lit("whole"), body), 32).bitwiseAND(F.lit(~1)))))
     return d
 
 
@@ -99,8 +100,12 @@ def as_text(hashes: Column) -> Column:
 
 
 def likeness(a: Column, b: Column, p: Syncmers = Syncmers()) -> Column:  # noqa: B008
-    both = F.slice(F.sort_array(F.array_distinct(F.concat(a, b))), 1, p.keep)
-    return F.size(F.array_intersect(F.array_intersect(both, a), b)) / F.size(both)
+    shared, whole = F.lit(0), F.lit(0)
+    for test in (lambda h: h.bitwiseAND(F.lit(1)) == 0, lambda h: h.bitwiseAND(F.lit(1)) == 1):
+        x, y = F.filter(a, test), F.filter(b, test)
+        both = F.slice(F.sort_array(F.array_distinct(F.concat(x, y))), 1, p.keep)
+        shared, whole = shared + F.size(F.array_intersect(F.array_intersect(both, x), y)), whole + F.size(both)
+    return shared / whole
 
 
 def _bounds(docs: DataFrame, most: int) -> list[int]:

@@ -58,3 +58,15 @@ def test_closed_syncmers_are_context_free(spark):
 def test_plan_runs_no_python(spark):
     plan = registry.op10_fingerprint(spark, SF)._jdf.queryExecution().toString()
     assert "Python" not in plan and "ArrowEval" not in plan and "InPandas" not in plan
+
+
+def test_near_copies_of_any_length_are_alike(spark):
+    """Also across 600 characters, from which on characters once did not count."""
+    rows = []
+    for i, n in enumerate((200, 590, 598, 1200, 5000)):
+        text = ""
+        for j in range(n):
+            text = (text + f" w{(i * 131 + j * 7919) % 9973}")[: n - 1] if len(text) < n - 1 else text
+        rows += [(2 * i, text), (2 * i + 1, text + " and ten more"[:20])]
+    got = {r.doc_id: r.near_next for r in fingerprint_documents(fx.texts(spark, *rows)).collect()}
+    assert all(got[2 * i + 1] > 0.75 for i in range(5)) and all(got[2 * i] < 0.4 for i in range(1, 5))
