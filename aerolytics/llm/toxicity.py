@@ -87,7 +87,7 @@ def features(texts: list[str | None], lexicon: Lexicon) -> np.ndarray:
         size, letters = len(raw), max(1, kinds[1] + kinds[2])
         shouted = len(re.findall(r"\b[A-Z]{3,}\b", text)) if kinds[1] > 2 else 0
         mixed = _MIXED.findall(text) if kinds[4] + kinds[6] + kinds[7] else []
-        leet = sum(any(p in INSULTS for p in re.findall(r"[a-z]+", m.lower().translate(_LEET))) for m in mixed[:2000])
+        leet = sum(c for m, c in Counter(mixed).items() if any(p in INSULTS for p in re.findall(r"[a-z]+", m.lower().translate(_LEET))))
         row[:] = (
             np.log1p(len(words)), insults, insults / n, sum(c for _, c in hits), sum(v * c for v, c in hits), max((v for v, _ in hits), default=0), sum(c for _, c in hits) / n,
             sum(c for _, c in begin), sum(v * c for v, c in begin), max((v for v, _ in begin), default=0), sum(c for _, c in begin) / n, sum(count[w] for w in SECOND & count.keys()) / n, near,

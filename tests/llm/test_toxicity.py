@@ -66,3 +66,9 @@ def test_awkward_rows(spark):
     assert without_toxic(fx.texts(spark, (1, "you are a pathetic idiot"), (2, None), (3, "fine")), m).count() == 2
     none = train(fx.empty(spark), labels.limit(0))
     assert scored(fx.empty(spark), none).count() == 0 and without_toxic(fx.empty(spark), none).count() == 0
+
+
+def test_disguised_insults_count_wherever_they_stand():
+    late = " ".join(f"x{i}y" for i in range(3000)) + " 1d1ot st00pid 1d1ot"
+    counts = [x[NAMES.index("leet")] for x in features(["1d1ot st00pid 1d1ot", late], Lexicon())]
+    assert counts[0] == counts[1] == 2
