@@ -19,7 +19,8 @@ def best_flights(flights: DataFrame, year: int | None = None) -> DataFrame:
     Runs on streams too: min_by over structs keeps one row of state a key."""
     rows = flights.filter(F.col("arr_delay").isNotNull() & (F.length("origin") == 3) & (F.length("crs_dep_time") >= 4))
     if year is not None:
-        rows = rows.filter(F.year("flight_date") == year)
+        first = lambda y: F.lit(f"{y}-01-01").cast("date")
+        rows = rows.filter((F.col("flight_date") >= first(year)) & (F.col("flight_date") < first(year + 1)))
     rows = rows.withColumns({"am_or_pm": am_or_pm("crs_dep_time"), "departure_time": hhmm_pretty("crs_dep_time")}).filter(F.col("am_or_pm").isNotNull())
     one = F.struct("arr_delay", "carrier", "flight_num", "departure_time")
     return rows.groupBy(*KEYS).agg(F.min(one).alias("b")).select(*KEYS, "b.carrier", "b.flight_num", "b.departure_time", "b.arr_delay")

@@ -11,8 +11,14 @@ from ..functions import cents_half_up
 
 
 def endpoint_counts(flights: DataFrame) -> DataFrame:
-    """Flights from or to each airport; a flight with equal ends counts twice."""
-    return flights.select(F.explode(F.array("origin", "dest")).alias("airport")).groupBy("airport").agg(F.count("*").alias("n"))
+    """Flights from or to each airport; a flight with equal ends counts twice.
+
+    Routes are counted first, so that counts and not flights are doubled; a stream, which holds one aggregate, doubles flights."""
+    ends = F.explode(F.array("origin", "dest")).alias("airport")
+    if flights.isStreaming:
+        return flights.select(ends).groupBy("airport").agg(F.count("*").alias("n"))
+    routes = flights.groupBy("origin", "dest").agg(F.count("*").alias("k"))
+    return routes.select(ends, "k").groupBy("airport").agg(F.sum("k").alias("n"))
 
 
 def mean_delay(flights: DataFrame, keys: Sequence[str], delay: str, name: str = "avg_delay") -> DataFrame:
@@ -39,3 +45,10 @@ def selected_pairs(frame: DataFrame, columns: Sequence[str], tuples: Iterable[Se
             one = one & (F.col(c) == F.lit(v))
         test = test | one
     return frame.filter(test)
+
+
+def coded(frame: DataFrame, *columns: str, length: int = 3) -> DataFrame:
+    """Rows whose columns are all codes of that length, as the serving tables take them."""
+    for c in columns:
+        frame = frame.filter(F.length(c) == length)
+    return frame

@@ -1,7 +1,8 @@
 """Is popularity a power law? Fits after Clauset, Shalizi and Newman (2009) and Vuong's (1989) test.
 
-Spark aggregates records to one count a key; the fits then read the counts, one number for each key
-(airports: hundreds), on the driver. MAX_KEYS guards that.
+Spark groups the counts by value and makes every sum; the driver sees one row of sums at a time: the best candidate
+xmin, the three sums that a lognormal fit needs, and the two of the likelihood ratio. Candidates for xmin are compared with
+the distinct values above them, so the work grows with the square of the number of distinct values (of airports: hundreds).
 """
 
 from __future__ import annotations
@@ -9,12 +10,10 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-MAX_KEYS = 1_000_000
-
 
 def ccdf(counts: DataFrame, value: str) -> DataFrame:
     """P(X >= x) at each distinct x, as whole numbers: n_at_least of n_all.
@@ -25,52 +24,71 @@ def ccdf(counts: DataFrame, value: str) -> DataFrame:
     return by.select(value, F.sum("k").over(down).alias("n_at_least"), F.sum("k").over(W.partitionBy()).alias("n_all"))
 
 
+def value_counts(counts: DataFrame, value: str) -> DataFrame:
+    """x (a distinct value above 0) and k, how many keys have it."""
+    return counts.filter(F.col(value) > 0).groupBy(F.col(value).cast("double").alias("x")).agg(F.count("*").alias("k"))
+
+
 def power_law_alpha(counts: DataFrame, value: str, xmin: float) -> DataFrame:
     """The exponent by maximum likelihood for a given xmin: 1 + n / sum(ln(x / xmin))."""
     tail = counts.filter(F.col(value) >= xmin)
     return tail.agg(F.count("*").alias("n_tail"), (1 + F.count("*") / F.sum(F.log(F.col(value) / xmin))).alias("alpha"))
 
 
-def _values(counts: DataFrame, value: str) -> np.ndarray:
-    rows = counts.select(F.col(value).cast("double")).filter(F.col(value) > 0).limit(MAX_KEYS + 1).toPandas()
-    if len(rows) > MAX_KEYS:
-        raise ValueError(f"more than {MAX_KEYS} keys; fit a table of counts, not of records")
-    return np.sort(rows.iloc[:, 0].to_numpy())
-
-
-def _power_law(x: np.ndarray) -> dict[str, float]:
-    logs = np.log(x)
-    tail_sum, best = np.cumsum(logs[::-1])[::-1], None
-    for xmin in np.unique(x)[:-1]:
-        at = np.searchsorted(x, xmin)
-        n = len(x) - at
-        spread = tail_sum[at] - n * math.log(xmin)
-        if spread <= 0:
-            continue
-        alpha = 1 + n / spread
-        gap = np.abs(np.arange(n) / n - (1 - (x[at:] / xmin) ** (1 - alpha))).max()
-        if best is None or gap < best["D"]:
-            best = {"xmin": float(xmin), "alpha": float(alpha), "D": float(gap), "n_tail": int(n)}
-    if best is None:
-        raise ValueError("needs two distinct values")
-    return best
+def power_law_scan(counts: DataFrame, value: str) -> DataFrame:
+    """xmin (every distinct value but the largest), n_tail, alpha and D, the largest distance of the fitted from the empirical tail.
+
+    Sums over a tail are running sums over distinct values. Of k equal values the first and the last lie farthest from the fit."""
+    down = W.orderBy(F.desc("x"))
+    v = value_counts(counts, value)
+    v = v.withColumns({"at_least": F.sum("k").over(down), "logs": F.sum(F.col("k") * F.log("x")).over(down), "top": F.max("x").over(W.partitionBy())})
+    spread = F.col("logs") - F.col("at_least") * F.log("x")
+    tails = v.filter((F.col("x") < F.col("top")) & (spread > 0)).select(F.col("x").alias("xmin"), F.col("at_least").alias("n_tail"), (1 + F.col("at_least") / spread).alias("alpha"))
+    pairs = tails.join(v.select("x", "k", "at_least"), F.col("x") >= F.col("xmin"))
+    fitted = 1 - F.pow(F.col("x") / F.col("xmin"), 1 - F.col("alpha"))
+    before = F.col("n_tail") - F.col("at_least")
+    gap = F.greatest(F.abs(before / F.col("n_tail") - fitted), F.abs((before + F.col("k") - 1) / F.col("n_tail") - fitted))
+    return pairs.groupBy("xmin", "n_tail", "alpha").agg(F.max(gap).alias("D"))
+
+
+def best_power_law(counts: DataFrame, value: str) -> DataFrame:
+    """The row of least D (to nine digits; then the least xmin); none if there are fewer than two distinct values."""
+    return power_law_scan(counts, value).orderBy(F.round("D", 9), "xmin").limit(1)
 
 
 def fit_power_law(counts: DataFrame, value: str) -> dict[str, float]:
     """xmin, alpha, D and n_tail; xmin is the value at which the fitted tail lies nearest to the data."""
-    return _power_law(_values(counts, value))
+    row = best_power_law(counts, value).first()
+    if row is None:
+        raise ValueError("needs two distinct values")
+    return row.asDict()
+
+
+def log_sums(counts: DataFrame, value: str, xmin: float = 0.0) -> DataFrame:
+    """n, s1 and s2 of the values from xmin: how many, the sum of ln x and of its square. All that a lognormal fit needs."""
+    v = value_counts(counts, value).filter(F.col("x") >= xmin)
+    return v.agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.log("x")).alias("s1"), F.sum(F.col("k") * F.log("x") ** 2).alias("s2"))
+
 
+def lognormal_whole(counts: DataFrame, value: str) -> DataFrame:
+    """mu and sigma of a lognormal over all values above 0, by maximum likelihood."""
+    mean = F.col("s1") / F.col("n")
+    return log_sums(counts, value).select("n", mean.alias("mu"), F.sqrt(F.greatest(F.lit(0.0), F.col("s2") / F.col("n") - mean * mean)).alias("sigma"))
 
-def _log_sf(z: float) -> float:
+
+def log_sf(z: float) -> float:
     """ln P(Z > z) of a standard normal."""
     if z < 30:
         return math.log(max(0.5 * math.erfc(z / math.sqrt(2)), 1e-300))
     return -z * z / 2 - math.log(z * math.sqrt(2 * math.pi))
 
 
-def _lognormal_ll(x: np.ndarray, mu: float, sigma: float, xmin: float) -> np.ndarray:
-    z = (np.log(x) - mu) / sigma
-    return -np.log(x * sigma * math.sqrt(2 * math.pi)) - z * z / 2 - _log_sf((math.log(xmin) - mu) / sigma)
+def _lognormal_cost(n: float, s1: float, s2: float, mu: float, sigma: float, xmin: float) -> float:
+    """Minus the log likelihood of the tail from xmin, by its sums."""
+    if sigma <= 1e-6:
+        return math.inf
+    squares = (s2 - 2 * mu * s1 + n * mu * mu) / (sigma * sigma)
+    return s1 + n * math.log(sigma * math.sqrt(2 * math.pi)) + squares / 2 + n * log_sf((math.log(xmin) - mu) / sigma)
 
 
 def _nelder_mead(f, start: list[float], step: float = 0.05, rounds: int = 2000, tol: float = 1e-10) -> np.ndarray:
@@ -105,29 +123,32 @@ def _nelder_mead(f, start: list[float], step: float = 0.05, rounds: int = 2000,
     return pts[int(np.argmin(vals))]
 
 
-def _lognormal(x: np.ndarray, xmin: float) -> tuple[float, float]:
-    logs = np.log(x)
-    cost = lambda p: math.inf if p[1] <= 1e-6 else -float(_lognormal_ll(x, p[0], p[1], xmin).sum())
-    mu, sigma = _nelder_mead(cost, [float(logs.mean()), float(logs.std()) or 1.0])
-    return float(mu), float(sigma)
+def fit_lognormal(counts: DataFrame, value: str, xmin: float) -> dict[str, float]:
+    """mu and sigma of a lognormal cut off below xmin."""
+    n, s1, s2 = (float(x) for x in log_sums(counts, value, xmin).first())
+    start = [s1 / n, math.sqrt(max(0.0, s2 / n - (s1 / n) ** 2)) or 1.0]
+    mu, sigma = _nelder_mead(lambda p: _lognormal_cost(n, s1, s2, p[0], p[1], xmin), start)
+    return {"mu": float(mu), "sigma": float(sigma)}
 
 
-def fit_lognormal(counts: DataFrame, value: str, xmin: float) -> dict[str, float]:
-    x = _values(counts, value)
-    mu, sigma = _lognormal(x[x >= xmin], xmin)
-    return {"mu": mu, "sigma": sigma}
+def _gap(x: Column, xmin: float, alpha: float, mu: float, sigma: float) -> Column:
+    """The log likelihood of x by the power law less that by the lognormal."""
+    power = math.log((alpha - 1) / xmin) - alpha * F.log(x / xmin)
+    z = (F.log(x) - mu) / sigma
+    return power + F.log(x) + math.log(sigma * math.sqrt(2 * math.pi)) + z * z / 2 + log_sf((math.log(xmin) - mu) / sigma)
 
 
-def _ratio(x: np.ndarray) -> dict[str, float]:
-    fit = _power_law(x)
-    tail = x[x >= fit["xmin"]]
-    mu, sigma = _lognormal(tail, fit["xmin"])
-    power = math.log((fit["alpha"] - 1) / fit["xmin"]) - fit["alpha"] * np.log(tail / fit["xmin"])
-    gap = power - _lognormal_ll(tail, mu, sigma, fit["xmin"])
-    norm = float(gap.sum() / (gap.std() * math.sqrt(len(gap)))) if gap.std() > 0 else 0.0
-    return fit | {"mu": mu, "sigma": sigma, "R": norm, "p": math.erfc(abs(norm) / math.sqrt(2))}
+def ratio(counts: DataFrame, value: str, xmin: float, alpha: float, mu: float, sigma: float) -> DataFrame:
+    """n and R, Vuong's normalised log likelihood ratio of both laws over the values from xmin: the sum of the gaps over their deviation times sqrt(n)."""
+    v = value_counts(counts, value).filter(F.col("x") >= xmin).withColumn("g", _gap(F.col("x"), xmin, alpha, mu, sigma))
+    sums = v.agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("g")).alias("a"), F.sum(F.col("k") * F.col("g") * F.col("g")).alias("b"))
+    spread = F.col("b") / F.col("n") - (F.col("a") / F.col("n")) ** 2
+    return sums.select("n", F.when(spread > 0, F.col("a") / F.sqrt(spread * F.col("n"))).otherwise(0.0).alias("R"))
 
 
 def likelihood_ratio(counts: DataFrame, value: str) -> dict[str, float]:
     """Both fits and Vuong's normalised ratio R with its p: R < 0 favours the lognormal."""
-    return _ratio(_values(counts, value))
+    fit = fit_power_law(counts, value)
+    fit |= fit_lognormal(counts, value, fit["xmin"])
+    norm = float(ratio(counts, value, fit["xmin"], fit["alpha"], fit["mu"], fit["sigma"]).first()["R"])
+    return fit | {"R": norm, "p": math.erfc(abs(norm) / math.sqrt(2))}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import reduce
 
@@ -9,28 +10,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import operators as op
-from .plans import FLIGHTS_SQL, REGION_MONTH_SQL, flights, flights_by_region, flights_over
-from .sources import Tables, flights_from_lines, flights_from_wire, header_ordinals, to_wire
-from .sinks import route_messages, top_messages
+from .plans import FLIGHTS_SQL, REGION_MONTH_SQL, flights, flights_by_region, lineitem_of_year
+from .sources import Tables, flights_from_lines, flights_from_wire, header_ordinals, to_wire, wide_lines
+from .sinks import key_value_lines, route_messages, top_messages
 from .streaming import run_twin
 
 AIRPORTS = ("N00", "N05", "N10", "N15", "N20")
 ROUTES = (("N00", "N01"), ("N05", "N05"), ("N10", "N20"), ("N24", "N03"))
 BEST_KEYS = tuple((f"R0{a}", f"R0{b}", f"199{y}-0{m}-01", h) for a, b, y, m, h in ((0, 1, 6, 1, "AM"), (1, 2, 6, 3, "PM"), (2, 3, 7, 5, "AM"), (3, 4, 7, 7, "PM"), (4, 0, 8, 2, "AM"), (0, 2, 8, 4, "PM"), (1, 3, 5, 6, "AM"), (2, 2, 5, 8, "PM")))
 XMIN = 10
+#: A power law and a lognormal to compare over the counts of airports (xmin, alpha, mu, sigma).
+LAWS = (10.0, 1.5, 8.0, 1.5)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _best(s: SparkSession, d: str, month: bool = True) -> DataFrame:
+def _best(s: SparkSession, d: str, month: bool = True, year: int | None = None) -> DataFrame:
     t = Tables(s, d)
-    return op.best_flights(flights_by_region(t, flights_over(t), month))
+    return op.best_flights(flights_by_region(t, None if year is None else lineitem_of_year(t, year), month), year)
 
 
 def _daily_counts(f: DataFrame) -> DataFrame:
     return f.groupBy("origin", "flight_date").agg(F.count("*").alias("n"))
 
 
+def _route_counts(f: DataFrame) -> DataFrame:
+    return f.groupBy("origin", "dest").agg(F.count("*").alias("n"))
+
+
 def _avg(keys: list[str], delay: str) -> Query:
     return lambda s, d: op.mean_delay(flights(s, d), keys, delay)
 
@@ -40,7 +47,7 @@ def _top_per(name: str) -> Query:
 
 
 def _fit(s: SparkSession, d: str) -> DataFrame:
-    got = op.likelihood_ratio(_daily_counts(flights(s, d)), "n")
+    got = op.likelihood_ratio(_route_counts(flights(s, d)), "n")
     return s.createDataFrame([{k: float(v) for k, v in got.items()}])
 
 
@@ -91,15 +98,22 @@ QUERIES: dict[str, Query] = {
     "q24_route_messages": lambda s, d: route_messages(op.mean_delay_cents(flights(s, d), ["origin", "dest"], "arr_delay"), ("origin", "dest", "avg_cents")),
     "q31_ccdf": lambda s, d: op.ccdf(_daily_counts(flights(s, d)), "n"),
     "q31_alpha_fixed_xmin": lambda s, d: op.power_law_alpha(op.endpoint_counts(flights(s, d)), "n", XMIN).select("n_tail", F.col("alpha").cast("decimal(18,6)").alias("alpha")),
+    "q31_power_law": lambda s, d: op.best_power_law(_route_counts(flights(s, d)), "n").select("xmin", "n_tail", *[F.col(c).cast("decimal(18,6)").alias(c) for c in ("alpha", "D")]),
+    "q31_scan": lambda s, d: op.power_law_scan(_route_counts(flights(s, d)), "n").select("xmin", "n_tail", *[F.col(c).cast("decimal(18,6)").alias(c) for c in ("alpha", "D")]),
+    "q31_lognormal": lambda s, d: op.lognormal_whole(_route_counts(flights(s, d)), "n").select("n", *[F.col(c).cast("decimal(18,6)").alias(c) for c in ("mu", "sigma")]),
+    "q31_ratio": lambda s, d: op.ratio(_route_counts(flights(s, d)), "n", *LAWS).select("n", F.col("R").cast("decimal(18,6)").alias("R")),
     "q31_fits": _fit,
     "q32_best_flights": _best,
-    "q32_year": lambda s, d: _best(s, d, False).filter("year(flight_date) = 1998"),
+    "q32_year": lambda s, d: _best(s, d, False, 1998),
     "q32_selected_keys": lambda s, d: op.pick_keys(_best(s, d), BEST_KEYS),
     "q32_lookup": lambda s, d: op.lookup(_best(s, d), *BEST_KEYS[0]),
     "q32_two_leg_trip": lambda s, d: op.two_leg_trips(_best(s, d, False)),
     "p4_wire_round_trip": lambda s, d: flights_from_wire(to_wire(flights(s, d).withColumn("dep_time", F.col("crs_dep_time")))).select("origin", "dest", "flight_date", "carrier", "flight_num", "crs_dep_time", "dep_time", "dep_delay", "arr_delay"),
     "p1_naive_csv": _read_back("naive"),
     "p1_strict_csv": _read_back("strict"),
+    "f2_wide_lines": lambda s, d: wide_lines(_raw_lines(flights(s, d)).unionAll(_raw_lines(flights(s, d)).select(F.substring_index("value", ",", 20)))).agg(F.count("*").alias("n")),
+    "f5_coded_routes": lambda s, d: op.coded(op.mean_delay(flights(s, d).withColumn("dest", F.when(F.col("dest") == "N03", "N03X").otherwise(F.col("dest"))), ["origin", "dest"], "arr_delay"), "origin", "dest"),
+    "io7_key_value": lambda s, d: key_value_lines(op.mean_delay_cents(flights(s, d), ["origin", "dest"], "arr_delay"), ["origin", "dest"], "avg_cents"),
     "p12_ranked_text": _ranked_text,
     "u1_union_of_keys": _union_of_keys,
     "a9_top_lists": lambda s, d: op.top_list_per(op.mean_delay_cents(flights(s, d), ["origin", "dest"], "dep_delay"), "origin", "avg_cents", "dest", 3).select("origin", F.concat_ws(" ", F.transform("best", lambda b: F.concat(b["dest"], F.lit(":"), b["avg_cents"].cast("string")))).alias("best")),
@@ -137,6 +151,13 @@ best AS (SELECT origin, dest, flight_date, am_or_pm, carrier, flight_num, depart
 
 
 _DAILY = "daily AS (SELECT origin, flight_date, count(*) AS n FROM flights GROUP BY origin, flight_date)"
+_ROUTES = "routes AS (SELECT origin, dest, count(*) AS n FROM flights GROUP BY origin, dest)"
+#: Every candidate xmin with the largest distance of its fit from the tail, element by element.
+_SCAN = f"""{_F}, {_ROUTES},
+c AS (SELECT CAST(a.n AS DOUBLE) AS xmin, count(*) AS n_tail, 1 + count(*) / sum(ln(b.n) - ln(a.n)) AS alpha FROM (SELECT DISTINCT n FROM routes) a JOIN routes b ON b.n >= a.n WHERE a.n < (SELECT max(n) FROM routes) GROUP BY a.n),
+e AS (SELECT xmin, n_tail, alpha, n, row_number() OVER (PARTITION BY xmin ORDER BY n) - 1 AS i FROM c JOIN routes ON n >= xmin),
+scan AS (SELECT xmin, n_tail, alpha, max(abs(i / n_tail - (1 - pow(n / xmin, 1 - alpha)))) AS D FROM e GROUP BY xmin, n_tail, alpha)"""
+_LOG_SF = op.log_sf((math.log(LAWS[0]) - LAWS[2]) / LAWS[3])
 _KEYS = " OR ".join(f"(origin = '{a}' AND dest = '{b}' AND flight_date = DATE '{c}' AND am_or_pm = '{h}')" for a, b, c, h in BEST_KEYS)
 _LIST = ", ".join(f"'{a}'" for a in AIRPORTS)
 
@@ -163,6 +184,13 @@ ORACLE: dict[str, str] = {
     "q24_route_messages": f"{_F}, {_cents('origin, dest', 'arr_delay')} SELECT concat(origin, ' ', dest, ' ', CAST(avg_cents AS VARCHAR)) AS value FROM m",
     "q31_ccdf": f"{_F}, {_DAILY} SELECT n, CAST(sum(k) OVER (ORDER BY n DESC) AS BIGINT) AS n_at_least, CAST(sum(k) OVER () AS BIGINT) AS n_all FROM (SELECT n, count(*) AS k FROM daily GROUP BY n)",
     "q31_alpha_fixed_xmin": f"{_F}, {_COUNTS} SELECT count(*) AS n_tail, CAST(1 + count(*) / sum(ln(n / {XMIN}.0)) AS DECIMAL(18,6)) AS alpha FROM counts WHERE n >= {XMIN}",
+    "q31_power_law": f"{_SCAN} SELECT xmin, n_tail, CAST(alpha AS DECIMAL(18,6)) AS alpha, CAST(D AS DECIMAL(18,6)) AS D FROM scan ORDER BY round(scan.D, 9), xmin LIMIT 1",
+    "q31_scan": f"{_SCAN} SELECT xmin, n_tail, CAST(alpha AS DECIMAL(18,6)) AS alpha, CAST(D AS DECIMAL(18,6)) AS D FROM scan",
+    "q31_lognormal": f"{_F}, {_ROUTES} SELECT count(*) AS n, CAST(avg(ln(n)) AS DECIMAL(18,6)) AS mu, CAST(stddev_pop(ln(n)) AS DECIMAL(18,6)) AS sigma FROM routes",
+    "q31_ratio": f"{_F}, {_ROUTES}, g AS (SELECT ln(({LAWS[1]} - 1) / {LAWS[0]}) - {LAWS[1]} * ln(n / {LAWS[0]}) + ln(n) + ln({LAWS[3]} * sqrt(2 * pi())) + ((ln(n) - {LAWS[2]}) / {LAWS[3]}) ** 2 / 2 + ({_LOG_SF!r}) AS g FROM routes WHERE n >= {LAWS[0]}) SELECT count(*) AS n, CAST(sum(g) / (stddev_pop(g) * sqrt(count(*))) AS DECIMAL(18,6)) AS R FROM g",
+    "f2_wide_lines": f"{_F} SELECT count(*) AS n FROM flights",
+    "f5_coded_routes": f"{_F}, {_mean('origin, dest', 'arr_delay')} SELECT * FROM m WHERE dest <> 'N03'",
+    "io7_key_value": f"{_F}, {_cents('origin, dest', 'arr_delay')} SELECT concat(origin, ' ', dest, chr(9), CAST(avg_cents AS VARCHAR)) AS value FROM m",
     "q32_best_flights": f"{_best_sql(_REGION)} SELECT * FROM best",
     "q32_year": f"{_best_sql(_DAY)} SELECT * FROM best WHERE year(flight_date) = 1998",
     "q32_selected_keys": f"{_best_sql(_REGION)} SELECT * FROM best WHERE {_KEYS}",

@@ -35,10 +35,8 @@ def _typed(tokens: DataFrame, at: dict[str, int]) -> DataFrame:
     )
 
 
-def flights_from_lines(lines: DataFrame, mode: str = "strict") -> DataFrame:
-    """Typed flights (with bad_delays, the count of unreadable delays of the row) from a `value` column of lines.
-
-    strict keeps rows with a date and three-character codes at both ends; naive keeps whatever has an origin."""
+def _flagged(lines: DataFrame, mode: str) -> DataFrame:
+    """All lines as flights, with `kept`: whether the mode takes them."""
     at = header_ordinals(mode)
     if mode == "naive":
         tokens = lines.select(F.split(strip_quotes("value"), ",").alias("tokens"))
@@ -48,10 +46,20 @@ def flights_from_lines(lines: DataFrame, mode: str = "strict") -> DataFrame:
         tokens = parsed.select(F.array(*[F.col(f"r.{f.name}") for f in schema]).alias("tokens"))
     raw = {k: F.get("tokens", F.lit(at[f"{k}_delay"])) for k in ("dep", "arr")}
     tokens = tokens.withColumns({f"{k}_raw": v for k, v in raw.items()} | {f"{k}_num": parse_double(v) for k, v in raw.items()})
-    out = _typed(tokens, at)
-    if mode == "naive":
-        return out.filter(F.col("origin").isNotNull())
-    return out.filter((F.length("origin") == 3) & (F.length("dest") == 3) & F.col("flight_date").isNotNull())
+    codes = (F.length("origin") == 3) & (F.length("dest") == 3) & F.col("flight_date").isNotNull()
+    return _typed(tokens, at).withColumn("kept", F.col("origin").isNotNull() if mode == "naive" else F.coalesce(codes, F.lit(False)))
+
+
+def flights_from_lines(lines: DataFrame, mode: str = "strict") -> DataFrame:
+    """Typed flights (with bad_delays, the count of unreadable delays of the row) from a `value` column of lines.
+
+    strict keeps rows with a date and three-character codes at both ends; naive keeps whatever has an origin."""
+    return _flagged(lines, mode).filter("kept").drop("kept")
+
+
+def wide_lines(lines: DataFrame, more_than: int = NAIVE["arr_delay"]) -> DataFrame:
+    """Lines of more than so many fields by the plain comma split, quotes deleted: what reaches the last field read."""
+    return lines.filter(F.size(F.split(strip_quotes("value"), ",")) > more_than)
 
 
 def read_flights(spark: SparkSession, path: str, mode: str = "strict") -> DataFrame:
@@ -64,6 +72,6 @@ def read_flights_strict(spark: SparkSession, path: str) -> DataFrame:
 
 
 def bad_rows(lines: DataFrame) -> DataFrame:
-    """One row: lines, kept rows, dropped rows (headers included) and unreadable delays."""
-    kept = flights_from_lines(lines).agg(F.count("*").alias("kept"), F.coalesce(F.sum("bad_delays"), F.lit(0)).alias("bad_delays"))
-    return lines.agg(F.count("*").alias("lines")).crossJoin(kept).select("lines", "kept", (F.col("lines") - F.col("kept")).alias("dropped"), "bad_delays")
+    """One row, in one pass: lines, kept rows, dropped rows (headers included) and unreadable delays of kept rows."""
+    sums = _flagged(lines, "strict").agg(F.count("*").alias("lines"), F.count_if("kept").alias("kept"), F.coalesce(F.sum(F.when(F.col("kept"), F.col("bad_delays"))), F.lit(0)).alias("bad_delays"))
+    return sums.select("lines", "kept", (F.col("lines") - F.col("kept")).alias("dropped"), "bad_delays")

@@ -62,19 +62,63 @@ def test_best_flights_and_trips(spark):
     assert op.pick_keys(best, [("AAA", "BBB", "2008-01-01", "AM")]).count() == 1
 
 
-def test_power_law_and_lognormal():
+def counts(spark, values):
+    return spark.createDataFrame([(float(v),) for v in values], "n double")
+
+
+def brute_fit(x):
+    """Every distinct value but the largest as xmin, element by element."""
+    x, best = np.sort(np.asarray(x, float)), None
+    for xmin in np.unique(x)[:-1]:
+        tail = x[x >= xmin]
+        alpha = 1 + len(tail) / np.log(tail / xmin).sum()
+        d = np.abs(np.arange(len(tail)) / len(tail) - (1 - (tail / xmin) ** (1 - alpha))).max()
+        if best is None or d < best[0] - 1e-12:
+            best = (d, xmin, alpha, len(tail))
+    return best
+
+
+def brute_ratio(x, xmin, alpha, mu, sigma):
+    x = np.asarray(x, float)
+    x = x[x >= xmin]
+    power = np.log((alpha - 1) / xmin) - alpha * np.log(x / xmin)
+    z = (np.log(x) - mu) / sigma
+    log = -np.log(x * sigma * math.sqrt(2 * math.pi)) - z * z / 2 - math.log(0.5 * math.erfc((math.log(xmin) - mu) / sigma / math.sqrt(2)))
+    g = power - log
+    return g.sum() / (g.std() * math.sqrt(len(g)))
+
+
+def test_power_law_and_lognormal(spark):
     r = np.random.default_rng(0)
-    x = np.sort(10 * (1 - r.random(4000)) ** (-1 / 1.5))
-    fit = stats._power_law(x)
-    assert abs(fit["alpha"] - 2.5) < 0.12
-    assert stats._ratio(x)["R"] > -1.0
-    y = np.sort(np.exp(r.normal(5, 1.2, 4000)))
-    mu, sigma = stats._lognormal(y, y[0] * 0.999)
-    assert abs(mu - 5) < 0.1 and abs(sigma - 1.2) < 0.1
-    got = stats._ratio(y)
-    assert got["R"] < 0.5 and 0 <= got["p"] <= 1
+    x = np.round(10 * (1 - r.random(600)) ** (-1 / 1.5), 1)
+    d = counts(spark, x)
+    fit = op.fit_power_law(d, "n")
+    gap, xmin, alpha, n = brute_fit(x)
+    assert (fit["xmin"], fit["n_tail"]) == (xmin, n) and abs(fit["alpha"] - alpha) < 1e-9 and abs(fit["D"] - gap) < 1e-9
+    assert abs(fit["alpha"] - 2.5) < 0.4
+    both = op.likelihood_ratio(d, "n")
+    assert abs(both["R"] - brute_ratio(x, xmin, alpha, both["mu"], both["sigma"])) < 1e-6 and both["R"] > -1.5
+    assert abs(both["p"] - math.erfc(abs(both["R"]) / math.sqrt(2))) < 1e-12
     with pytest.raises(ValueError):
-        stats._power_law(np.ones(4))
+        op.fit_power_law(counts(spark, [3, 3, 3]), "n")
+
+
+def test_lognormal_fits(spark):
+    r = np.random.default_rng(1)
+    y = np.exp(r.normal(5, 1.2, 4000))
+    d = counts(spark, y)
+    whole = op.lognormal_whole(d, "n").first()
+    assert abs(whole.mu - np.log(y).mean()) < 1e-9 and abs(whole.sigma - np.log(y).std()) < 1e-9
+    # cut off at the median, the fit still finds the whole law; near its optimum no other pair is likelier
+    xmin = float(np.median(y))
+    fit = op.fit_lognormal(d, "n", xmin)
+    assert abs(fit["mu"] - 5) < 0.25 and abs(fit["sigma"] - 1.2) < 0.15
+    tail = y[y >= xmin]
+    cost = lambda mu, sigma: stats._lognormal_cost(len(tail), np.log(tail).sum(), (np.log(tail) ** 2).sum(), mu, sigma, xmin)
+    best = cost(fit["mu"], fit["sigma"])
+    assert all(cost(fit["mu"] + a, fit["sigma"] + b) >= best - 1e-6 for a in (-0.01, 0, 0.01) for b in (-0.01, 0, 0.01))
+    direct = -(-np.log(tail * 1.2 * math.sqrt(2 * math.pi)) - ((np.log(tail) - 5) / 1.2) ** 2 / 2 - math.log(0.5 * math.erfc((math.log(xmin) - 5) / 1.2 / math.sqrt(2)))).sum()
+    assert abs(cost(5.0, 1.2) - direct) < 1e-6
 
 
 def test_fits_over_frames(spark):
@@ -86,7 +130,12 @@ def test_fits_over_frames(spark):
     assert row.n_tail == fit["n_tail"] and abs(row.alpha - fit["alpha"]) < 1e-9
     c = {x.n: x.n_at_least for x in op.ccdf(d, "n").collect()}
     assert all(k == sum(v >= x for v in values) for x, k in c.items())
-    assert set(op.fit_lognormal(d, "n", 5)) == {"mu", "sigma"} and math.isfinite(op.likelihood_ratio(d, "n")["R"])
+
+
+def test_coded_rows_and_endpoint_counts(spark):
+    f = flights(spark, {}, {}, {"dest": "AAA"}, {"origin": "LONG"}, {"dest": None})
+    assert {r.airport: r.n for r in op.endpoint_counts(f).collect()} == {"AAA": 5, "BBB": 3, "LONG": 1, None: 1}
+    assert op.coded(f, "origin", "dest").count() == 3 and op.coded(f, "dest").count() == 4
 
 
 def test_word_counts_keep_empty_strings(spark):

@@ -18,7 +18,7 @@ def test_query_equals_oracle(spark, con, name):
     compare(con, flights.QUERIES[name](spark, SF), flights.ORACLE[name])
 
 
-def test_every_query_but_the_fits_has_an_oracle():
+def test_every_query_but_the_iterated_fit_has_an_oracle():
     assert set(flights.QUERIES) - set(flights.ORACLE) == {"q31_fits"}
 
 

@@ -3,7 +3,7 @@
 import zipfile
 
 from aerolytics import operators as op
-from aerolytics.sources import bad_rows, flights_from_lines, flights_from_wire, flights_from_wire_compat, load_raw_lines, read_flights, to_wire, unzip_csv
+from aerolytics.sources import bad_rows, flights_from_lines, flights_from_wire, flights_from_wire_compat, load_raw_lines, read_flights, to_wire, unzip_csv, wide_lines
 from pyspark.sql import functions as F
 
 HEADER = ",".join(["f"] * 5 + ["FlightDate", "f", "f", "Carrier", "f", "FlightNum", "Origin"] + ["f"] * 5 + ["Dest", "DestCityName"] + ["f"] * 24)
@@ -61,3 +61,9 @@ def test_wire(spark):
     assert flights_from_wire_compat(sent).count() == 1
     moved = flights_from_wire_compat(lines(spark, "JFK LAX 2008-04-03 WN 460 1245  115.0 108.0"), 8).first()
     assert (moved.dep_time, moved.dep_delay, moved.arr_delay) == ("115.0", 108.0, None)
+
+
+def test_wide_lines(spark):
+    rows = lines(spark, line(), ",".join(line().split(",")[:20]), '"a,b"' + "," * 37, "," * 37, "")
+    assert wide_lines(rows).count() == 2  # a quoted comma counts, as quotes are deleted first
+    assert wide_lines(rows, 10).count() == 4
