@@ -20,11 +20,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A column name that df lacks, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def packed(df: DataFrame, name: str = "row") -> DataFrame:
+    """df as one struct column, so that columns beside it cannot clash with its own; select(f"{name}.*") undoes it."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name))
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir), or, where that is unset, a local one."""
-    app = spark.sparkContext.applicationId
-    if shared := spark.conf.get("spark.checkpoint.dir", None):
+    """The folder that the cluster shares: spark.checkpoint.dir or the context's own; for a local master without either, a temporary one."""
+    context = spark.sparkContext
+    app, own = context.applicationId, context._jsc.sc().getCheckpointDir()
+    if shared := spark.conf.get("spark.checkpoint.dir", None) or (own.get() if own.isDefined() else None):
         return f"{shared.rstrip('/')}/{app}"
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
     if app not in _local:
         folder = tempfile.TemporaryDirectory(prefix="aerolytics-")
         atexit.register(folder.cleanup)

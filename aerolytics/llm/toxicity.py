@@ -5,12 +5,17 @@ Features of a text: densities and sums of hits in a fixed list of insults and in
 second person, and rates of capitals, shouted words, exclamation and question marks, punctuation and obfuscation
 (letters mixed with digits or signs, insults after undoing such signs, spelled-out words, drawn-out letters).
 
-Training reads labelled rows only, at most `most_rows` of them, the least by hash; three parts of them, by hash, teach
-the lexicon, the trees and the calibration in turn. Scoring reads whole texts, batch by batch, in one pass.
+Training reads labelled rows only, at most `most_rows` of them, the least by hash. It is cross-fitted at every size: the
+features of a fold's rows come from a lexicon that the other folds taught, and the calibration from the scores of trees
+that the other folds grew; the final lexicon and trees learn from all rows. Boosting starts from a fixed rule on the
+insult list (log odds PRIOR or -PRIOR) and calibration is drawn to the uncalibrated score, so with few labels, one class only or none
+the score goes over into that rule without a switch. Scoring reads whole texts, batch by batch, in one pass; its time is
+linear in the text, however long an unbroken run of signs is.
 
 Defined cases: null and empty texts have all-zero features and get the score of such texts; a document labelled more
-than once is toxic if any label says so; labels without a document, or null, are ignored; with fewer than `fewest`
-toxic rows to learn from, a fixed rule on the insult list gives the score; extra columns are not read.
+than once is toxic if any label says so; labels without a document, or null, are ignored; repeated rows of a document
+are scored alike, and each that is labelled teaches; of equal scores none is preferred, as a row goes by its own score; an
+empty table gives no rows; columns other than doc_id and text are not read and come back as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of
+from .common import crc_of, free
 from .words import split_bytes
 
 # Common insults, and second-person words of four languages.
@@ -33,7 +38,7 @@ INSULTS = frozenset("idiot idiots moron morons stupid loser losers pathetic wort
 SECOND = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch tu toi te vous votre vos ton ta tes ti usted ustedes vosotros".split())
 
 _SPLIT = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
-_MIXED = re.compile(r"(?<![^\W_])(?=[^\s]*[^\W\d_])[^\s]*(?:[0-9@$!|+](?=[^\W\d_])|[*#%&](?=[^\W\d_]))[^\s]*")
+_SIGN = re.compile(r"[0-9@$!|+*#%&][^\W\d_]")
 _SPACED = re.compile(r"(?<!\w)(?:[^\W\d_][ .\-_*]){3,}[^\W\d_](?!\w)")
 _DRAWN = re.compile(r"([^\W\d_])\1\1")
 _LEET = str.maketrans("013457@$!|+", "oieastasiit")
@@ -86,32 +91,43 @@ def features(texts: list[str | None], lexicon: Lexicon) -> np.ndarray:
         kinds = np.bincount(_CLASS[np.frombuffer(raw, np.uint8)], minlength=8)
         size, letters = len(raw), max(1, kinds[1] + kinds[2])
         shouted = len(re.findall(r"\b[A-Z]{3,}\b", text)) if kinds[1] > 2 else 0
-        mixed = _MIXED.findall(text) if kinds[4] + kinds[6] + kinds[7] else []
-        leet = sum(c for m, c in Counter(mixed).items() if any(p in INSULTS for p in re.findall(r"[a-z]+", m.lower().translate(_LEET))))
+        # what stands between white space and has a digit or a sign before a letter
+        mixed = [(m, c) for m, c in Counter(text.split()).items() if _SIGN.search(m)] if kinds[4] + kinds[6] + kinds[7] else []
+        leet = sum(c for m, c in mixed if not INSULTS.isdisjoint(re.findall(r"[a-z]+", m.lower().translate(_LEET))))
         row[:] = (
             np.log1p(len(words)), insults, insults / n, sum(c for _, c in hits), sum(v * c for v, c in hits), max((v for v, _ in hits), default=0), sum(c for _, c in hits) / n,
             sum(c for _, c in begin), sum(v * c for v, c in begin), max((v for v, _ in begin), default=0), sum(c for _, c in begin) / n, sum(count[w] for w in SECOND & count.keys()) / n, near,
-            kinds[1] / letters, shouted / n, kinds[4] / size, kinds[5] / size, kinds[3] / size, kinds[6] / size, kinds[7] / size, len(mixed) / n, leet,
+            kinds[1] / letters, shouted / n, kinds[4] / size, kinds[5] / size, kinds[3] / size, kinds[6] / size, kinds[7] / size, sum(c for _, c in mixed) / n, leet,
             len(_SPACED.findall(text)), len(_DRAWN.findall(text)) / n,
         )
     return out
 
 
-def learn_lexicon(texts: list[str], labels: np.ndarray, most: int = 400, ratio: float = 4.0) -> Lexicon:
-    """Words and beginnings of words whose smoothed document frequency is `ratio` times higher in toxic texts, the strongest `most` of each."""
-    seen: dict[str, tuple[Counter, Counter]] = {"words": (Counter(), Counter()), "starts": (Counter(), Counter())}
+Seen = dict[str, tuple[Counter, Counter]]
+
+
+def document_frequencies(texts: list[str | None], labels: np.ndarray) -> Seen:
+    """How many clean and how many toxic texts hold each word, and each beginning of a word."""
+    seen: Seen = {"words": (Counter(), Counter()), "starts": (Counter(), Counter())}
     for text, y in zip(texts, labels, strict=True):
         words = set(_SPLIT.findall((text or "").lower()))
         seen["words"][y].update(words)
         seen["starts"][y].update({w[:k] for w in words for k in PREFIXES if len(w) >= k})
-    n = [max(1, int((labels == y).sum())) for y in (0, 1)]
+    return seen
+
+
+def learn_lexicon(parts: list[Seen], texts: tuple[int, int], most: int = 400, ratio: float = 4.0) -> Lexicon:
+    """Words and beginnings of words whose smoothed document frequency is `ratio` times higher in toxic texts, the strongest
+    `most` of each; texts: how many clean and toxic ones the parts have."""
+    n = [max(1, k) for k in texts]
     found = {}
-    for kind, (clean, bad) in seen.items():
+    for kind in ("words", "starts"):
+        bad = sum((p[kind][1] for p in parts), Counter())
         scored = []
         for w, k in bad.items():
             if k < 4:
                 continue
-            odds = np.log(((k + 0.1) / n[1]) / ((clean[w] + 0.5) / n[0]))
+            odds = np.log(((k + 0.1) / n[1]) / ((sum(p[kind][0][w] for p in parts) + 0.5) / n[0]))
             if odds >= np.log(ratio):
                 scored.append((odds * np.sqrt(k), w, float(odds)))
         scored.sort(key=lambda x: (-x[0], x[1]))
@@ -131,14 +147,16 @@ class Trees:
     def _binned(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(self.cuts)], axis=1)
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Trees:
+    def fit(self, x: np.ndarray, y: np.ndarray, offset: np.ndarray | None = None) -> Trees:
+        """offset: log odds to start from, by default those of the mean of y."""
         for j in range(x.shape[1]):
             self.cuts.append(np.unique(np.quantile(np.unique(x[:, j]), np.linspace(0, 1, self.bins + 1)[1:-1])))
         b, n, d = self._binned(x), len(y), x.shape[1]
         width = self.bins + 1
-        rate = np.clip(y.mean(), 1e-3, 1 - 1e-3)
-        self.start = float(np.log(rate / (1 - rate)))
-        f = np.full(n, self.start)
+        if offset is None:
+            rate = np.clip(y.mean(), 1e-3, 1 - 1e-3)
+            self.start = float(np.log(rate / (1 - rate)))
+        f = np.full(n, self.start) if offset is None else offset.astype(float)
         slots = b + np.arange(d) * width
         for _ in range(self.rounds):
             p = 1 / (1 + np.exp(-f))
@@ -147,7 +165,7 @@ class Trees:
             feature, cut, value, node = np.full(size, -1), np.zeros(size), np.zeros(size), np.zeros(n, np.int64)
             for k in range(size):
                 rows = np.flatnonzero(node == k)
-                if not len(rows):
+                if len(rows) < self.least:  # of the first node only: others are cut so that they hold as many
                     continue
                 gs, hs = g[rows].sum(), h[rows].sum()
                 value[k] = self.rate * gs / (hs + self.l2)
@@ -168,8 +186,8 @@ class Trees:
             self.trees.append((feature, cut, value))
         return self
 
-    def raw(self, x: np.ndarray) -> np.ndarray:
-        f = np.full(len(x), self.start)
+    def raw(self, x: np.ndarray, offset: np.ndarray | None = None) -> np.ndarray:
+        f = np.full(len(x), self.start) if offset is None else offset.astype(float)
         for feature, cut, value in self.trees:
             node = np.zeros(len(x), np.int64)
             for _ in range(self.depth):
@@ -179,67 +197,81 @@ class Trees:
         return f
 
 
+def _odds(s: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(s, -50, 50)))
+
+
 class Isotonic:
-    """Pool adjacent violators, each block drawn to the base rate by `prior` cases, linear in between: a few odd rows call nothing toxic."""
+    """Pool adjacent violators, linear in between. A case at each point of a grid of uncalibrated scores stands beside the
+    rows, and each block is drawn to its mean uncalibrated score by `prior` cases: few rows move the score little."""
+
+    GRID = np.linspace(-6, 6, 25)
 
     def __init__(self, prior: float = 1.5):
-        self.prior = prior
+        self.prior, self.x, self.y = prior, self.GRID, _odds(self.GRID)
 
     def fit(self, s: np.ndarray, y: np.ndarray) -> Isotonic:
+        s, y = np.append(s, self.GRID), np.append(y, _odds(self.GRID))
         order = np.argsort(s, kind="stable")
-        blocks: list[list[float]] = []
-        for x, v in zip(s[order], y[order], strict=True):
-            blocks.append([x, float(v), 1.0])
+        blocks: list[list[float]] = []  # mean of s, sum of y, cases, sum of uncalibrated scores
+        for x, v, o in zip(s[order], y[order], _odds(s[order]), strict=True):
+            blocks.append([x, float(v), 1.0, o])
             while len(blocks) > 1 and blocks[-2][1] / blocks[-2][2] >= blocks[-1][1] / blocks[-1][2]:
-                x2, v2, n2 = blocks.pop()
-                blocks[-1] = [(blocks[-1][0] * blocks[-1][2] + x2 * n2) / (blocks[-1][2] + n2), blocks[-1][1] + v2, blocks[-1][2] + n2]
+                x2, v2, n2, o2 = blocks.pop()
+                x1, v1, n1, o1 = blocks[-1]
+                blocks[-1] = [(x1 * n1 + x2 * n2) / (n1 + n2), v1 + v2, n1 + n2, o1 + o2]
         self.x = np.array([b[0] for b in blocks])
-        self.y = np.array([(b[1] + self.prior * y.mean()) / (b[2] + self.prior) for b in blocks])
-        self.y = np.maximum.accumulate(self.y)
+        self.y = np.maximum.accumulate(np.array([(b[1] + self.prior * b[3] / b[2]) / (b[2] + self.prior) for b in blocks]))
         return self
 
     def __call__(self, s: np.ndarray) -> np.ndarray:
         # a slope of 1e-6 of the logit keeps the order among equal blocks
-        return np.clip(0.998 * np.interp(s, self.x, self.y) + 0.002 / (1 + np.exp(-s)), 0, 1)
+        return np.clip(0.998 * np.interp(s, self.x, self.y) + 0.002 * _odds(s), 0, 1)
+
+
+PRIOR = 2.5
+FOLDS = 5
+
+
+def _prior(x: np.ndarray) -> np.ndarray:
+    """Log odds before any label is seen: whether an insult of the list stands there, plain or disguised."""
+    return np.where(x[:, NAMES.index("insults")] + x[:, NAMES.index("leet")] > 0, PRIOR, -PRIOR)
 
 
 @dataclass
 class Model:
     lexicon: Lexicon
-    trees: Trees | None = None
-    calibrated: Isotonic | None = None
+    trees: Trees
+    calibrated: Isotonic
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         x = features(texts, self.lexicon)
-        if self.trees is None:
-            return np.where(x[:, 1] + x[:, 21] > 0, 0.9 + 0.05 * np.minimum(x[:, 2], 1), 0.05)
-        return self.calibrated(self.trees.raw(x))
-
-
-def fit(texts: list[str], labels: np.ndarray, part: np.ndarray, fewest: int = 12, enough: int = 60) -> Model:
-    """part: 0 to 9 for each row; 0-3 teach the lexicon, 4-7 the trees, 8-9 the calibration. Below `enough` toxic rows
-    the lexicon stays empty and the trees and the calibration share the rows; below `fewest` the fixed rule holds."""
-    bad = int(labels.sum())
-    if bad < fewest or bad == len(labels):
-        return Model(Lexicon())
-    pick = lambda lo, hi: np.flatnonzero((part >= lo) & (part <= hi))
-    if bad < enough:
-        lexicon, grow, bend = Lexicon(), np.arange(len(labels)), np.arange(len(labels))
-    else:
-        teach, grow, bend = pick(0, 3), pick(4, 7), pick(8, 9)
-        lexicon = learn_lexicon([texts[i] for i in teach], labels[teach])
-    x = features(texts, lexicon)
-    trees = Trees(least=max(5, len(grow) // 300)).fit(x[grow], labels[grow].astype(float))
-    return Model(lexicon, trees, Isotonic().fit(trees.raw(x[bend]), labels[bend]))
-
-
-def train(docs: DataFrame, labels: DataFrame, most_rows: int = 8_000, fold: int = 5, held: int = 0) -> Model:
+        return self.calibrated(self.trees.raw(x, _prior(x)))
+
+
+def fit(texts: list[str | None], labels: np.ndarray, part: np.ndarray) -> Model:
+    """part: 0 to 9 for each row, two to a fold."""
+    fold, y = part // 2, labels.astype(float)
+    rows = [np.flatnonzero(fold == j) for j in range(FOLDS)]
+    seen = [document_frequencies([texts[i] for i in own], labels[own]) for own in rows]
+    n = [(int((labels[own] == 0).sum()), int(labels[own].sum())) for own in rows]
+    total = tuple(map(sum, zip(*n, strict=True)))
+    x, raw = np.zeros((len(texts), len(NAMES))), np.zeros(len(texts))
+    for j, own in enumerate(rows):
+        others = learn_lexicon([s for i, s in enumerate(seen) if i != j], (total[0] - n[j][0], total[1] - n[j][1]))
+        x[own] = features([texts[i] for i in own], others)
+    grown = lambda which: Trees(least=max(5, len(which) // 300)).fit(x[which], y[which], _prior(x[which])) if len(which) else Trees()
+    for own in rows:
+        raw[own] = grown(np.setdiff1d(np.arange(len(texts)), own)).raw(x[own], _prior(x[own]))
+    return Model(learn_lexicon(seen, total), grown(np.arange(len(texts))), Isotonic().fit(raw, y))
+
+
+def train(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000, fold: int = 5, held: int = 0) -> Model:
     """Learns from labelled documents whose crc32(doc_id) mod fold is not `held`: at most most_rows, a bounded sample by hash."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").alias("toxic"))
     known = known.filter(crc_of(F.col("id")) % fold != held).orderBy(F.xxhash64("id"), "id").limit(most_rows)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), F.col("doc_id") == F.col("id")).select("doc_id", "text", "toxic").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    if not rows.num_rows:
-        return Model(Lexicon())
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), F.col("doc_id") == F.col("id")).select("doc_id", "text", "toxic")
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most_rows).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
     ids = rows["doc_id"].to_numpy()
     part = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(10)
     return fit(rows["text"].to_pylist(), (rows["toxic"].to_numpy() > 0).astype(int), part.astype(int))
@@ -259,7 +291,6 @@ def scored(docs: DataFrame, model: Model, fold: int = 5, held: int = 0) -> DataF
 
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """docs without the rows that score 0.5 or more, in one pass; all columns are kept as they are."""
-    name = "_toxic_text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in split_bytes(batches, name):
@@ -267,4 +298,5 @@ def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
             keep = pa.array(model.score(batch.column(at).to_pylist()) < 0.5)
             yield batch.select([n for n in batch.schema.names if n != name]).filter(keep)
 
+    name = free(docs, "text")
     return docs.withColumn(name, F.col("text")).mapInArrow(run, docs.schema)

@@ -1,8 +1,11 @@
+import re
+import time
 import zlib
 
 import numpy as np
+import pytest
 from aerolytics.llm import registry
-from aerolytics.llm.toxicity import NAMES, Isotonic, Lexicon, Trees, features, fit, scored, train, without_toxic
+from aerolytics.llm.toxicity import INSULTS, NAMES, SECOND, Isotonic, Lexicon, Trees, features, fit, scored, train, without_toxic
 
 import fixtures as fx
 
@@ -72,3 +75,58 @@ def test_disguised_insults_count_wherever_they_stand():
     late = " ".join(f"x{i}y" for i in range(3000)) + " 1d1ot st00pid 1d1ot"
     counts = [x[NAMES.index("leet")] for x in features(["1d1ot st00pid 1d1ot", late], Lexicon())]
     assert counts[0] == counts[1] == 2
+
+
+@pytest.mark.parametrize("run", ["!", "!1", "@.-", "a.", "a_", "1a", "aaa", "A", "\u00e9!"])
+def test_unbroken_runs_take_linear_time(run):
+    """Ten megabytes without white space."""
+    began = time.time()
+    x = features([run * (10_000_000 // len(run.encode()))], Lexicon())
+    assert np.isfinite(x).all() and time.time() - began < 60
+
+
+def test_features_equal_brute_force(spark):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").limit(300).collect()]
+    texts += ["", "sh1t f*ck w0rd a1 1a 1 ! x!y ab@cd you're YOUR", "\u00c9t\u00e9 TOI \u6f22\u5b57 idiot!idiot", None]
+    lexicon = Lexicon({"the": 1.5, "un": 2.0}, {"inte": 1.0, "ment": 3.0})
+    leet = dict(zip("013457@$!|+", "oieastasiit", strict=True))
+    for text, row in zip(texts, features(texts, lexicon), strict=True):
+        got = dict(zip(NAMES, row, strict=True))
+        text = text or ""
+        words = re.findall(r"[^\W_]+(?:['\u2019][^\W_]+)?", text.lower())
+        n, raw = max(1, len(words)), text.encode()
+        hits = [lexicon.words[w] for w in words if w in lexicon.words]
+        begins = [next(lexicon.starts[w[:k]] for k in (4, 5, 6) if w[:k] in lexicon.starts) for w in words if any(len(w) >= k and w[:k] in lexicon.starts for k in (4, 5, 6))]
+        tokens = [t for t in text.split() if any(a in "0123456789@$!|+*#%&" and b.isalpha() for a, b in zip(t, t[1:], strict=False))]
+        plain = ["".join(leet.get(c, c) for c in t.lower()) for t in tokens]
+        bad = [i for i, w in enumerate(words) if w in INSULTS or w in lexicon.words or any(w[:k] in lexicon.starts for k in (4, 5, 6))]
+        you = [i for i, w in enumerate(words) if w in SECOND]
+        want = {
+            "words": np.log1p(len(words)) if text else 0, "insults": sum(w in INSULTS for w in words), "learnt": len(hits), "learnt_sum": sum(hits), "learnt_max": max(hits, default=0), "starts": len(begins), "starts_sum": sum(begins),
+            "second": len(you) / n, "near_second": sum(any(abs(i - j) <= 5 for j in you) for i in bad), "exclaim": text.count("!") / max(1, len(raw)), "question": text.count("?") / max(1, len(raw)),
+            "digits": sum(c in "0123456789" for c in text) / max(1, len(raw)), "mixed": len(tokens) / n, "leet": sum(any(p in INSULTS for p in re.findall("[a-z]+", t)) for t in plain),
+            "capitals": sum("A" <= c <= "Z" for c in text) / max(1, sum("a" <= c.lower() <= "z" and c.isascii() for c in text)),
+        }
+        assert {k: round(v, 9) for k, v in want.items()} == {k: round(got[k], 9) for k in want}, text[:80]
+
+
+def test_the_query_scores_each_text_by_itself(spark):
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    m = train(d, labels)
+    got = {r.doc_id: r.score for r in registry.op3_toxicity(spark, "/root/testdata/sf0.01").collect()}
+    rows = d.select("doc_id", "text").collect()
+    assert len(got) == len(rows) and all(abs(got[r.doc_id] - m.score([r.text])[0]) < 1e-12 for r in rows)
+    assert sorted(r.doc_id for r in without_toxic(d, m).collect()) == sorted(k for k, v in got.items() if v < 0.5)
+
+
+def test_one_method_at_every_size():
+    """Without labels the score is the fixed rule; a few labels move it little, many overrule it."""
+    clean, bad = ["plain words only here"], ["you pathetic idiot"]
+    none = fit([], np.empty(0, int), np.empty(0, int))
+    assert none.score(bad)[0] > 0.9 and none.score([*clean, "", None]).max() < 0.1
+    few = fit(clean * 3 + bad * 2, np.array([0, 0, 0, 1, 1]), np.arange(5))
+    assert few.score(bad)[0] > 0.85 and few.score(clean)[0] < 0.1
+    r = np.random.default_rng(0)
+    texts = [" ".join(r.choice(["alpha", "beta", "jerk", "delta"], 12)) for _ in range(600)]
+    many = fit(texts, np.zeros(600, int), r.integers(0, 10, 600))
+    assert many.score(texts).max() < 0.5  # "jerk" is no insult in these labels
