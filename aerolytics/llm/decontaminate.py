@@ -2,8 +2,10 @@
 
 Items and documents are read as lower-cased words. Anchors are the words whose hash is least among `around` words in a
 row, so a copy of an item has the anchors of the item whatever stands about it. A window runs from an anchor over the
-longest length of a geometric ladder that the item allows; documents get windows of all ladder lengths at all their
-anchors. A window's fingerprint is the SimHash of its words, words that many items share weighing less.
+longest length of a geometric ladder that the item allows: every anchor in the item's first half, and so every window of
+half the item or more, is indexed; documents get windows of all ladder lengths at all their anchors. A window's
+fingerprint is the SimHash of its words; words that a twentieth of the whole benchmark's items share weigh less,
+however the items are dealt to passes.
 
 Fingerprints are cut into blocks; two that differ in at most `radius` bits agree up to radius // blocks bits in one
 block at least, so looking up each block with all its neighbours at that distance finds every fingerprint within the
@@ -19,8 +21,10 @@ shingle of the item.
 The index of a block of at most `items_a_pass` items travels to the executors (its size is bounded by that); more
 items take more passes over the documents. Documents are read in one scan a pass, without a shuffle.
 
-Defined cases: items without words match nothing; items shorter than a shingle are one shingle, looked up at every word; null and empty texts
-are clean; repeated rows, repeated items and equal ids are all reported; extra columns are not read.
+Defined cases: items without words match nothing; items shorter than a shingle are one shingle, looked up at every word;
+items and texts of any length are searched whole; null and empty texts are clean; repeated rows, repeated items and equal
+ids are all reported; of equally similar stretches the first is reported, and the longer of two that begin together only if it is more similar; empty
+tables give no rows, or leave the documents as they are; extra columns are not read and come back whatever their names.
 """
 
 from __future__ import annotations
@@ -34,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import WORD, free, written
 from .words import mix64, split_bytes, words
 
 
@@ -45,7 +50,6 @@ class Decontaminate:
     blocks: int = 4
     around: int = 5
     ratio: float = 1.25
-    anchors: int = 3
     items_a_pass: int = 4_000
 
     def ladder(self, top: int) -> list[int]:
@@ -82,11 +86,20 @@ def _anchors(h: np.ndarray, around: int) -> np.ndarray:
 
 
 class Weights:
-    """4 for a word, 1 for one that a twentieth of the items or more hold."""
+    """4 for a word, 1 for one that a twentieth of all items of the benchmark or more hold (`common`: their hashes, ascending)."""
 
-    def __init__(self, items: list[np.ndarray]):
+    def __init__(self, common: np.ndarray):
+        self.common = common
+
+    @classmethod
+    def of(cls, items: list[np.ndarray]) -> Weights:
         seen, n = np.unique(np.concatenate([np.unique(h) for h in items] or [np.empty(0, np.uint64)]), return_counts=True)
-        self.common = seen[n >= max(2, len(items) / 20)]
+        return cls(seen[n >= cls.least(len(items))])
+
+    @staticmethod
+    def least(items: int) -> int:
+        """Items that hold a common word, at the least."""
+        return max(2, -(-items // 20))
 
     def __call__(self, h: np.ndarray) -> np.ndarray:
         if not len(self.common):
@@ -102,7 +115,8 @@ def _spread(width: int) -> np.ndarray:
     return (bits.astype(np.uint64) << (np.arange(n, dtype=np.uint64) * np.uint64(width))).sum(axis=1, dtype=np.uint64)
 
 
-_SPREAD = {8: _spread(8), 16: _spread(16)}
+_SPREAD = {8: _spread(8), 16: _spread(16), 32: _spread(32)}
+_LANE = {8: np.uint8, 16: np.uint16, 32: np.uint32}
 
 
 class Sums:
@@ -112,7 +126,8 @@ class Sums:
     def __init__(self, h: np.ndarray, w: np.ndarray, width: int):
         self.width = width
         octets = np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8).T
-        groups = octets if width == 8 else np.concatenate([octets & 15, octets >> 4])
+        bits = 64 // width  # of a hash in one packed number
+        groups = octets if bits == 8 else np.concatenate([octets >> b & ((1 << bits) - 1) for b in range(0, 8, bits)])
         packed = _SPREAD[width][groups] * w.astype(np.uint64)
         self.sums = np.zeros((len(packed), len(h) + 1), np.uint64)
         np.cumsum(packed, axis=1, out=self.sums[:, 1:])
@@ -122,7 +137,7 @@ class Sums:
         """Of the windows of `length` words from `at`: bit by bit, whether words with the bit weigh more than half."""
         inside = np.stack([row[at + length] - row[at] for row in self.sums], axis=1)
         half = (self.total[at + length] - self.total[at]) // 2
-        kind = np.uint8 if self.width == 8 else np.uint16
+        kind = _LANE[self.width]
         return np.packbits(inside.view(kind) > half.astype(kind)[:, None], axis=1).view(np.uint64).ravel()
 
 
@@ -171,19 +186,20 @@ class Multi:
 class Index:
     """What a pass needs of its items. Small when pickled: the lookup tables are built where they are used."""
 
-    def __init__(self, ids: list[int], texts: list[str | None], p: Decontaminate):
+    def __init__(self, ids: list[int], texts: list[str | None], p: Decontaminate, weights: Weights | None = None):
+        """weights: those of the whole benchmark; without them, these items are the whole."""
         self.p = p
         h, first = words(pa.array(texts, pa.large_string()))
         self.items = [h[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
         keep = [i for i, x in enumerate(self.items) if len(x)]
         self.ids, self.items = [ids[i] for i in keep], [self.items[i] for i in keep]
-        self.weights = Weights(self.items)
+        self.weights = weights or Weights.of(self.items)
         ladder = p.ladder(max(map(len, self.items), default=0))
-        self.width = 8 if 4 * max(ladder, default=0) < 256 else 16
+        self.width = next(w for w in _LANE if 4 * max(ladder, default=0) < 1 << w)
         self.windows: dict[int, list[tuple[int, int, int]]] = {}  # length -> (fingerprint, item, offset of the anchor)
         for i, x in enumerate(self.items):
             sums = Sums(x, self.weights(x), self.width)
-            for at in _anchors(x, p.around)[: p.anchors]:
+            for at in _anchors(x, p.around):
                 length = max(n for n in ladder if n <= len(x) - at)
                 if length >= len(x) // 2 or at == 0:
                     self.windows.setdefault(length, []).append((int(sums.simhash(np.array([at]), length)[0]), i, int(at)))
@@ -293,13 +309,30 @@ class Index:
         return [(t, self.ids[i], *v) for (t, i), v in sorted(best.items())]
 
 
-def _passes(benchmark: DataFrame, p: Decontaminate) -> Iterator[Index]:
+def _words_of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct words of each item."""
+    for batch in split_bytes(batches):
+        h, first = words(batch.column(0))
+        each = [np.unique(h[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(each).astype(np.int64))], ["h"])
+
+
+def weights(items: DataFrame, n: int) -> Weights:
+    """Of all n items. A twentieth of the items holds each common word, so these are at most twenty times the words of a mean item."""
+    found = items.filter(F.col("text").rlike(WORD)).select("text").mapInArrow(_words_of_items, "h long").groupBy("h").agg(F.count("*").alias("n"))
+    return Weights(np.sort(found.filter(F.col("n") >= Weights.least(n)).select("h").toArrow()["h"].to_numpy().astype(np.uint64)))
+
+
+def _passes(benchmark: DataFrame, p: Decontaminate) -> Iterator[tuple[Index, bool]]:
+    """The index of each pass, and whether it is the only one."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    n = max(1, -(-items.count() // p.items_a_pass))
+    worded = items.filter(F.col("text").rlike(WORD)).count()
+    n = max(1, -(-worded // p.items_a_pass))
+    common = weights(items, worded)
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
     for b in range(n):
         rows = (items if n == 1 else items.filter(block == b)).orderBy("item_id", "text").toArrow()
-        yield Index(rows["item_id"].to_pylist(), rows["text"].to_pylist(), p)
+        yield Index(rows["item_id"].to_pylist(), rows["text"].to_pylist(), p, common), n == 1
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, p: Decontaminate = Decontaminate()) -> DataFrame:  # noqa: B008
@@ -318,20 +351,24 @@ def matches(docs: DataFrame, benchmark: DataFrame, p: Decontaminate = Decontamin
 
         return rows.mapInArrow(run, schema)
 
-    return reduce(DataFrame.unionAll, [found(i) for i in _passes(benchmark, p)])
+    # with several passes each is written before the next, so that one index at a time is held
+    return reduce(DataFrame.unionAll, [found(i) if alone else written(found(i), "matches") for i, alone in _passes(benchmark, p)])
 
 
 def without_matches(docs: DataFrame, benchmark: DataFrame, p: Decontaminate = Decontaminate()) -> DataFrame:  # noqa: B008
-    """docs without those that hold an item; all columns are kept as they are. A scan a pass, no shuffle."""
-    name = "_benchmark_text"
+    """docs without those that hold an item; columns of any name are kept as they are. A scan a pass, no shuffle."""
+    name = free(docs, "text")
+
+    def clean(d: DataFrame, one: tuple[Index, bool]) -> DataFrame:
+        index, alone = one
 
-    def clean(d: DataFrame, index: Index) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in split_bytes(batches, name, 1 << 20):
                 keep = np.ones(batch.num_rows, bool)
                 keep[[t for t, *_ in index.search(*words(batch.column(batch.schema.get_field_index(name))))]] = False
                 yield batch.select([n for n in batch.schema.names if n != name]).filter(pa.array(keep))
 
-        return d.withColumn(name, F.col("text")).mapInArrow(run, docs.schema)
+        out = d.withColumn(name, F.col("text")).mapInArrow(run, docs.schema)
+        return out if alone else written(out, "clean")
 
     return reduce(clean, _passes(benchmark, p), docs)

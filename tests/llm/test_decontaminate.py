@@ -61,6 +61,66 @@ def test_planted_passages_and_clean_documents(spark):
     assert {x.doc_id for x in without_matches(frame, bench).collect()} == {x.doc_id for x in frame.collect()} - bad
 
 
+def test_weights_are_those_of_the_whole_benchmark(spark):
+    """However the items are dealt to passes, the same stretches are found with the same similarity."""
+    r = random.Random(8)
+    word = lambda n: " ".join(r.choice(["the", "of", "and", f"v{r.randrange(10**5)}", f"v{r.randrange(10**5)}"]) for _ in range(n))
+    items = [(i, word(r.randrange(60, 100)), 0) for i in range(100)]
+    docs = []
+    for i, t, _ in items:
+        w = t.split()
+        w[len(w) // 3] = "changed"
+        docs.append((i, f"{word(20)} {' '.join(w)} {word(20)}"))
+    frame, bench = fx.texts(spark, *docs), spark.createDataFrame(items, ITEM)
+    whole, *split = (sorted(tuple(x) for x in matches(frame, bench, Decontaminate(items_a_pass=n)).collect()) for n in (4000, 30, 9))
+    assert len(whole) > 40 and all(x == whole for x in split)
+
+
+def test_equals_an_exhaustive_search():
+    """Every stretch of every document against every item, by sets of shingles and their weights."""
+    r = random.Random(9)
+    p = Decontaminate()
+    for _ in range(6):
+        pool = [f"w{i}" for i in range(60)]
+        items = [[r.choice(pool) for _ in range(r.randrange(8, 30))] for _ in range(30)]
+        docs = []
+        for x in items:
+            y = list(x)
+            for _ in range(r.randrange(3)):
+                y[r.randrange(len(y))] = r.choice(pool)
+            docs.append([r.choice(pool) for _ in range(r.randrange(9))] + y[r.randrange(2) :] + [r.choice(pool) for _ in range(r.randrange(9))])
+        held = [set(x) for x in items]
+        weight = {w: 1 if sum(w in x for x in held) >= max(2, len(items) / 20) else 4 for w in {*pool}}
+        grams = lambda x: [tuple(x[i : i + p.shingle]) for i in range(len(x) - p.shingle + 1)]
+        mass = lambda s: sum(sum(weight[w] for w in g) for g in s)  # noqa: B023, E731
+        want = {}
+        for t, d in enumerate(docs):
+            g = grams(d)
+            for i, x in enumerate(items):
+                own = set(grams(x))
+                for a in range(len(g)):
+                    if g[a] not in own:
+                        continue
+                    for b in range(a + 1, min(len(g), a + 2 * len(x)) + 1):
+                        if g[b - 1] in own and 2 * (b - a + p.shingle - 1) >= len(x):
+                            s = set(g[a:b])
+                            value = mass(s & own) / mass(s | own)
+                            if value >= p.similarity - 1e-12 and value > want.get((t, i), 0) + 1e-12:
+                                want[t, i] = value
+        got = {k: v[0] for k, v in _found(items, docs).items()}
+        assert set(got) == set(want) and len(want) >= 5 and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_items_and_texts_without_a_bound():
+    """An item of 20,000 words, and a megabyte without white space."""
+    r = random.Random(10)
+    long = [f"v{r.randrange(10**6)}" for _ in range(20_000)]
+    edited = list(long)
+    edited[7000] = "changed"
+    got = _found([long, ["one", "two", "three", "four", "five", "six"]], [edited, ["x" * 1_000_000], ["!" * 1_000_000, "one", "two", "three", "four", "five", "six"]])
+    assert set(got) == {(0, 0), (2, 1)} and got[0, 0][0] > 0.99
+
+
 def test_awkward_rows(spark):
     d, none = fx.awkward(spark, extra=True), spark.createDataFrame([], ITEM)
     assert matches(d, none).count() == 0 and without_matches(d, none).count() == d.count()
