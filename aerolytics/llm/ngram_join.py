@@ -16,14 +16,16 @@ exact (up to 64-bit hashes of shingles) and names connected components, so copie
    n - ceil(t n) + l of its rarest tokens; two that link share at least min(l, l') tokens of their prefixes. Each
    document's level is the one of least estimated cost: tokens scanned plus verifications, estimated from the
    frequencies in the prefix, which fall with l as more shared tokens are asked for. Pairs that share enough and are
-   not yet connected are verified by the exact similarity. A cluster above `budget` tokens is split into blocks and
+   not yet connected are verified by the exact similarity; what is similar to one of a few pivots is connected
+   beforehand, so that near-copies are not compared with each other. A cluster above `budget` tokens is split into blocks and
    every pair of blocks is a group of its own, so that no task holds more than two blocks and no pair is lost.
 4. Components of the links, by minimum doc_id, are joined back to all documents by class.
 
 The chance that a document's groups are so uneven that step 2 misses a pair is below 1e-9 for each document.
 
 Defined cases: words are runs of bytes other than ASCII white space, A-Z lower-cased; fewer than k words make one
-shingle of all; null or empty texts have an empty set and link with nothing; repeated rows are equal documents; equal
+shingle of all; null or empty texts have an empty set and link with nothing; a very long text is a set like any other, and the longest
+word is one word; repeated rows are equal documents; equal
 doc_ids with different texts are separate nodes that answer to the same id; a null doc_id counts as larger than any
 and comes back null; other columns are not read.
 """
@@ -37,10 +39,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import packed, written
 from .components import components
 from .words import mix64, shingle_sets, split_bytes
 
@@ -198,66 +199,127 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(edges[:, i])) for i in (0, 1)], ["fa", "fb"])
 
 
-def adapt_join(sets: list[np.ndarray], join: Join, levels: int = 12) -> list[tuple[int, int]]:
-    """Links (i, j) that connect what is connected among the sets; see step 3 above."""
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers of all the ranges starts[i] : starts[i] + counts[i], one after the other."""
+    return np.repeat(starts - np.append(0, np.cumsum(counts)[:-1]), counts) + np.arange(int(counts.sum()))
+
+
+def _levels(size: np.ndarray, need: np.ndarray, freq: np.ndarray, token: np.ndarray, at: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
+    """The level of each document's prefix, by least estimated cost, and whether enough of its tokens are shared at all."""
+    m = len(size)
+    cost = np.append(0, np.cumsum(freq[token] - 1))
+    lone = np.add.reduceat(freq[token] < 2, at[:-1])
+    keep = size - lone >= need
+    steps = np.arange(1, levels + 1)
+    ends = at[:-1, None] + np.minimum((size - need)[:, None] + steps, size[:, None])
+    scan = cost[ends] - cost[at[:-1], None]
+    total = np.where(steps <= np.minimum(levels, need)[:, None], scan + scan / steps * (size[:, None] / 8), np.inf)
+    return np.where(keep, 1 + np.argmin(total, axis=1), np.ones(m, np.int64)), keep
+
+
+def _digests(sets: list[np.ndarray], size: np.ndarray, differ: int) -> np.ndarray:
+    """[group, set]: a byte for each group of a set's elements, dealt by hash. Sets that differ in n elements differ in n
+    groups at most; the number of groups follows from how many a typical pair may differ in."""
+    groups = int(np.clip(1 << (4 * differ).bit_length(), 32, 512))
+    hashes = mix64(np.concatenate(sets) ^ np.uint64(0x2545F4914F6CDD1D))
+    at = (hashes >> np.uint64(32)).astype(np.int64) % groups + groups * np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(at, kind="stable")
+    first = np.flatnonzero(np.append(True, at[order][1:] != at[order][:-1]))
+    out = np.zeros(groups * len(sets), np.uint8)
+    out[at[order][first]] = np.add.reduceat(hashes[order], first) & np.uint64(255)
+    return np.ascontiguousarray(out.reshape(len(sets), groups).T)
+
+
+def adapt_join(sets: list[np.ndarray], join: Join, levels: int = 12, pivots: int = 64, misses: int = 8) -> list[tuple[int, int]]:
+    """Links (i, j) that connect what is connected among the (non-empty) sets; see step 3 above.
+
+    First some pivots, of the densest neighbourhoods that have none, are compared with all sets at once: what is similar to a
+    pivot is one component from then on. The largest component's sets are not compared with each other; every other set
+    looks for partners among all: by the prefix lists or, where these hold most sets anyhow, by digests of groups of
+    elements, which leave out no partner either. What is left is verified exactly."""
     m, size = len(sets), np.array([len(s) for s in sets])
     if m < 2:
         return []
-    comp, links = np.arange(m), []
     doc = np.repeat(np.arange(m), size)
     _, inverse, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     rank = np.empty(len(df), np.int64)
     rank[np.argsort(df, kind="stable")] = np.arange(len(df))
-    token = rank[inverse]
     freq = np.sort(df)  # by rank
-    order = np.lexsort((token, doc))
-    token = token[order]
+    token = rank[inverse]
+    token = token[np.lexsort((token, doc))]  # each document's tokens, the rarest first
     at = np.append(0, np.cumsum(size))
-    cost = np.append(0, np.cumsum(freq[token] - 1))
     need = -(-join.num * size // join.den)  # of a document's tokens that a partner must hold
-    level, keep = np.ones(m, np.int64), np.zeros(m, bool)
-    for i in range(m):
-        mine = freq[token[at[i] : at[i + 1]]]
-        if size[i] - np.searchsorted(mine, 2) < need[i]:
-            continue  # too many tokens that nobody shares
-        keep[i] = True
-        spare = size[i] - need[i]
-        scan = cost[at[i] + np.minimum(spare + np.arange(1, levels + 1), size[i])] - cost[at[i]]
-        most = min(levels, need[i])
-        level[i] = 1 + int(np.argmin((scan + scan / np.arange(1, levels + 1) * (size[i] / 8))[:most]))
+    level, keep = _levels(size, need, freq, token, at, levels)
+    may_differ = lambda i: (join.den - join.num) * (size + size[i]) // (join.den + join.num)
+    digests = _digests(sets, size, int(np.median((join.den - join.num) * 2 * size // (join.den + join.num))))
+    holds = np.zeros(len(df), bool)
+
+    def partners(i: int, js: np.ndarray) -> np.ndarray:
+        """Those of js that are similar to i, exactly."""
+        if not len(js):
+            return js
+        mine = token[at[i] : at[i + 1]]
+        holds[mine] = True
+        both = np.add.reduceat(holds[token[_ranges(at[js], size[js])]].astype(np.int64), np.append(0, np.cumsum(size[js])[:-1]))
+        holds[mine] = False
+        return js[join.den * both >= join.num * (size[js] + size[i] - both)]
+
+    def scan(i: int) -> np.ndarray:
+        """The sets that the digests allow."""
+        most, apart = may_differ(i), np.zeros(m, np.uint16)
+        for row in digests:
+            apart += row != row[i]
+        return np.flatnonzero(keep & (apart <= most))
+
+    links: list[tuple[int, int]] = []
+    comp, linked, missed = np.arange(m), np.zeros(m, bool), 0
+    shared = keep[doc] & (freq[token] > 1)
+    dense = np.add.reduceat(np.where(shared, freq[token], 0), at[:-1])
+    for i in np.argsort(-dense, kind="stable")[: int(keep.sum())]:
+        if pivots == 0 or missed == misses:
+            break
+        if linked[i] or not keep[i]:
+            continue
+        js = partners(i, scan(i))
+        js = js[js != i]
+        _, one = np.unique(comp[js], return_index=True)  # a link for each component that it meets
+        links += [(int(i), int(j)) for j in js[one]]
+        comp[np.isin(comp, comp[js])] = comp[i]
+        linked[i] = linked[js] = True
+        pivots, missed = pivots - 1, 0 if len(js) else missed + 1
+    # links name single members of a component, so all that a pivot joined are linked to it by name as well
+    links = [(int(c), int(j)) for c, j in zip(comp, range(m), strict=True) if c != j] if links else []
+
+    root = comp.copy()
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    largest = np.bincount(comp, minlength=m).argmax()
     prefix = size - need + level
-    in_prefix = (np.arange(len(token)) - at[doc] < prefix[doc]) & keep[doc] & (freq[token] > 1)
-    whole = keep[doc] & (freq[token] > 1)
-
-    def index(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        t, d = token[mask], doc[mask]
-        by = np.argsort(t, kind="stable")
-        return np.searchsorted(t[by], np.arange(len(df) + 1)), d[by]
-
-    starts, lists = index(in_prefix)
-    full_starts, full_lists = index(whole)
-
-    def gather(tokens: np.ndarray, starts: np.ndarray, lists: np.ndarray) -> np.ndarray:
-        a, n = starts[tokens], starts[tokens + 1] - starts[tokens]
-        total = int(n.sum())
-        if not total:
-            return np.empty(0, np.int64)
-        return lists[np.repeat(a - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(total)]
-
+    inside = shared & (np.arange(len(token)) - at[doc] < prefix[doc])
+    by = np.flatnonzero(inside)[np.argsort(token[inside], kind="stable")]
+    starts, lists = np.searchsorted(token[by], np.arange(len(df) + 1)), doc[by]
     for i in np.lexsort((np.arange(m), size)):
-        if not keep[i]:
-            continue
-        mine = token[at[i] : at[i + 1]]
-        met = np.bincount(gather(mine[: prefix[i]], starts, lists), minlength=m)
-        near = (met >= np.minimum(level, level[i])) & (met > 0) & (comp != comp[i]) & (join.den * np.minimum(size, size[i]) >= join.num * np.maximum(size, size[i]))
-        near &= (size < size[i]) | ((size == size[i]) & (np.arange(m) < i))
-        if not near.any():
+        if not keep[i] or comp[i] == largest:
             continue
-        both = np.bincount(gather(mine, full_starts, full_lists), minlength=m)
-        for j in np.flatnonzero(near & (join.den * both >= join.num * (size + size[i] - both))):
-            if comp[j] != comp[i]:
+        head = token[at[i] : at[i + 1]][: prefix[i]]
+        n = starts[head + 1] - starts[head]
+        if 2 * int(n.sum()) > m:
+            js = scan(i)
+        else:
+            js, met = np.unique(lists[_ranges(starts[head], n)], return_counts=True)
+            js = js[met >= np.minimum(level[js], level[i])]
+        # pairs outside of the largest component are met from the side of the larger one
+        js = js[(comp[js] == largest) | (size[js] < size[i]) | ((size[js] == size[i]) & (js < i))]
+        js = js[(join.den * np.minimum(size[js], size[i]) >= join.num * np.maximum(size[js], size[i])) & (comp[js] != comp[i])]
+        for j in partners(i, js):
+            if (theirs := find(comp[j])) != (own := find(comp[i])):
                 links.append((int(i), int(j)))
-                comp[comp == comp[j]] = comp[i]
+                root[theirs] = own
     return links
 
 
@@ -341,20 +403,21 @@ def join_documents(docs: DataFrame, join: Join = Join()) -> DataFrame:  # noqa:
 
 def one_of_each(docs: DataFrame, join: Join = Join()) -> DataFrame:  # noqa: B008
     """docs with one document of each group of linked ones, the least doc_id (of its texts the least by hash, once);
-    documents without words all stay. All columns are kept as they are."""
+    documents without words all stay. All columns are kept as they are, whatever their names."""
     found = written(linked(docs, join), "join-components")
     words = found.filter("n_shingles > 0")
-    chosen = words.groupBy("component_id").agg(F.min(F.struct("doc_id", "x")).alias("c")).select(F.col("c.doc_id").alias("_k"), F.col("c.x").alias("_kx"))
-    match = (F.col("doc_id") == F.col("_k")) & (F.col("x") == F.col("_kx"))
-    gone = written(words.join(chosen, match, "left_anti").select(F.col("doc_id").alias("_k"), F.col("x").alias("_kx")).distinct(), "join-gone")
-    again = written(words.join(chosen, match).groupBy("_k", "_kx").agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n"), "join-again")
+    chosen = words.groupBy("component_id").agg(F.min(F.struct("doc_id", "x")).alias("c")).select(F.col("c.doc_id").alias("k"), F.col("c.x").alias("kx"))
+    match = (F.col("doc_id") == F.col("k")) & (F.col("x") == F.col("kx"))
+    gone = written(words.join(chosen, match, "left_anti").select(F.col("doc_id").alias("k"), F.col("x").alias("kx")).distinct(), "join-gone")
+    again = written(words.join(chosen, match).groupBy("k", "kx").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "join-again")
     side = lambda t: F.broadcast(t) if t.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else t
-    on = (F.col("_id") == F.col("_k")) & (F.col("_x") == F.col("_kx"))
-    d = docs.withColumns({"_id": _id(), "_x": F.xxhash64("text")}).join(side(gone), on, "left_anti")
-    out = [F.col(f"`{c}`") for c in docs.columns]
+    on = (F.col("id") == F.col("k")) & (F.col("x") == F.col("kx"))
+    rows = packed(docs)
+    d = rows.select("row", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64("row.text").alias("x")).join(side(gone), on, "left_anti")
     if again.isEmpty():
-        return d.select(*out)
-    # rows that repeat a chosen document: one of them stays
+        return d.select("row.*")
+    # rows that repeat a chosen document: the least by hash of them stays, found by partial minima
     twice = side(again)
-    once = d.join(twice, on, "left_semi").withColumn("_row", F.row_number().over(W.partitionBy("_id", "_x").orderBy("_x"))).filter("_row = 1")
-    return d.join(twice, on, "left_anti").select(*out).unionAll(once.select(*out))
+    place = F.xxhash64(*[F.col(f"row.`{c}`") for c, kind in docs.dtypes if "map<" not in kind])
+    once = d.join(twice, on, "left_semi").groupBy("id", "x").agg(F.min_by("row", place).alias("row"))
+    return d.join(twice, on, "left_anti").select("row.*").unionAll(once.select("row.*"))

@@ -119,3 +119,31 @@ def test_components(spark):
             root = {k: lo if v == hi else v for k, v in root.items()}
     assert got == root
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_near_copies_take_time_in_proportion():
+    """Twenty thousand near-copies in a block: pairs within the family are not compared."""
+    import time
+
+    import pyarrow as pa
+    from aerolytics.llm.words import shingle_sets
+
+    sets = shingle_sets(pa.array(family(1, 20_000, 120, 1)), 3)
+    began = time.time()
+    assert len(adapt_join(sets, Join())) == 19_999 and time.time() - began < 60
+
+
+def test_digests_leave_out_no_partner():
+    from aerolytics.llm.ngram_join import _digests
+
+    r = np.random.default_rng(3)
+    base = np.unique(r.integers(0, 2**63, 200).astype(np.uint64))
+    sets = []
+    for n in range(40):
+        s = np.unique(np.concatenate([base[r.permutation(len(base))[n:]], r.integers(0, 2**63, n).astype(np.uint64)]))
+        sets.append(s)
+    for differ in (0, 5, 20, 500):
+        d = _digests(sets, np.array([len(s) for s in sets]), differ)
+        for i in range(40):
+            for j in range(40):
+                assert (d[:, i] != d[:, j]).sum() <= len(np.setxor1d(sets[i], sets[j]))
