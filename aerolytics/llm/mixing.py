@@ -13,7 +13,8 @@ The number of blocks is a parameter, raised where the least of the other targets
 grows with the number of sources, not with the documents. Only positions on the lines are computed over documents, by hash bucket, so that no task holds a whole source.
 
 Defined cases: null text has size 0 and takes 0; null source is a source of its own; repeated rows are separate
-documents; an empty table gives no rows; columns other than doc_id, text and source are not read.
+documents, and share what their key takes; a very long text lies over several blocks and takes of each; ties in the
+seeded order go by doc_id, size and text; an empty table gives no rows; columns other than doc_id, text and source are not read.
 """
 
 from __future__ import annotations
@@ -24,7 +25,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import n_words, written
+from .common import n_words, packed, written
+
+#: Keys of repeated rows above this many are joined by a shuffle and not broadcast.
+BROADCAST_KEYS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -166,7 +170,8 @@ def mix_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:  # noqa: B008
 
 
 def mixed_copies(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:  # noqa: B008
-    """The mix as whole documents: each row as often as taken / size; documents without words stay as they are.
+    """The mix as whole documents: each row as often as taken / size; documents without words stay as they are. Columns
+    of any name are kept as they are.
 
     The rests, below one copy, are rounded along each source's documents in order of size: a copy more whenever
     their running sum passes a whole number, so that a source's total is off by about one document."""
@@ -178,10 +183,22 @@ def mixed_copies(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:  # noqa: B008
     total = running(total, "rank", bucket, ["place", "doc_id", "text_hash"], "rest", "before")
     step = lambda c: F.floor((c + 500_000) / 1_000_000)
     copies = F.floor(F.col("taken") / F.col("size")) + step(F.col("before") + F.col("rest")) - step(F.col("before"))
-    total = total.select(*[F.col(c).alias(f"_{c}") for c in key], F.when(F.col("size") > 0, copies).otherwise(F.col("n")).cast("int").alias("_copies"), F.col("n").alias("_n"))
-    th = F.xxhash64("text")
-    d = docs.withColumns({"_th": th, "_row": F.row_number().over(W.partitionBy("doc_id", "source", th).orderBy(F.lit(0)))})
-    d = d.join(total, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source")) & (F.col("_th") == F.col("_text_hash")))
-    mine = F.floor(F.col("_copies") / F.col("_n")) + F.when(F.col("_row") <= F.col("_copies") % F.col("_n"), 1).otherwise(0)
-    d = d.withColumn("_mine", mine.cast("int")).filter(F.col("_mine") > 0)
-    return d.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_mine")))).select(*docs.columns)
+    total = total.select(*key, F.when(F.col("size") > 0, copies).otherwise(F.col("n")).cast("int").alias("copies"), "n").filter("copies > 0")
+    total = written(total, "mix-copies").select(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("text_hash").alias("h"), "copies", "n")
+    on = F.col("doc_id").eqNullSafe(F.col("d")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("text_hash") == F.col("h"))
+    d = packed(docs).select("row", F.col("row.doc_id").alias("doc_id"), F.col("row.source").cast("string").alias("source"), F.xxhash64("row.text").alias("text_hash"))
+    repeat = lambda rows, k: rows.filter(k > 0).select("row", F.explode(F.sequence(F.lit(1), k))).select("row.*")
+    out = repeat(d.join(total.filter("n = 1"), on), F.col("copies"))
+    again = total.filter("n > 1")
+    if again.isEmpty():
+        return out
+    # rows with one doc_id, source and text share the copies: numbered within the partitions that hold them, then over these
+    again = F.broadcast(again) if again.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else again
+    r = d.withColumn("part", F.spark_partition_id()).join(again, on)
+    here = ["d", "s", "h", "part"]
+    before = F.coalesce(F.sum("k").over(W.partitionBy("d", "s", "h").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offset = r.groupBy(*here).agg(F.count("*").alias("k")).select(*[F.col(c).alias(f"o_{c}") for c in here], before.alias("offset"))
+    r = r.withColumn("place", F.row_number().over(W.partitionBy(*here).orderBy(F.lit(0))))
+    r = r.join(offset, F.col("d").eqNullSafe(F.col("o_d")) & F.col("s").eqNullSafe(F.col("o_s")) & (F.col("h") == F.col("o_h")) & (F.col("part") == F.col("o_part")))
+    mine = F.floor(F.col("copies") / F.col("n")) + F.when(F.col("offset") + F.col("place") <= F.col("copies") % F.col("n"), 1).otherwise(0)
+    return out.unionAll(repeat(r, mine.cast("int")))

@@ -17,7 +17,7 @@ def awkward(spark, extra=False):
     ]
     df = spark.createDataFrame(rows, DOCS)
     if extra:
-        for name in ("size", "shard", "slot", "taken", "target", "score", "rank", "a", "b", "n", "x", "id", "key", "block", "keep", "component_id", "f1", "part", "cluster", "text_hash", "place", "predicted"):
+        for name in ("size", "shard", "slot", "taken", "target", "score", "rank", "a", "b", "n", "x", "id", "key", "block", "keep", "component_id", "f1", "part", "cluster", "text_hash", "place", "predicted", "_id", "_x", "_row", "_n", "_th", "_i", "_k", "_copies", "_mine", "_toxic_text", "_benchmark_text", "text_", "row", "copies", "h", "s", "d", "kx", "k"):
             from pyspark.sql import functions as F
 
             df = df.withColumn(name, F.lit("extra"))

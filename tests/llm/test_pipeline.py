@@ -58,9 +58,27 @@ def test_run(spark):
 
 
 def test_stages_take_awkward_rows(spark):
-    for docs in (fx.awkward(spark, extra=True).drop("shard"), fx.empty(spark)):
-        columns = docs.columns
+    """Columns of any name come back as they were, beside the row's own values."""
+    for given in (fx.awkward(spark, extra=True).drop("shard"), fx.empty(spark)):
+        docs, columns = given, given.columns
+        rows = {tuple(r) for r in given.collect()}
         for _, stage in cp.STAGES[:4]:
             docs = stage(spark, docs, "/root/testdata/sf0.001")
-            assert docs.columns == columns
+            assert docs.columns == columns and docs.dtypes == given.dtypes
+            assert {tuple(r) for r in docs.collect()} <= rows
         assert cp.STAGES[4][1](spark, docs, "/root/testdata/sf0.001").count() >= 0
+
+
+def test_repeated_rows_are_one_after_the_join_and_share_the_mix(spark):
+    from pyspark.sql import functions as F
+
+    row = [(1, fx.BASE, "en", "a", 5)] * 50 + [(2, "other words here " * 30, "de", "b", 7)] * 3 + [(None, "null id here", "en", None, 1)] * 4
+    docs = spark.createDataFrame(row, fx.DOCS).repartition(4).withColumn("mark", F.spark_partition_id())
+    one = cp.STAGES[1][1](spark, docs, SF).collect()
+    assert sorted((r.doc_id or 0) for r in one) == [0, 1, 2]
+    mixed = cp.STAGES[3][1](spark, docs, SF)
+    total = registry.mixing.mix_documents(docs).groupBy("doc_id").agg(F.sum("taken").alias("t"), F.max("size").alias("s"), F.count("*").alias("n")).collect()
+    got = Counter(r.doc_id for r in mixed.collect())
+    for r in total:
+        assert abs(got[r.doc_id] - r.t / r.s) <= 1 and got[r.doc_id] <= 3 * r.n
+    assert mixed.columns == docs.columns
