@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import written
+
 BLOCK = 1024
 
 
@@ -61,7 +63,7 @@ def maximal(rolling: DataFrame) -> DataFrame:
 def collapse(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
     """conv_id, n_turns, copies and, a row for each turn, pos, role and the text rendered as
     <|im_start|>role, a line end, the text, <|im_end|> and a line end."""
-    rolling = prefixes(conversations, block)
+    rolling = written(prefixes(conversations, block), "chat-prefixes")  # read three times
     kept = maximal(rolling)
     keep = rolling.join(kept, "conv_id").select("conv_id", "turn", "role", "h1", "h2", "pos", "n_turns", "copies")
     text = F.coalesce("text", F.lit(""))
@@ -75,6 +77,15 @@ def collapse(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
     return joined.select(F.col("k.conv_id").alias("conv_id"), F.col("k.pos").cast("long").alias("pos"), F.col("n_turns").cast("long").alias("n_turns"), F.col("copies").cast("long").alias("copies"), F.col("k.role").alias("role"), rendered.alias("rendered"))
 
 
+def snapshots(conversations: DataFrame, stride: int = 1 << 32) -> DataFrame:
+    """The log that cumulative logging makes of conversations: each once for each of its turn numbers, with all turns up to it.
+
+    The snapshot at a turn is named conv_id + stride * turn. Rows grow with the square of a conversation's turns, as such logs do."""
+    c = conversations.filter("conv_id IS NOT NULL AND turn IS NOT NULL")
+    at = c.select("conv_id", F.col("turn").alias("at")).distinct()
+    return c.join(at, "conv_id").filter("turn <= at").select((F.col("conv_id") + stride * F.col("at")).alias("conv_id"), "turn", "role", "text")
+
+
 #: The same rows in DuckDB; ties on a turn number do not occur in the generated table.
 ORACLE = """
 WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
@@ -87,3 +98,6 @@ k AS (SELECT * FROM c WHERE whole NOT IN (SELECT so_far FROM i))
 SELECT p.conv_id, CAST(p.pos AS BIGINT) AS pos, CAST(k.n_turns AS BIGINT) AS n_turns, CAST(k.copies AS BIGINT) AS copies, p.role, concat('<|im_start|>', p.role, chr(10), p.text, '<|im_end|>', chr(10)) AS rendered
 FROM p JOIN k ON p.conv_id = k.conv_id
 """
+
+#: The same of snapshots().
+SNAPSHOTS_ORACLE = ORACLE.replace("FROM conversations WHERE conv_id IS NOT NULL", "FROM (SELECT c.conv_id + 4294967296 * a.turn AS conv_id, c.turn, c.role, c.text FROM conversations c JOIN (SELECT DISTINCT conv_id, turn FROM conversations) a ON c.conv_id = a.conv_id AND c.turn <= a.turn)")

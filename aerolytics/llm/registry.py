@@ -41,6 +41,11 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.collapse(table(spark, sf_dir, "conversations"))
 
 
+def chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The collapse over a log that holds every conversation once for each of its turns."""
+    return chat.collapse(chat.snapshots(table(spark, sf_dir, "conversations")))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_documents(table(spark, sf_dir, "documents"))
 
@@ -54,5 +59,5 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_lm": op1_lm, "op2_shard": op2_shard, "op3_toxicity": op3_toxicity, "op4_suffix_dedup": op4_suffix_dedup, "op5_mix": op5_mix, "op6_decontaminate": op6_decontaminate, "op7_chat": op7_chat, "op8_ngram_join": op8_ngram_join, "op9_quality": op9_quality, "op10_fingerprint": op10_fingerprint}
-ORACLE: dict[str, str] = {"op7_chat": chat.ORACLE}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_lm": op1_lm, "op2_shard": op2_shard, "op3_toxicity": op3_toxicity, "op4_suffix_dedup": op4_suffix_dedup, "op5_mix": op5_mix, "op6_decontaminate": op6_decontaminate, "op7_chat": op7_chat, "op8_ngram_join": op8_ngram_join, "op9_quality": op9_quality, "op10_fingerprint": op10_fingerprint, "chat_snapshots": chat_snapshots}
+ORACLE: dict[str, str] = {"op7_chat": chat.ORACLE, "chat_snapshots": chat.SNAPSHOTS_ORACLE}
