@@ -8,7 +8,8 @@
    of at most `most_rows` documents, the least by hash. It scores every whole text.
 
 Defined cases: null and empty texts have no votes but "too short" and score by the intercept alone; repeated rows are
-scored alike; an empty table gives no rows; extra columns are not read.
+scored alike; a text of any length is read whole; of documents with one hash at the edge of the sample the texts of
+least order are taken, and a score of 0.5 keeps; an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations

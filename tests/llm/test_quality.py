@@ -1,7 +1,10 @@
+import math
+
 import numpy as np
 import pyarrow as pa
 from aerolytics.llm import registry
-from aerolytics.llm.quality import LABELLERS, _patterns, _unpack, expectation_maximisation, scored, train, votes
+from aerolytics.llm.words import words as hashed_words
+from aerolytics.llm.quality import BITS, LABELLERS, _KIND, _patterns, _unpack, expectation_maximisation, scored, train, votes
 
 import fixtures as fx
 
@@ -45,3 +48,50 @@ def test_awkward_rows(spark):
     assert len(got) == d.count() and all(0 <= r.score <= 1 and 0 <= r.posterior <= 1 for r in got)
     assert len({r.score for r in got if r.doc_id == 2}) == 1
     assert scored(fx.empty(spark), train(fx.empty(spark))).count() == 0
+
+
+def test_query_equals_brute_force(spark):
+    """EM document by document, and scores word by word from the weights."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    v = {d: votes(pa.array([t]))[0].tolist() for d, t in texts.items()}
+    table = [[[0.5, 0.35, 0.15], [0.04, 0.3, 0.66]] for _ in LABELLERS]
+    share = 0.85
+
+    def posterior(x):
+        good, bad = share, 1 - share
+        for j, vote in enumerate(x):
+            good, bad = good * table[j][1][vote], bad * table[j][0][vote]
+        return good / (good + bad)
+
+    for _ in range(200):
+        q = {d: posterior(x) for d, x in v.items()}
+        share = min(0.98, max(0.02, sum(q.values()) / len(q)))
+        new = [[[0.5] * 3, [0.5] * 3] for _ in LABELLERS]
+        for d, x in v.items():
+            for j, vote in enumerate(x):
+                new[j][0][vote] += 1 - q[d]
+                new[j][1][vote] += q[d]
+        new = [[[n / sum(row) for n in row] for row in both] for both in new]
+        done = max(abs(a - b) for x, y in zip(new, table, strict=True) for r, s in zip(x, y, strict=True) for a, b in zip(r, s, strict=True)) < 1e-7
+        table = new
+        if done:
+            break
+    model = train(docs)
+    got = {r.doc_id: r for r in registry.op9_quality(spark, sf).collect()}
+    assert set(got) == set(texts)
+    for d, text in texts.items():
+        assert abs(got[d].posterior - posterior(v[d])) < 1e-6
+        raw, z, last = text.encode(), 0.0, None
+        found = raw.split()
+        for _, h in zip(found, hashed_words(pa.array([text]))[0].tolist(), strict=True):
+            z += float(model.scorer.weights[h % (1 << BITS)]) + float(model.scorer.weights[(1 << BITS) + 8192 + (h == last)])
+            last = h
+        h, first, starts, ends = hashed_words(pa.array([text]), True)
+        data = np.frombuffer(raw, np.uint8)
+        for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+            shape = ((_KIND[data[a]] * 8 + _KIND[data[b - 1]]) * 16 + min(b - a, 15)) * 8 + _KIND[data[(a + b) // 2]]
+            z += float(model.scorer.weights[(1 << BITS) + shape])
+        assert abs(got[d].score - 1 / (1 + math.exp(-(z / max(1, len(found)) + model.scorer.bias)))) < 1e-6
+        assert got[d].keep == (got[d].score >= 0.5)
