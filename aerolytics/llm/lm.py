@@ -26,7 +26,8 @@ text by a join on the word's hash before it is scored, so no score depends on `t
 
 Defined cases: null is an empty text, whose only token is its end; without training documents every count is 0, the
 base is 0 per token with N = 0 and V = 0, and the model is uniform over ids; repeated rows are scored alike; an empty
-table gives no rows; extra columns are not read.
+table gives no rows; a text or a word of any length is read whole; of equally frequent ids or words at the edge of a
+table the smaller id has a class of its own, and all words of one count are in the table or none; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -254,13 +255,12 @@ class Attention:
         s += self._causal()
         if (at[:, 0] < low).any():
             s += np.where((at < low[:, None])[:, None, :], np.float32(-1e9), np.float32(0))
+        s -= s.max(axis=2, keepdims=True)
+        np.exp(s, out=s)
         if scoring:  # the sum of the weights comes as one more value; what it divides is smaller
-            np.exp(np.minimum(s, np.float32(60), out=s), out=s)
             z = np.matmul(s, np.concatenate([v, np.ones((*v.shape[:2], 1), np.float32)], axis=2))
             z = z[:, :, :d] / z[:, :, d:]
         else:
-            s -= s.max(axis=2, keepdims=True)
-            np.exp(s, out=s)
             s /= s.sum(axis=2, keepdims=True)
             z = np.matmul(s, v)
         hid = x[:, p.context :] + (z.reshape(-1, d) @ self.B).reshape(z.shape)
@@ -281,8 +281,9 @@ class Attention:
             at = at.ravel()
             ok = at < np.repeat(high[part], self.p.stride)
             target = classes[np.where(ok, at, 0)]
+            logits -= logits.max(axis=1, keepdims=True)
             hit = logits[np.arange(len(at)), target]
-            np.exp(logits, out=logits)  # logits stay small: weights are clipped in training
+            np.exp(logits, out=logits)
             out[at[ok]] = (hit - np.log(logits @ ones))[ok]
         return out
 
@@ -316,8 +317,12 @@ class Attention:
         dA = x.reshape(-1, d).T @ dqkv.reshape(-1, 3 * d)
         dx = (dqkv.reshape(-1, 3 * d) @ self.A.T).reshape(x.shape)
         dx[:, p.context :] += dh
-        dE = np.stack([np.bincount(inputs.ravel(), dx[..., j].ravel(), self.n + 1) for j in range(d)], axis=1)
-        return loss, [dE.astype(np.float32), dx.sum(0), dA, dB, dO, dc]
+        by = np.argsort(inputs, axis=None, kind="stable")
+        ranked = inputs.ravel()[by]
+        first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+        dE = np.zeros((self.n + 1, d), np.float32)
+        dE[ranked[first]] = np.add.reduceat(dx.reshape(-1, d)[by], first, axis=0)
+        return loss, [dE, dx.sum(0), dA, dB, dO, dc]
 
     def train(self, classes: np.ndarray, first: np.ndarray, epochs: int, rate: float, seed: int = 0, batch: int = 96) -> Attention:
         """Adam over shuffled windows."""

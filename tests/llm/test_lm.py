@@ -90,6 +90,20 @@ def test_attention_is_a_distribution_and_each_id_is_scored_once():
         assert abs(total - 1) < 1e-4
 
 
+def test_scores_are_finite_up_to_the_bound_of_the_weights():
+    p = LM(frequent=20, buckets=3)
+    r = np.random.default_rng(0)
+    classes, first = r.integers(0, p.outputs, 500), np.array([0, 120, 121, 500])
+    for size in (0.1, 1, 2, 12):
+        a = Attention(p, np.zeros(p.outputs), seed=3)
+        for k in a.NAMES:
+            setattr(a, k, (size * np.sign(r.normal(size=getattr(a, k).shape)) if size == 12 else r.normal(0, size, getattr(a, k).shape)).astype(np.float32))
+        s = a.score(classes, first)
+        assert np.isfinite(s).all() and (s <= 1e-6).all()
+        loss, grads = a.step(classes, *a.windows(first))
+        assert math.isfinite(loss) and all(np.isfinite(g).all() for g in grads)
+
+
 def test_gradients():
     p = LM(width=4, context=2, stride=3, frequent=4, buckets=1)
     r = np.random.default_rng(0)
