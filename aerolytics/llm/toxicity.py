@@ -22,8 +22,9 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -103,16 +104,23 @@ def features(texts: list[str | None], lexicon: Lexicon) -> np.ndarray:
     return out
 
 
+LEAST_TOXIC = 4  # texts, for a word of the lexicon
 Seen = dict[str, tuple[Counter, Counter]]
 
 
-def document_frequencies(texts: list[str | None], labels: np.ndarray) -> Seen:
-    """How many clean and how many toxic texts hold each word, and each beginning of a word."""
+def _beginnings(words: set[str]) -> set[str]:
+    return {w[:k] for w in words for k in PREFIXES if len(w) >= k}
+
+
+def document_frequencies(texts: Iterable[str | None], labels: Iterable[int], only: dict[str, set[str]] | None = None) -> Seen:
+    """How many clean and how many toxic texts hold each word, and each beginning of a word; of clean texts those in `only`, or none."""
     seen: Seen = {"words": (Counter(), Counter()), "starts": (Counter(), Counter())}
     for text, y in zip(texts, labels, strict=True):
+        if not y and only is None:
+            continue
         words = set(_SPLIT.findall((text or "").lower()))
-        seen["words"][y].update(words)
-        seen["starts"][y].update({w[:k] for w in words for k in PREFIXES if len(w) >= k})
+        for kind, found in (("words", words), ("starts", _beginnings(words))):
+            seen[kind][y].update(found if y else found & only[kind])
     return seen
 
 
@@ -125,7 +133,7 @@ def learn_lexicon(parts: list[Seen], texts: tuple[int, int], most: int = 400, ra
         bad = sum((p[kind][1] for p in parts), Counter())
         scored = []
         for w, k in bad.items():
-            if k < 4:
+            if k < LEAST_TOXIC:
                 continue
             odds = np.log(((k + 0.1) / n[1]) / ((sum(p[kind][0][w] for p in parts) + 0.5) / n[0]))
             if odds >= np.log(ratio):
@@ -249,24 +257,34 @@ class Model:
         return self.calibrated(self.trees.raw(x, _prior(x)))
 
 
-def fit(texts: list[str | None], labels: np.ndarray, part: np.ndarray) -> Model:
-    """part: 0 to 9 for each row, two to a fold."""
+def fit(texts: list[str | None] | pa.Array, labels: np.ndarray, part: np.ndarray) -> Model:
+    """part: 0 to 9 for each row, two to a fold. Texts are read some at a time, and clean ones counted only for words that
+    enough toxic ones hold, so that little beside the texts is in memory."""
+    texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
     fold, y = part // 2, labels.astype(float)
     rows = [np.flatnonzero(fold == j) for j in range(FOLDS)]
-    seen = [document_frequencies([texts[i] for i in own], labels[own]) for own in rows]
+
+    def each(own: np.ndarray, size: int = 200) -> Iterator[list[str | None]]:
+        for at in range(0, len(own), size):
+            yield texts.take(pa.array(own[at : at + size])).to_pylist()
+
+    toxic = [document_frequencies(chain.from_iterable(each(own)), labels[own]) for own in (r[labels[r] > 0] for r in rows)]
+    often = {kind: {w for w, k in sum((s[kind][1] for s in toxic), Counter()).items() if k >= LEAST_TOXIC} for kind in ("words", "starts")}
+    seen = [document_frequencies(chain.from_iterable(each(own)), labels[own], often) for own in rows]
     n = [(int((labels[own] == 0).sum()), int(labels[own].sum())) for own in rows]
     total = tuple(map(sum, zip(*n, strict=True)))
     x, raw = np.zeros((len(texts), len(NAMES))), np.zeros(len(texts))
     for j, own in enumerate(rows):
         others = learn_lexicon([s for i, s in enumerate(seen) if i != j], (total[0] - n[j][0], total[1] - n[j][1]))
-        x[own] = features([texts[i] for i in own], others)
+        if len(own):
+            x[own] = np.concatenate([features(some, others) for some in each(own)])
     grown = lambda which: Trees(least=max(5, len(which) // 300)).fit(x[which], y[which], _prior(x[which])) if len(which) else Trees()
     for own in rows:
         raw[own] = grown(np.setdiff1d(np.arange(len(texts)), own)).raw(x[own], _prior(x[own]))
     return Model(learn_lexicon(seen, total), grown(np.arange(len(texts))), Isotonic().fit(raw, y))
 
 
-def train(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000, fold: int = 5, held: int = 0) -> Model:
+def train(docs: DataFrame, labels: DataFrame, most_rows: int = 8_000, fold: int = 5, held: int = 0) -> Model:
     """Learns from labelled documents whose crc32(doc_id) mod fold is not `held`: at most most_rows, a bounded sample by hash."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").alias("toxic"))
     known = known.filter(crc_of(F.col("id")) % fold != held).orderBy(F.xxhash64("id"), "id").limit(most_rows)
@@ -274,7 +292,8 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000, fold: int
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most_rows).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
     ids = rows["doc_id"].to_numpy()
     part = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(10)
-    return fit(rows["text"].to_pylist(), (rows["toxic"].to_numpy() > 0).astype(int), part.astype(int))
+    texts = rows["text"].cast(pa.large_string()).combine_chunks() if rows.num_rows else pa.array([], pa.large_string())
+    return fit(texts, (rows["toxic"].to_numpy() > 0).astype(int), part.astype(int))
 
 
 def scored(docs: DataFrame, model: Model, fold: int = 5, held: int = 0) -> DataFrame:
