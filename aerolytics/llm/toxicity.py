@@ -257,10 +257,10 @@ class Model:
         return self.calibrated(self.trees.raw(x, _prior(x)))
 
 
-def fit(texts: list[str | None] | pa.Array, labels: np.ndarray, part: np.ndarray) -> Model:
+def fit(texts: list[str | None] | pa.ChunkedArray, labels: np.ndarray, part: np.ndarray) -> Model:
     """part: 0 to 9 for each row, two to a fold. Texts are read some at a time, and clean ones counted only for words that
     enough toxic ones hold, so that little beside the texts is in memory."""
-    texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+    texts = texts if isinstance(texts, pa.ChunkedArray) else pa.chunked_array([pa.array(texts, pa.string())])
     fold, y = part // 2, labels.astype(float)
     rows = [np.flatnonzero(fold == j) for j in range(FOLDS)]
 
@@ -289,11 +289,13 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 8_000, fold: int
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").alias("toxic"))
     known = known.filter(crc_of(F.col("id")) % fold != held).orderBy(F.xxhash64("id"), "id").limit(most_rows)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), F.col("doc_id") == F.col("id")).select("doc_id", "text", "toxic")
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most_rows).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most_rows).toArrow()
     ids = rows["doc_id"].to_numpy()
     part = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(10)
-    texts = rows["text"].cast(pa.large_string()).combine_chunks() if rows.num_rows else pa.array([], pa.large_string())
-    return fit(texts, (rows["toxic"].to_numpy() > 0).astype(int), part.astype(int))
+    model = fit(rows["text"], (rows["toxic"].to_numpy() > 0).astype(int), part.astype(int))
+    del rows
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def scored(docs: DataFrame, model: Model, fold: int = 5, held: int = 0) -> DataFrame:
