@@ -9,9 +9,13 @@ exact (up to 64-bit hashes of shingles) and names connected components, so copie
    they meet. How many elements a shared group must have at least is set for each document, as high as its own sizes
    of groups allow. Shingles that are very frequent, by counts over all documents, take no part where the others
    fill more than D groups. Sizes within the threshold fall into the same or the next size class; a set signs for
-   its own class and the one below. Sets that meet under a signature are linked by a star, and the stars' components
-   are the candidate clusters. Unlike a single rare token, a signature holds several tokens, so passages and words that
-   many documents share join little.
+   its own class and the one below. Sets that meet under a signature are compared by sketches (64 bytes: of each of
+   64 groups of a set's shingles the least hash), and a pair goes where more bytes differ than do in sets that link. Few
+   that meet are compared pair by pair; many are searched for the sets similar to one, then to these, and so on, and what
+   a bound on that search leaves is linked unseen. The components of these edges are the candidate clusters. A signature
+   holds several tokens, so passages and words that many documents share join little; without the sketches, pairs that
+   share no more than a passage, whose number grows with the square of the documents, would chain most of a large corpus
+   into one cluster.
 3. Verification, inside a cluster. Tokens are ordered by their frequency there. A document's prefix at level l holds
    n - ceil(t n) + l of its rarest tokens; two that link share at least min(l, l') tokens of their prefixes. Each
    document's level is the one of least estimated cost: tokens scanned plus verifications, estimated from the
@@ -21,7 +25,8 @@ exact (up to 64-bit hashes of shingles) and names connected components, so copie
    every pair of blocks is a group of its own, so that no task holds more than two blocks and no pair is lost.
 4. Components of the links, by minimum doc_id, are joined back to all documents by class.
 
-The chance that a document's groups are so uneven that step 2 misses a pair is below 1e-9 for each document.
+The chance that a document's groups are so uneven that step 2 misses a pair is below 1e-9 for each document; that
+the sketches of two sets that link differ so much is below 1e-12 for each pair, and 0 for sets that may differ in few shingles.
 
 Defined cases: words are runs of bytes other than ASCII white space, A-Z lower-cased; fewer than k words make one
 shingle of all; null or empty texts have an empty set and link with nothing; a very long text is a set like any other, and the longest
@@ -35,10 +40,11 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import packed, written
@@ -49,6 +55,10 @@ from .words import mix64, shingle_sets, split_bytes
 BROADCAST_IDS = 1_000_000
 #: At most so many shingles, the most frequent by batch counts, are kept out of signatures. Which ones changes no result.
 HEAVY = 100_000
+#: Up to so many sets that meet under a signature are compared pair by pair; of more, that many comparisons are made.
+PAIRED, SEARCHED = 16, 1 << 24
+#: Longs of a sketch, of eight groups each.
+SKETCH = 8
 
 
 @dataclass(frozen=True)
@@ -65,10 +75,23 @@ class Join:
     def linked(self, a: int, b: int, both: int) -> bool:
         return self.den * both >= self.num * (a + b - both)
 
+    def most_apart(self, groups: int = 8 * SKETCH, chance: float = 1e-12) -> int:
+        """Groups of a sketch in which two sets that link differ at most, but for that chance: each is alike with probability t at least."""
+        q, tail = 1 - self.t, 0.0
+        for k in range(groups, 0, -1):
+            tail += math.comb(groups, k) * q**k * self.t ** (groups - k)
+            if tail > chance:
+                return k
+        return 0
+
 
 _LAST = (1 << 63) - 1
 
 
+_SKETCHED = [f"s{i}" for i in range(SKETCH)]
+CLASSES = "kind byte, doc_id long, x long, n long, f1 long, f2 long, " + ", ".join(f"{c} long" for c in _SKETCHED)
+
+
 def _id():
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
 
@@ -80,6 +103,27 @@ def _prints(s: np.ndarray) -> tuple[int, int]:
     return int(np.int64(a.astype(np.int64))), int(np.int64(b.astype(np.int64)))
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """SKETCH signed longs: for each of eight groups a byte of the least hash of the set's elements there, 0 where it has none."""
+    h = np.sort(mix64(s ^ np.uint64(0x3C6EF372FE94F82B)))  # the group is in the leading bits
+    group = (h >> np.uint64(58)).astype(np.int64)
+    first = np.flatnonzero(np.append(True, group[1:] != group[:-1])[: len(h)])
+    out = np.zeros(8 * SKETCH, np.uint8)
+    out[group[first]] = mix64(h[first]) & np.uint64(255)
+    return out.view(np.int64)
+
+
+def _apart(a: list[str], b: list[str]) -> Column:
+    """In how many groups two sketches (columns of longs) differ."""
+
+    def differing(x: Column) -> Column:
+        for n in (4, 2, 1):  # the last bit of each byte becomes whether any bit of it is set
+            x = x.bitwiseOR(F.shiftrightunsigned(x, n))
+        return F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
+
+    return reduce(lambda x, y: x + y, [differing(F.col(x).bitwiseXOR(F.col(y))) for x, y in zip(a, b, strict=True)])
+
+
 def _groups(s: np.ndarray, groups: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
     """Deals a set to groups by hash: (signature of each group that has elements, how many it has)."""
     group = (mix64(s ^ np.uint64(0x5BD1E995 + salt)) >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)
@@ -121,20 +165,20 @@ def signatures(s: np.ndarray, join: Join, heavy: np.ndarray | None = None) -> np
 
 
 def _classes(join: Join, often: int = 4):
-    """(kind 0) doc_id, x, n, f1, f2 of each text; (kind 1) hash and count of shingles that `often` texts of a batch hold."""
+    """(kind 0) doc_id, x, n, f1, f2 and the sketch of each text; (kind 1) hash and count of shingles that `often` texts of a batch hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "doc_id", "x", "n", "f1", "f2"]
+        names = ["kind", "doc_id", "x", "n", "f1", "f2", *_SKETCHED]
         for batch in split_bytes(batches):
             sets = shingle_sets(batch.column(1), join.k)
             f = [_prints(s) for s in sets]
-            columns = [[len(s) for s in sets], [x for x, _ in f], [x for _, x in f]]
+            columns = [[len(s) for s in sets], [x for x, _ in f], [x for _, x in f], *np.array([sketch(s) for s in sets], np.int64).reshape(-1, SKETCH).T]
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int8)), batch.column(0), batch.column(2), *[pa.array(c, pa.int64()) for c in columns]], names)
             distinct = dict(zip(f, sets, strict=True))  # copies count once
             token, count = np.unique(np.concatenate(list(distinct.values()) or [np.empty(0, np.uint64)]), return_counts=True)
             token, count = token[count >= often].astype(np.int64), count[count >= often]
             none = pa.nulls(len(token), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(token), np.int8)), none, none, pa.array(count), pa.array(token), none], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(token), np.int8)), none, none, pa.array(count), pa.array(token), *[none] * (1 + SKETCH)], names)
 
     return run
 
@@ -176,27 +220,96 @@ def _signed(join: Join, parts: int, heavy: np.ndarray, flush: int = 1_000_000):
     return run
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each signature: an edge from every class to the least one that signs as the smaller; without such a one, none, as
-    those that all sign as the larger meet under their own size. One partition of two longs a signature."""
+def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Classes that share a signature, unless all sign as the larger, who meet under their own size: up to PAIRED of them
+    as pairs (null, fa, fb), more as members (signature, null, fb). One partition of two longs a signature."""
     got = [(np.frombuffer(s, np.uint64), np.frombuffer(f, np.int64)) for b in batches for s, f in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
     if not got:
         return
     sig, name = np.concatenate([s for s, _ in got]), np.concatenate([f for _, f in got])
     del got
     order = np.argsort(sig, kind="stable")
-    role, sig, name = sig[order] & np.uint64(1), sig[order] >> np.uint64(1), name[order]
-    same = np.append(sig[1:] == sig[:-1], False)
+    sig, name = sig[order], name[order]
+    own = sig >> np.uint64(1)
+    same = np.append(own[1:] == own[:-1], False)
     keep = same | np.append(False, same[:-1])  # signatures that occur twice at least
-    role, sig, name = role[keep], sig[keep], name[keep]
-    if not len(sig):
-        return
-    first = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
-    none = np.iinfo(np.int64).max
-    head = np.repeat(np.minimum.reduceat(np.where(role == 0, name, none), first), np.diff(np.append(first, len(sig))))
-    edges = np.unique(np.stack([head, name], axis=1)[(head != name) & (head != none)], axis=0)
-    if len(edges):
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(edges[:, i])) for i in (0, 1)], ["fa", "fb"])
+    sig, name = sig[keep], name[keep]
+    order = np.lexsort((name, sig >> np.uint64(1)))
+    sig, name = sig[order], name[order]
+    new = np.append(True, (sig[1:] != sig[:-1]) | (name[1:] != name[:-1]))[: len(sig)]  # copies that signed in other tasks
+    larger, sig, name = (sig[new] & np.uint64(1)).astype(bool), sig[new] >> np.uint64(1), name[new]
+    first = np.flatnonzero(np.append(True, sig[1:] != sig[:-1])[: len(sig)])
+    count = np.diff(np.append(first, len(sig)))
+    edges = [np.empty((0, 2), np.int64)]
+    for k in range(2, PAIRED + 1):
+        at = first[count == k]
+        for i in range(k if len(at) else 0):
+            for j in range(i + 1, k):
+                pair = at[~(larger[at + i] & larger[at + j])]
+                edges.append(np.stack([name[pair + i], name[pair + j]], axis=1))
+        if sum(map(len, edges)) > 1 << 22:
+            edges = [np.unique(np.concatenate(edges), axis=0)]
+    pairs = np.unique(np.concatenate(edges), axis=0)
+    alone = np.repeat(np.logical_and.reduceat(larger, first), count) if len(first) else larger
+    many = np.repeat(count > PAIRED, count) & ~alone
+    if len(pairs):
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(pairs), pa.int64()), *[pa.array(np.ascontiguousarray(pairs[:, i])) for i in (0, 1)]], ["sig", "fa", "fb"])
+    if many.any():
+        yield pa.RecordBatch.from_arrays([pa.array(sig[many].astype(np.int64)), pa.nulls(int(many.sum()), pa.int64()), pa.array(name[many])], ["sig", "fa", "fb"])
+
+
+def search(ids: np.ndarray, size: np.ndarray, sketches: np.ndarray, join: Join, most: int = SEARCHED) -> list[np.ndarray]:
+    """Pairs [a, b] of ids that connect all whose sketches allow a link; after `most` comparisons what is left is linked unseen."""
+    out, left, near, done = [], np.arange(len(ids)), [], 0
+    link = lambda i, js: out.append(np.stack([np.full(len(js), ids[i]), ids[js]], axis=1))
+    while len(left):
+        if not near:
+            near, left = [int(left[0])], left[1:]
+        i = near.pop()
+        done += len(left)
+        if done > most:
+            link(i, left)
+            break
+        alike = (sketches[left] != sketches[i]).sum(axis=1) <= np.minimum((join.den - join.num) * (size[left] + size[i]) // (join.den + join.num), join.most_apart())
+        if alike.any():
+            link(i, left[alike])
+            near += left[alike].tolist()
+            left = left[~alike]
+    return out
+
+
+def _searched(join: Join):
+    """Edges (a, b) among the members of each signature; rows come sorted by it: signature, id, size, sketch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        found: list[np.ndarray] = [np.empty((0, 2), np.int64)]
+
+        def ended(rows: np.ndarray) -> None:
+            first = np.flatnonzero(np.append(True, rows[1:, 0] != rows[:-1, 0]))
+            for a, b in zip(first, np.append(first[1:], len(rows)), strict=True):
+                found.extend(search(rows[a:b, 1], rows[a:b, 2], np.ascontiguousarray(rows[a:b, 3:]).view(np.uint8), join))
+            if len(found) > 100_000:
+                found[:] = [np.unique(np.concatenate(found), axis=0)]
+
+        for batch in batches:
+            rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
+            if not len(rows):
+                continue
+            if held and held[-1][-1, 0] != rows[0, 0]:
+                ended(np.concatenate(held))
+                held = []
+            last = int(np.searchsorted(rows[:, 0], rows[-1, 0]))  # the last signature may go on in the next batch
+            if last:
+                ended(np.concatenate([*held, rows[:last]]))
+                held = []
+            held.append(rows[last:])
+        if held:
+            ended(np.concatenate(held))
+        edges = np.unique(np.concatenate(found), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(edges[:, i])) for i in (0, 1)], ["a", "b"])
+
+    return run
 
 
 def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -364,20 +477,30 @@ def _verified(join: Join):
     return run
 
 
+def candidates(signed: DataFrame, classes: DataFrame, join: Join, parts: int) -> DataFrame:
+    """a, b: edges whose components hold all sets that link."""
+    met = written(signed.mapInArrow(_meeting, "sig long, fa long, fb long"), "join-met")
+    known = classes.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("id"), *[F.min(c).alias(c) for c in _SKETCHED])  # of equal sets the sketches are equal
+    side = lambda x: known.select(F.col("f1").alias(f"f{x}"), F.col("id").alias(x), F.col("n").alias(f"n{x}"), *[F.col(c).alias(f"{x}{c}") for c in _SKETCHED])
+    pairs = met.filter("sig is null").select("fa", "fb").distinct().join(side("a"), "fa").join(side("b"), "fb")
+    may = F.least(F.floor((join.den - join.num) * (F.col("na") + F.col("nb")) / (join.den + join.num) + 1e-6), F.lit(join.most_apart()))
+    pairs = pairs.filter(_apart([f"a{c}" for c in _SKETCHED], [f"b{c}" for c in _SKETCHED]) <= may).select("a", "b")
+    many = met.filter("sig is not null").select("sig", "fb").join(side("b"), "fb").select("sig", "b", "nb", *[f"b{c}" for c in _SKETCHED])
+    return pairs.unionAll(many.repartition(parts, "sig").sortWithinPartitions("sig").mapInArrow(_searched(join), "a long, b long"))
+
+
 def linked(docs: DataFrame, join: Join = Join()) -> DataFrame:  # noqa: B008
     """doc_id (null: _LAST), x (a hash of the text), n_shingles, component_id (the least doc_id reachable by links, itself included)."""
     spark = docs.sparkSession
     d = docs.select(_id().alias("doc_id"), "text", F.xxhash64("text").alias("x"))
-    read = written(d.mapInArrow(_classes(join), "kind byte, doc_id long, x long, n long, f1 long, f2 long"), "join-classes")
-    rows = read.filter("kind = 0").drop("kind")
+    read = written(d.mapInArrow(_classes(join), CLASSES), "join-classes")
+    rows = read.filter("kind = 0").drop("kind", *_SKETCHED)
     often = read.filter("kind = 1").groupBy("f1").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "f1").limit(HEAVY).select("f1").toArrow()["f1"]
     heavy = np.sort(often.to_numpy().astype(np.uint64))
     reps = rows.filter("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("id"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     signed = d.select("doc_id", "text").mapInArrow(_signed(join, parts, heavy), "part int, sigs binary, names binary").repartition(parts, "part")
-    stars = signed.mapInArrow(_stars, "fa long, fb long").distinct()
-    edges = stars.join(reps.select(F.col("f1").alias("fa"), F.col("id").alias("a")), "fa").join(reps.select(F.col("f1").alias("fb"), F.col("id").alias("b")), "fb")
-    clusters = components(edges.select("a", "b"))
+    clusters = components(candidates(signed, read.filter("kind = 0 and n > 0"), join, parts))
     members = clusters.join(reps, "id")
     weight = members.groupBy("component").agg(F.sum("n").alias("tokens"))
     members = written(members.join(weight, "component").select("id", F.col("component").alias("cluster"), F.greatest(F.lit(1), F.ceil(F.col("tokens") / join.budget)).cast("int").alias("blocks"), "f1", "f2"), "join-members")

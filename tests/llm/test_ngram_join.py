@@ -4,7 +4,8 @@ from collections import defaultdict
 import numpy as np
 from aerolytics.llm import registry
 from aerolytics.llm.components import components
-from aerolytics.llm.ngram_join import Join, adapt_join, join_documents, one_of_each, signatures
+from aerolytics.llm.ngram_join import CLASSES, Join, _classes, _signed, adapt_join, candidates, join_documents, one_of_each, search, signatures, sketch
+from pyspark.sql import functions as F
 
 import fixtures as fx
 
@@ -147,3 +148,56 @@ def test_digests_leave_out_no_partner():
         for i in range(40):
             for j in range(40):
                 assert (d[:, i] != d[:, j]).sum() <= len(np.setxor1d(sets[i], sets[j]))
+
+
+def test_sketches_of_linked_sets_differ_little():
+    r, join = np.random.default_rng(3), Join(k=5, num=80, den=100)
+    most = 0
+    for n in (3, 20, 90, 400, 3000):
+        for _ in range(60):
+            both = r.integers(0, 2**63, n, np.int64).astype(np.uint64)
+            own = lambda k: np.unique(np.append(both, r.integers(0, 2**63, k, np.int64).astype(np.uint64)))  # noqa: E731, B023
+            a, b = own(n // 8), own(n // 8)
+            assert join.linked(len(a), len(b), n)
+            apart = int((sketch(a).view(np.uint8) != sketch(b).view(np.uint8)).sum())
+            assert apart <= min(join.most_apart(), 20 * (len(a) + len(b)) // 180)
+            most = max(most, apart)
+            c = r.integers(0, 2**63, n, np.int64).astype(np.uint64)
+            assert n < 20 or (sketch(a).view(np.uint8) != sketch(c).view(np.uint8)).sum() > min(join.most_apart(), 20 * (len(a) + n) // 180)
+    assert most > 5
+
+
+def test_shared_passages_do_not_chain_into_one_cluster(spark):
+    # each document shares words with the next alone, far below the threshold; they were one cluster of nearly all
+    join = Join(k=5, num=80, den=100)
+    texts = [" ".join(f"w{i + j}" for j in range(6)) for i in range(400)] + family(5, 40, words=60, edits=2)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    known = docs.withColumn("x", F.xxhash64("text")).select("doc_id", "text", "x").mapInArrow(_classes(join), CLASSES)
+    signed = docs.mapInArrow(_signed(join, 4, np.empty(0, np.uint64)), "part int, sigs binary, names binary").repartition(4, "part")
+    edges = [(r.a, r.b) for r in candidates(signed, known.filter("kind = 0 and n > 0"), join, 4).collect()]
+    assert edges and all(min(e) >= 400 for e in edges)
+    got = {r.doc_id: r.component_id for r in join_documents(docs, join).collect()}
+    assert got == {d: c for d, (_, c) in brute(list(enumerate(texts)), 5, 80, 100).items()}
+
+
+def test_pairs_and_stars_keep_every_link(spark):
+    # families below and above PAIRED under one signature, and copies in other partitions
+    texts = [t for seed, n in ((1, 3), (2, 12), (3, 16), (4, 17), (5, 60)) for t in family(seed, n, words=80, edits=4)] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in join_documents(docs, Join(k=3, num=80, den=100)).collect()}
+    assert got == brute(list(enumerate(texts)), 3, 80, 100)
+
+
+def test_search_among_many():
+    r, join = np.random.default_rng(4), Join(k=5, num=80, den=100)
+    new = lambda n: r.integers(0, 2**63, n, np.int64).astype(np.uint64)
+    passage, bases = new(30), [new(300) for _ in range(3)]
+    sets = [np.unique(np.concatenate([passage, b[: -int(r.integers(1, 20))], new(5)])) for b in bases for _ in range(40)] + [np.append(passage, new(300)) for _ in range(80)]
+    size, sketches, ids = np.array([len(s) for s in sets]), np.array([sketch(s) for s in sets]).view(np.uint8), np.arange(len(sets)) + 7
+    edges = np.concatenate(search(ids, size, sketches, join)) - 7
+    assert {(a // 40, b // 40) for a, b in edges.tolist()} == {(0, 0), (1, 1), (2, 2)} and len(edges) == 3 * 39
+    some = np.concatenate(search(ids, size, sketches, join, most=500)) - 7  # the rest is linked unseen, and nothing is left out
+    root = np.arange(len(sets))
+    for a, b in some:
+        root[root == root[b]] = root[a]
+    assert all(len(set(root[40 * k : 40 * k + 40])) == 1 for k in range(3)) and len(set(root)) < 10
