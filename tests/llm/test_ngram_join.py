@@ -1,3 +1,4 @@
+import importlib
 import random
 from collections import defaultdict
 
@@ -201,3 +202,23 @@ def test_search_among_many():
     for a, b in some:
         root[root == root[b]] = root[a]
     assert all(len(set(root[40 * k : 40 * k + 40])) == 1 for k in range(3)) and len(set(root)) < 10
+
+
+def test_components_alike_in_one_task_and_in_rounds(spark, monkeypatch):
+    module = importlib.import_module("aerolytics.llm.components")
+    r = random.Random(9)
+    edges = [(i, i + 1) for i in range(0, 300)] + [(r.randrange(1000, 3000), r.randrange(1000, 3000)) for _ in range(900)] + [(-5, 7000), (7000, 7000), (8000, 8000)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    got = []
+    for most in (1 << 20, 0):
+        monkeypatch.setattr(module, "LOCAL_EDGES", most)
+        got.append(sorted(map(tuple, components(df).collect())))
+    assert got[0] == got[1] and dict(got[0])[300] == 0 and dict(got[0])[7000] == -5 and 8000 not in dict(got[0])
+    assert components(df.filter("a = b")).count() == 0
+    monkeypatch.setattr(module, "LOCAL_EDGES", 1 << 20)
+    assert components(df.filter("a = b")).count() == 0
+    # few jobs: an edge list in one task takes no rounds
+    spark.sparkContext.setJobGroup("rounds", "")
+    components(df)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("rounds")) <= 6
