@@ -212,18 +212,37 @@ class Kinds:
         return np.argmax(out + np.log(self.prior), axis=1)
 
 
+def group_sizes(n: int) -> tuple[int, int]:
+    """(classes in a group, groups) of the softmax over n classes; the last group may have fewer."""
+    size = math.isqrt(n - 1) + 1
+    return size, -(-n // size)
+
+
 class Attention:
-    """One head over windows of class numbers; classes: frequent ids, the escape, the end; the input has a start too."""
+    """One head over windows of class numbers; classes: frequent ids, the buckets, the end; the input has a start too.
+
+    The softmax has two levels: a class has the probability of its group times its own within the group, so a step computes
+    two short softmaxes instead of one over all classes, which all keep outputs of their own. Groups are runs of class numbers;
+    the class before also speaks for each group by itself, which makes up for the factoring.
+    Inputs, queries, keys and values are sums of a row for the class and a row for the place in the window, so they are looked up."""
 
-    NAMES = ("E", "P", "A", "B", "O", "c")
+    NAMES = ("E", "P", "A", "B", "O", "c", "D")
 
     def __init__(self, p: LM, log_unigram: np.ndarray, seed: int = 0):
         r, d, n = np.random.default_rng(seed), p.width, p.outputs
         self.p, self.n = p, n
+        self.size, self.groups = group_sizes(n)
+        side = math.isqrt(n) + 1
+        self.unit = np.eye(side, dtype=np.float32)[np.arange(n + 1) % side]
+        self.later = np.where(np.arange(p.window)[None, :] > np.arange(p.stride)[:, None] + p.context, np.float32(-1e9), np.float32(0))
         f = np.float32
         self.E, self.P = r.normal(0, 0.3, (n + 1, d)).astype(f), r.normal(0, 0.1, (p.window, d)).astype(f)
         self.A, self.B = r.normal(0, 0.3, (d, 3 * d)).astype(f), r.normal(0, 0.2, (d, d)).astype(f)
-        self.O, self.c = r.normal(0, 0.1, (d, n)).astype(f), log_unigram.astype(f)
+        # outputs of the groups, then of the classes
+        self.O, self.c = r.normal(0, 0.1, (d, self.groups + n)).astype(f), np.zeros(self.groups + n, f)
+        self.D = np.zeros((n + 1, self.groups), f)  # by the class before, to the groups
+        whole = np.logaddexp.reduceat(log_unigram, np.arange(0, n, self.size))
+        self.c[: self.groups], self.c[self.groups :] = whole, log_unigram - np.repeat(whole, self.size)[:n]
 
     def weights(self) -> np.ndarray:
         return np.concatenate([getattr(self, k).ravel() for k in self.NAMES])
@@ -243,107 +262,191 @@ class Attention:
         k = np.arange(len(text)) - np.repeat(np.append(0, np.cumsum(n)[:-1]), n)
         return first[text] + k * self.p.stride, first[text], first[text + 1]
 
-    def _forward(self, classes: np.ndarray, block: np.ndarray, low: np.ndarray, high: np.ndarray, scoring: bool = False):
+    def _read(self, classes: np.ndarray, block: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(input classes, classes to tell or -1, number of places before the text) of windows."""
+        classes = classes.astype(np.int16 if self.n < 1 << 15 else np.int64)  # numpy sorts 16-bit numbers in linear time
+        at = block[:, None] + np.arange(-self.p.context, self.p.stride)
+        inputs = classes[np.clip(at - 1, 0, len(classes) - 1)]
+        inputs[at == low[:, None]] = self.n  # the start stands before a text's first id
+        at = at[:, self.p.context :]
+        target = classes[np.minimum(at, len(classes) - 1)]
+        target[at >= high[:, None]] = -1
+        return inputs, target, np.maximum(low - block + self.p.context, 0)
+
+    def _tables(self) -> tuple[np.ndarray, ...]:
+        """Rows of keys, values and 1 by class and by place; rows of inputs, queries and what goes to the groups by class and by scored place."""
+        d, f = self.p.width, self.E.dtype
+        query, out = self.A[:, :d] * f.type(1 / math.sqrt(d)), []
+        for x, one, scored, more in ((self.E, 1, self.E, self.D), (self.P, 0, self.P[self.p.context :], 0)):
+            kv, xq = np.empty((len(x), 2 * d + 1), f), np.empty((len(scored), 2 * d + self.groups), f)
+            kv[:, :-1], kv[:, -1] = x @ self.A[:, d:], one
+            xq[:, :d], xq[:, d : 2 * d], xq[:, 2 * d :] = scored, scored @ query, more
+            out += [kv, xq]
+        return tuple(out)
+
+    def _hidden(self, tables: tuple[np.ndarray, ...], inputs: np.ndarray, free: np.ndarray):
         p, d = self.p, self.p.width
-        at = block[:, None] + np.arange(-p.context, p.stride)
-        before = np.clip(at - 1, 0, len(classes) - 1)
-        inputs = np.where(at == low[:, None], self.n, classes[before])  # the start stands before a text's first id
-        x = self.E[inputs] + self.P
-        qkv = (x.reshape(-1, d) @ self.A).reshape(len(x), p.window, 3 * d)
-        q, k, v = qkv[:, p.context :, :d], qkv[:, :, d : 2 * d], qkv[:, :, 2 * d :]
-        s = np.matmul(q, k.transpose(0, 2, 1)) * np.float32(1 / math.sqrt(d))
-        s += self._causal()
-        if (at[:, 0] < low).any():
-            s += np.where((at < low[:, None])[:, None, :], np.float32(-1e9), np.float32(0))
-        s -= s.max(axis=2, keepdims=True)
+        kv = tables[0].take(inputs, axis=0)
+        kv += tables[2]
+        xq = tables[1].take(inputs[:, p.context :], axis=0)
+        xq += tables[3]
+        s = np.matmul(xq[:, :, d : 2 * d], kv[:, :, :d].transpose(0, 2, 1))
+        near = max(s.max(), -s.min()) < 40  # exponents of these and their sums need no shift
+        s += self.later
+        if free.any():
+            some = np.flatnonzero(free)
+            s[some] += np.where(np.arange(p.window) < free[some, None], s.dtype.type(-1e9), s.dtype.type(0))[:, None]
+        if not near:
+            s -= s.max(axis=2, keepdims=True)
         np.exp(s, out=s)
-        if scoring:  # the sum of the weights comes as one more value; what it divides is smaller
-            z = np.matmul(s, np.concatenate([v, np.ones((*v.shape[:2], 1), np.float32)], axis=2))
-            z = z[:, :, :d] / z[:, :, d:]
-        else:
-            s /= s.sum(axis=2, keepdims=True)
-            z = np.matmul(s, v)
-        hid = x[:, p.context :] + (z.reshape(-1, d) @ self.B).reshape(z.shape)
-        logits = np.concatenate([hid.reshape(-1, d), np.ones((hid.shape[0] * p.stride, 1), np.float32)], axis=1) @ np.concatenate([self.O, self.c[None]])
-        return inputs, x, q, k, v, s, z, hid, logits, at[:, p.context :]
-
-    def _causal(self) -> np.ndarray:
-        p = self.p
-        return np.where(np.arange(p.window)[None, :] > np.arange(p.stride)[:, None] + p.context, np.float32(-1e9), np.float32(0))
-
-    def score(self, classes: np.ndarray, first: np.ndarray, chunk: int = 96) -> np.ndarray:
+        z = np.matmul(s, kv[:, :, d:])  # the sum of the weights comes as one more value
+        total = z[:, :, d:]
+        z = z[:, :, :d] / total
+        hid = (z.reshape(-1, d) @ self.B).reshape(z.shape)
+        hid += xq[:, :, :d]
+        return kv, xq, s, total, z, hid
+
+    def _outputs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Outputs over biases: [width + 1, group], and [group, width + 1, place in the group]; free places have zeros."""
+        both = np.concatenate([self.O, self.c[None]])
+        own = np.zeros((len(both), self.groups * self.size), both.dtype)
+        own[:, : self.n] = both[:, self.groups :]
+        return np.ascontiguousarray(both[:, : self.groups]), own.reshape(len(both), self.groups, self.size).transpose(1, 0, 2).copy()
+
+    @staticmethod
+    def _sorted(numbers: np.ndarray, size: int, groups: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+        """(places of the numbers that are not -1 in ascending order, these, (group, from, to) of the groups among them)."""
+        order = np.argsort(numbers, kind="stable")
+        ranked = numbers[order]
+        cuts = np.searchsorted(ranked, np.arange(0, groups * size + 1, size, dtype=ranked.dtype))
+        order, ranked, cuts = order[cuts[0] :], ranked[cuts[0] :], (cuts - cuts[0]).tolist()
+        return order, ranked, [(g, cuts[g], cuts[g + 1]) for g in range(groups) if cuts[g] < cuts[g + 1]]
+
+    def _parts(self, outputs: tuple[np.ndarray, np.ndarray], hid: np.ndarray, xq: np.ndarray, order: np.ndarray, ranked: np.ndarray, runs: list[tuple[int, int, int]]):
+        """Of the ids in that order, a row each: what the outputs read; and for both softmaxes the exponents, their sums and
+        the place told; and the log probabilities, in all."""
+        read = np.ones((len(order), self.p.width + 1), hid.dtype)
+        read[:, :-1] = hid.reshape(-1, self.p.width).take(order, axis=0)
+        whole, own = read @ outputs[0], np.empty((len(order), self.size), hid.dtype)
+        whole += xq.reshape(-1, xq.shape[2])[:, 2 * self.p.width :].take(order, axis=0)
+        for g, a, b in runs:
+            np.matmul(read[a:b], outputs[1][g], out=own[a:b])
+        logs, parts = np.zeros(len(order), hid.dtype), []
+        # places of the last group that no class has weigh nothing
+        free = own[runs[-1][1] :, self.n - (self.groups - 1) * self.size :] if runs and runs[-1][0] == self.groups - 1 else own[:0]
+        free[:] = own[len(own) - len(free) :, :1]
+        for x, places in ((whole, ranked // self.size), (own, ranked % self.size)):
+            at = np.arange(0, x.size, x.shape[1]) + places
+            if x.size and max(x.max(), -x.min()) >= 40:
+                x -= x.max(axis=1, keepdims=True)
+            logs += x.ravel()[at]
+            np.exp(x, out=x)
+            if x is own:
+                free[:] = 0
+            sums = x @ np.ones(x.shape[1], x.dtype)
+            logs -= np.log(sums)
+            parts.append((x, sums, at))
+        return read, parts, logs
+
+    def score(self, classes: np.ndarray, first: np.ndarray, chunk: int = 192) -> np.ndarray:
         """Natural log probability of each class given those before it in its text."""
-        out, ones = np.zeros(len(classes), np.float32), np.ones(self.n, np.float32)
+        out, tables, outputs = np.zeros(len(classes), np.float32), self._tables(), self._outputs()
         block, low, high = self.windows(first)
-        for a in range(0, len(block), chunk):
+        inputs, target, free = self._read(classes, block, low, high)
+        for a in range(0, len(inputs), chunk):
             part = slice(a, a + chunk)
-            *_, logits, at = self._forward(classes, block[part], low[part], high[part], True)
-            at = at.ravel()
-            ok = at < np.repeat(high[part], self.p.stride)
-            target = classes[np.where(ok, at, 0)]
-            logits -= logits.max(axis=1, keepdims=True)
-            hit = logits[np.arange(len(at)), target]
-            np.exp(logits, out=logits)
-            out[at[ok]] = (hit - np.log(logits @ ones))[ok]
+            _, xq, *_, hid = self._hidden(tables, inputs[part], free[part])
+            order, *runs = self._sorted(target[part].ravel(), self.size, self.groups)
+            window, k = np.divmod(order, self.p.stride)
+            out[block[part][window] + k] = self._parts(outputs, hid, xq, order, *runs)[-1]
         return out
 
     def step(self, classes: np.ndarray, block: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[float, list[np.ndarray]]:
         """Mean loss over the scored ids, and the gradients."""
-        p, d = self.p, self.p.width
-        inputs, x, q, k, v, s, z, hid, logits, at = self._forward(classes, block, low, high)
-        at = at.ravel()
-        ok = at < np.repeat(high, p.stride)
-        target = classes[np.where(ok, at, 0)]
-        logits -= logits.max(axis=1, keepdims=True)
-        prob = np.exp(logits)
-        prob /= prob.sum(axis=1, keepdims=True)
-        rows = np.arange(len(at))
-        loss = float(-np.log(np.maximum(prob[rows, target], 1e-12))[ok].mean())
-        g = prob
-        g[rows, target] -= 1
-        g *= (ok / max(1, ok.sum())).astype(np.float32)[:, None]
-        flat = hid.reshape(-1, d)
-        dO, dc = flat.T @ g, g.sum(0)
-        dh = (g @ self.O.T).reshape(hid.shape)
-        dB = z.reshape(-1, d).T @ dh.reshape(-1, d)
-        dz = (dh.reshape(-1, d) @ self.B.T).reshape(z.shape)
-        ds = np.matmul(dz, v.transpose(0, 2, 1))
-        dv = np.matmul(s.transpose(0, 2, 1), dz)
-        ds = s * (ds - (ds * s).sum(axis=2, keepdims=True)) * np.float32(1 / math.sqrt(d))
-        dqkv = np.zeros((len(x), p.window, 3 * d), np.float32)
-        dqkv[:, p.context :, :d] = np.matmul(ds, k)
-        dqkv[:, :, d : 2 * d] = np.matmul(ds.transpose(0, 2, 1), q)
-        dqkv[:, :, 2 * d :] = dv
-        dA = x.reshape(-1, d).T @ dqkv.reshape(-1, 3 * d)
-        dx = (dqkv.reshape(-1, 3 * d) @ self.A.T).reshape(x.shape)
-        dx[:, p.context :] += dh
-        by = np.argsort(inputs, axis=None, kind="stable")
-        ranked = inputs.ravel()[by]
-        first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
-        dE = np.zeros((self.n + 1, d), np.float32)
-        dE[ranked[first]] = np.add.reduceat(dx.reshape(-1, d)[by], first, axis=0)
-        return loss, [dE, dx.sum(0), dA, dB, dO, dc]
+        return self._step(*self._read(classes, block, low, high))
+
+    def _step(self, inputs: np.ndarray, target: np.ndarray, free: np.ndarray) -> tuple[float, list[np.ndarray]]:
+        p, d, g = self.p, self.p.width, self.groups
+        kv, xq, s, total, z, hid = self._hidden(self._tables(), inputs, free)
+        f = hid.dtype
+        order, ranked, runs = self._sorted(target.ravel(), self.size, g)
+        outputs, share = self._outputs(), f.type(1 / max(1, len(order)))
+        read, parts, logs = self._parts(outputs, hid, xq, order, ranked, runs)
+        for x, sums, at in parts:
+            x *= (share / sums)[:, None]
+            x.ravel()[at] -= share
+        (whole, _, _), (own, _, _) = parts
+        down, down_own = whole @ outputs[0][:d].T, np.empty((len(order), d), f)
+        of_own, back = np.zeros_like(outputs[1]), outputs[1][:, :d].transpose(0, 2, 1).copy()
+        for i, a, b in runs:
+            np.matmul(read[a:b].T, own[a:b], out=of_own[i])
+            np.matmul(own[a:b], back[i], out=down_own[a:b])
+        down += down_own
+        dOc = np.concatenate([read.T @ whole, of_own.transpose(1, 0, 2).reshape(d + 1, -1)[:, : self.n]], axis=1)
+        dxq, dkv = np.empty_like(xq), np.empty((len(kv), p.window, 2 * d), f)
+        dh = np.zeros((target.size, d), f)
+        dh[order] = down
+        dxq[:, :, :d], dxq[:, :, 2 * d :] = dh.reshape(hid.shape), 0
+        dxq.reshape(-1, dxq.shape[2])[order, 2 * d :] = whole
+        dB = z.reshape(-1, d).T @ dh
+        dz = np.empty((*hid.shape[:2], d + 1), f)  # times values and 1: the gradient of the weights less its mean under them
+        dz[:, :, :d] = (dh @ self.B.T).reshape(hid.shape)
+        z *= dz[:, :, :d]
+        dz[:, :, d] = -(z.reshape(-1, d) @ np.ones(d, f)).reshape(hid.shape[:2])
+        dz /= total
+        ds = np.matmul(dz, kv[:, :, d:].transpose(0, 2, 1))
+        ds *= s
+        dkv[:, :, :d] = np.matmul(ds.transpose(0, 2, 1), xq[:, :, d : 2 * d])
+        dkv[:, :, d:] = np.matmul(s.transpose(0, 2, 1), dz[:, :, :d])
+        dxq[:, :, d : 2 * d] = np.matmul(ds, kv[:, :, :d])
+        scale = f.type(1 / math.sqrt(d))
+        of_class, of_place = np.empty((self.n + 1, 3 * d), f), np.zeros((p.window, 3 * d), f)
+        of_input, in_place = self._sums(inputs[:, p.context :], dxq), dxq.sum(axis=0)
+        of_class[:, :d], of_class[:, d:] = of_input[:, d : 2 * d] * scale, self._sums(inputs, dkv)
+        of_place[p.context :, :d], of_place[:, d:] = in_place[:, d : 2 * d] * scale, dkv.sum(axis=0)
+        dE, dP = of_class @ self.A.T, of_place @ self.A.T
+        dE += of_input[:, :d]
+        dP[p.context :] += in_place[:, :d]
+        return -float(logs.sum() * share), [dE, dP, self.E.T @ of_class + self.P.T @ of_place, dB, dOc[:-1], dOc[-1], of_input[:, 2 * d :]]
+
+    def _sums(self, inputs: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """The sum of the rows of each input class, by products with 0 and 1 in groups of classes: numpy's own sums of runs are slower."""
+        size, width = self.unit.shape[1], rows.shape[2]
+        order, ranked, runs = self._sorted(inputs.ravel(), size, size)
+        rows, places = rows.reshape(-1, width).take(order, axis=0), self.unit.take(ranked, axis=0)
+        out = np.zeros((size, size, width), rows.dtype)
+        for g, a, b in runs:
+            out[g] = places[a:b].T @ rows[a:b]
+        return out.reshape(-1, width)[: self.n + 1]
 
     def train(self, classes: np.ndarray, first: np.ndarray, epochs: int, rate: float, seed: int = 0, batch: int = 96) -> Attention:
         """Adam over shuffled windows."""
-        block, low, high = self.windows(first)
+        inputs, target, free = self._read(classes, *self.windows(first))
         r = np.random.default_rng(seed)
-        m = [np.zeros_like(getattr(self, k)) for k in self.NAMES]
-        v = [np.zeros_like(getattr(self, k)) for k in self.NAMES]
-        t, steps = 0, max(1, epochs * -(-len(block) // batch))
+        flat, at = self.weights(), 0
+        for k in self.NAMES:  # the weights become parts of one array
+            old = getattr(self, k)
+            setattr(self, k, flat[at : at + old.size].reshape(old.shape))
+            at += old.size
+        m, v = np.zeros_like(flat), np.zeros_like(flat)
+        t, steps = 0, max(1, epochs * -(-len(inputs) // batch))
         for _ in range(epochs):
-            order = r.permutation(len(block))
+            order = r.permutation(len(inputs))
             for a in range(0, len(order), batch):
                 pick = order[a : a + batch]
-                _, grads = self.step(classes, block[pick], low[pick], high[pick])
+                _, grads = self._step(inputs[pick], target[pick], free[pick])
                 t += 1
                 now = rate * (1 - 0.9 * t / steps)
-                for i, (k, g) in enumerate(zip(self.NAMES, grads, strict=True)):
-                    m[i] += 0.1 * (g - m[i])
-                    v[i] += 0.01 * (g * g - v[i])
-                    w = getattr(self, k)
-                    w -= (now * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
-                    np.clip(w, -12, 12, out=w)
+                g = np.concatenate([x.ravel() for x in grads])
+                m += np.float32(0.1) * (g - m)
+                g *= g
+                v += np.float32(0.01) * (g - v)
+                np.sqrt(v * np.float32(1 / (1 - 0.99**t)), out=g)
+                g += np.float32(1e-8)
+                np.divide(m, g, out=g)
+                g *= np.float32(now / (1 - 0.9**t))
+                flat -= g
+                np.clip(flat, -12, 12, out=flat)
         return self
 
 
@@ -458,6 +561,31 @@ def classes(seen: np.ndarray, subwords: Subwords, p: LM) -> tuple[np.ndarray, np
     return of_id, log_rest
 
 
+def alike(classes: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
+    """A new number for each class, such that classes which follow the same ones share a group of the softmax: halves along
+    the main axis of the (square roots of) shares of the classes before, again and again."""
+    size, groups = group_sizes(n)
+    inside = np.ones(len(classes), bool)
+    inside[first[first < len(classes)]] = False
+    at = np.flatnonzero(inside)
+    pairs = np.bincount(classes[at - 1] * np.int64(n) + classes[at], minlength=n * n).reshape(n, n).T.astype(float)
+    weight = np.bincount(classes, minlength=n) + 1.0
+    rows = np.sqrt((pairs + 0.5 * weight / weight.sum()) / (pairs.sum(axis=1, keepdims=True) + 0.5))
+    parts, out = [(np.arange(n), groups)], []
+    while parts:
+        own, many = parts.pop()
+        if many == 1:
+            out.append(own)
+            continue
+        x = rows[own] - np.average(rows[own], axis=0, weights=weight[own])
+        axis = np.linalg.svd(x * np.sqrt(weight[own])[:, None], full_matrices=False)[2][0]
+        own = own[np.argsort(x @ axis, kind="stable")]
+        parts += [(own[many // 2 * size :], many - many // 2), (own[: many // 2 * size], many // 2)]
+    number = np.empty(n, np.int64)
+    number[np.concatenate(out)] = np.arange(n)
+    return number
+
+
 def _training(p: LM) -> Column:
     return crc_of(F.col("doc_id")) % p.fold != p.held
 
@@ -491,7 +619,7 @@ def _local(model: Model, rounds: int = 1):
     """A partition's own training from the shared start; one row: its weights times the ids seen, and these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = Attention(model.p, model.attention.c).load(model.attention.weights())
+        a = Attention(model.p, np.zeros(model.p.outputs)).load(model.attention.weights())
         seen = 0
         for batch in split_bytes(batches, limit=2 << 20):
             r = Read(batch.column(0), model.subwords)
@@ -555,7 +683,8 @@ def train(docs: DataFrame, p: LM = LM()) -> tuple[Model, DataFrame]:  # noqa: B0
         seen[z, ids["key"].to_numpy()] = ids[f"z{z}"].to_numpy()
     of_id, log_rest = classes(seen, subwords, p)
     by_class = np.bincount(of_id, seen.sum(axis=0) + 0.01, p.outputs) + 1e-6
-    model = Model(p, subwords, of_id, log_rest, Attention(p, np.log(by_class / by_class.sum())))
+    log_class = np.log(by_class / by_class.sum())
+    model = Model(p, subwords, of_id, log_rest, Attention(p, log_class))
     # the most frequent words: the least count at which at most top_words words are left
     least = 1
     if distinct > p.top_words:
@@ -580,6 +709,9 @@ def train(docs: DataFrame, p: LM = LM()) -> tuple[Model, DataFrame]:  # noqa: B0
         r = Read(texts.slice(0, cut), subwords)
         limit = r.id_first[min(len(r.id_first) - 1, max(1, int(np.searchsorted(r.id_first, p.start_ids))))]
         keep = r.id_first[r.id_first <= limit]
+        number = alike(of_id[r.ids[:limit]], keep, p.outputs)
+        model.of_id = of_id = number[of_id]
+        model.attention = Attention(p, log_class[np.argsort(number)])
         model.attention.train(of_id[r.ids[:limit]], keep, int(np.clip(2 * p.start_ids // max(1, limit), 2, 10)), 0.02)
         # the texts that fit the mixture do not train, nor do their repeated rows
         fits = F.lit(False) if cut == len(texts) else place.between(sample["h"][cut].as_py(), edge)

@@ -1,4 +1,5 @@
 import math
+import time
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -7,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from aerolytics.llm import registry
-from aerolytics.llm.lm import LM, VOCABULARY, Attention, Read, Subwords, score_documents, train
+from aerolytics.llm.lm import LM, VOCABULARY, Attention, Read, Subwords, alike, group_sizes, score_documents, train
 from pyspark.sql import functions as F
 
 import fixtures as fx
@@ -167,3 +168,58 @@ def test_scores_do_not_depend_on_the_table_of_frequent_words(spark):
     whole, *cut = (sorted(score_documents(d, LM(start_rows=40, start_ids=20_000, top_words=top)).collect(), key=key) for top in (1 << 20, 1, 300))
     for rows in cut:
         assert all(a[:6] == b[:6] and abs(a.score - b.score) <= 1e-3 + 1e-5 * abs(a.score) for a, b in zip(whole, rows, strict=True))
+
+
+def plain(a, classes, first):
+    """The model's log probabilities, one class at a time."""
+    p, d, g, out = a.p, a.p.width, a.groups, []
+    for lo, hi in zip(first[:-1], first[1:], strict=True):
+        for i in range(lo, hi):
+            start = lo + (i - lo) // p.stride * p.stride
+            at = np.arange(max(lo, start - p.context), i + 1)
+            x = a.E[[a.n if j == lo else classes[j - 1] for j in at]] + a.P[at - start + p.context]
+            q, k, v = x[-1] @ a.A[:, :d], x @ a.A[:, d : 2 * d], x @ a.A[:, 2 * d :]
+            w = np.exp(k @ q / math.sqrt(d))
+            logits = (x[-1] + w @ v / w.sum() @ a.B) @ a.O + a.c
+            logits[:g] += a.D[a.n if i == lo else classes[i - 1]]
+            of = int(classes[i]) // a.size
+            own = logits[g + of * a.size : min(g + (of + 1) * a.size, g + a.n)]
+            out.append(logits[of] + own[classes[i] - of * a.size] - math.log(np.exp(logits[:g]).sum()) - math.log(np.exp(own).sum()))
+    return np.array(out)
+
+
+def test_scores_equal_brute_force():
+    for frequent in (1, 6, 17):  # whole groups, and a last group with free places
+        p = LM(width=8, context=3, stride=4, frequent=frequent, buckets=2)
+        r = np.random.default_rng(frequent)
+        a = Attention(p, np.log(r.dirichlet(np.ones(p.outputs))), seed=1)
+        for k in a.NAMES:
+            setattr(a, k, r.normal(0, 0.7, getattr(a, k).shape).astype(np.float32))
+        classes, first = r.integers(0, p.outputs, 60), np.array([0, 1, 12, 12, 40, 60])
+        assert np.allclose(a.score(classes, first, chunk=5), plain(a, classes, first), atol=1e-4)
+
+
+def test_classes_that_follow_alike_share_a_group():
+    n = 16
+    r = np.random.default_rng(0)
+    kind = r.permutation(n) % 4
+    classes = r.integers(0, n, 1)
+    for _ in range(6000):  # a class of the next kind follows
+        classes = np.append(classes, r.choice(np.flatnonzero(kind == (kind[classes[-1]] + 1) % 4)))
+    number = alike(classes, np.array([0, len(classes)]), n)
+    assert sorted(number) == list(range(n)) and all(len(set(number[kind == k] // group_sizes(n)[0])) == 1 for k in range(4))
+
+
+def test_a_step_costs_far_less_than_all_outputs():
+    def seconds(frequent):
+        p = LM(frequent=frequent)
+        r = np.random.default_rng(0)
+        a, classes = Attention(p, np.zeros(p.outputs)), r.integers(0, p.outputs, 96 * p.stride)
+        w, best = a.windows(np.array([0, len(classes)])), math.inf
+        for _ in range(8):
+            t = time.process_time()
+            a.step(classes, *w)
+            best = min(best, time.process_time() - t)
+        return best
+
+    assert seconds(4032) < 5 * seconds(192)  # 16 times the classes
