@@ -3,8 +3,8 @@
 A text is a sequence of lower-cased words and one end. The model's probability of a word is a mixture, with weights
 fitted by EM on texts kept from the attention's training, of
   attention  the product over the word's subword ids (a public byte-level vocabulary, given by its path; never trained)
-             of a one-head causal self-attention model with a softmax over the most frequent ids, buckets of the
-             others (each with a unigram inside), and the end;
+             of a one-head causal self-attention model with a two-level softmax over the most frequent ids, buckets
+             of the others (each with a unigram inside), and the end;
   words      the relative frequency of the word in the training documents;
   kinds      the same within kinds of documents (languages, say), each by its probability given the words so far. Kinds
              are found on the starting documents; every training document then counts for its most likely kind; and
@@ -15,7 +15,8 @@ once, by batched masked attention over many windows at a time.
 
 What is learnt from the corpus: counts of all words and of all subword ids of all training documents (distributed sums);
 attention weights, started on four fifths of `start_rows` documents and then trained in one streamed pass over all
-training documents, each partition by itself, and averaged by ids seen (one round of federated averaging). Only the
+training documents, each partition by itself, and averaged by ids seen (one round of federated averaging). Which classes
+share a group of the softmax is found on the same four fifths; it bounds the cost only, every class has its outputs. Only the
 last fifth of the starting documents, 300 at most, is kept from it, as the mixture is fitted on these. Averages are
 formed on the executors in at most 64 streams, so the driver sees 64 sets of weights at most. The averaged weights are
 always the model's; `held_out` has what attention alone scores with them and with those of the start.
