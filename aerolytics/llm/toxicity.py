@@ -5,7 +5,7 @@ Features of a text: densities and sums of hits in a fixed list of insults and in
 second person, and rates of capitals, shouted words, exclamation and question marks, punctuation and obfuscation
 (letters mixed with digits or signs, insults after undoing such signs, spelled-out words, drawn-out letters).
 
-Training reads labelled rows only, at most `most_rows` of them, the least by hash. It is cross-fitted at every size: the
+Training reads labelled rows only, at most `most_rows` of them, the least by hash, in one task; the driver gets the model alone. It is cross-fitted at every size: the
 features of a fold's rows come from a lexicon that the other folds taught, and the calibration from the scores of trees
 that the other folds grew; the final lexicon and trees learn from all rows. Boosting starts from a fixed rule on the
 insult list (log odds PRIOR or -PRIOR) and calibration is drawn to the uncalibrated score, so with few labels, one class only or none
@@ -20,6 +20,7 @@ empty table gives no rows; columns other than doc_id and text are not read and c
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -284,17 +285,28 @@ def fit(texts: list[str | None] | pa.ChunkedArray, labels: np.ndarray, part: np.
     return Model(learn_lexicon(seen, total), grown(np.arange(len(texts))), Isotonic().fit(raw, y))
 
 
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of the rows (doc_id, text, toxic) of the one partition that a limit leaves, its parts' values pickled; none without rows."""
+    held = [batch for batch in batches if batch.num_rows]
+    if held:
+        rows = pa.Table.from_batches(held)
+        part = (rows["doc_id"].to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(10)
+        model = fit(rows["text"], (rows["toxic"].to_numpy() > 0).astype(int), part.astype(int))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps([vars(x) for x in (model.lexicon, model.trees, model.calibrated)])], pa.binary())], ["model"])
+
+
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = 8_000, fold: int = 5, held: int = 0) -> Model:
-    """Learns from labelled documents whose crc32(doc_id) mod fold is not `held`: at most most_rows, a bounded sample by hash."""
+    """Learns from labelled documents whose crc32(doc_id) mod fold is not `held`: at most most_rows, a bounded sample by hash.
+    One task of an executor fits the model; neither texts nor counts reach the driver."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").alias("toxic"))
     known = known.filter(crc_of(F.col("id")) % fold != held).orderBy(F.xxhash64("id"), "id").limit(most_rows)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), F.col("doc_id") == F.col("id")).select("doc_id", "text", "toxic")
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most_rows).toArrow()
-    ids = rows["doc_id"].to_numpy()
-    part = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(10)
-    model = fit(rows["text"], (rows["toxic"].to_numpy() > 0).astype(int), part.astype(int))
-    del rows
-    pa.default_memory_pool().release_unused()
+    found = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most_rows).mapInArrow(_fitted, "model binary").collect()
+    if not found:
+        return fit([], np.empty(0, int), np.empty(0, int))
+    model = Model(Lexicon(), Trees(), Isotonic())
+    for part, values in zip((model.lexicon, model.trees, model.calibrated), pickle.loads(found[0].model), strict=True):
+        vars(part).update(values)
     return model
 
 

@@ -1,10 +1,11 @@
+import os
 import re
 import time
 import zlib
 
 import numpy as np
 import pytest
-from aerolytics.llm import registry
+from aerolytics.llm import registry, toxicity
 from aerolytics.llm.toxicity import INSULTS, NAMES, SECOND, Isotonic, Lexicon, Trees, features, fit, scored, train, without_toxic
 
 import fixtures as fx
@@ -71,6 +72,25 @@ def test_awkward_rows(spark):
     assert scored(fx.empty(spark), none).count() == 0 and without_toxic(fx.empty(spark), none).count() == 0
 
 
+def test_labelled_texts_do_not_reach_the_driver(spark, monkeypatch):
+    """An executor fits the model, the same as of the rows in hand; the driver gets nothing else."""
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet").limit(150) for t in ("documents", "labels"))
+    rows = sorted((r.doc_id, r.text, r.toxic) for r in d.select("doc_id", "text").join(labels.select("doc_id", "toxic"), "doc_id").collect() if zlib.crc32(str(r.doc_id).encode()) % 5)
+    part = [(i * 0x9E3779B97F4A7C15 % 2**64 >> 40) % 10 for i, _, _ in rows]
+    want = fit([t for _, t, _ in rows], np.array([int(y > 0) for _, _, y in rows]), np.array(part))
+
+    driver = os.getpid()
+
+    def elsewhere(*of):
+        assert os.getpid() != driver
+        return fit(*of)
+
+    monkeypatch.setattr(toxicity, "fit", elsewhere)
+    got = train(d, labels)
+    texts = [t for _, t, _ in rows]
+    assert len(rows) > 30 and np.allclose(got.score(texts), want.score(texts), atol=1e-6)
+
+
 def test_disguised_insults_count_wherever_they_stand():
     late = " ".join(f"x{i}y" for i in range(3000)) + " 1d1ot st00pid 1d1ot"
     counts = [x[NAMES.index("leet")] for x in features(["1d1ot st00pid 1d1ot", late], Lexicon())]
