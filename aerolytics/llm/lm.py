@@ -106,9 +106,7 @@ class Subwords:
     def encode(self, many: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, first): the ids of word i are ids[first[i]:first[i + 1]]."""
         if self.encoding is None:
-            import tiktoken
-
-            self.encoding = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=dict(self._parse()), special_tokens={})
+            self.encoding = Coded.of(self).encoding
         if not many:
             return np.empty(0, np.int64), np.zeros(1, np.int64)
         text = b" " + b" ".join(many)
@@ -120,6 +118,49 @@ class Subwords:
         return ids, np.append(first, len(ids))
 
 
+class Coded:
+    """The encoding, and the ids of words met before, kept by a process for all its batches and tasks: up to `limit` words."""
+
+    kept: Coded | None = None
+
+    def __init__(self, subwords: Subwords, limit: int = 1 << 20):
+        import tiktoken
+
+        self.ranks, self.limit = subwords.ranks, limit
+        self.encoding = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=dict(subwords._parse()), special_tokens={})
+        self.words = np.empty(0, np.uint64)  # hashes, ascending
+        self.first, self.length = np.empty(0, np.int32), np.empty(0, np.int32)  # their places in ids
+        self.ids, self.used = np.empty(1 << 16, np.int32), 0
+
+    @classmethod
+    def of(cls, subwords: Subwords) -> Coded:
+        if cls.kept is None or cls.kept.ranks != subwords.ranks:
+            cls.kept = cls(subwords)
+        return cls.kept
+
+    def __call__(self, subwords: Subwords, hashes: np.ndarray, raw: bytes, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, first, length) for words of ascending hashes that stand in `raw` from `starts` to `stops`, and then the end."""
+        at = np.searchsorted(self.words, hashes)
+        near = np.minimum(at, len(self.words) - 1)
+        new = np.flatnonzero(self.words[near] != hashes) if len(self.words) else np.arange(len(hashes))
+        ids, cut = subwords.encode([raw[a:b].lower() for a, b in zip(starts[new].tolist(), stops[new].tolist(), strict=True)])
+        first, length = np.empty(len(hashes) + 1, np.int64), np.ones(len(hashes) + 1, np.int64)
+        if len(self.words):
+            first[:-1], length[:-1] = self.first[near], self.length[near]
+        used = self.used
+        first[new], length[new] = used + cut[:-1], np.diff(cut)
+        first[-1] = used + len(ids)
+        # the new ones, then the end, are written after those that are kept; they stay if there is room
+        if used + len(ids) + 1 > len(self.ids):
+            self.ids = np.concatenate([self.ids[:used], np.empty(used // 2 + len(ids) + 1, np.int32)])
+        self.ids[used : used + len(ids)], self.ids[used + len(ids)] = ids, subwords.end
+        if len(self.words) + len(new) <= self.limit:
+            self.words = np.insert(self.words, at[new], hashes[new])
+            self.first, self.length = np.insert(self.first, at[new], first[new]), np.insert(self.length, at[new], length[new])
+            self.used += len(ids)
+        return self.ids, first, length
+
+
 class Read:
     """A batch of texts as words and subword ids, ends included."""
 
@@ -136,15 +177,13 @@ class Read:
         self.which[self.order] = np.cumsum(new) - 1
         if subwords is None:
             return
-        raw = data.tobytes()
-        ids, cut = subwords.encode([raw[a:b].lower() for a, b in zip(starts[at].tolist(), stops[at].tolist(), strict=True)])
-        ids, cut = np.append(ids, subwords.end), np.append(cut, len(ids) + 1)
+        ids, begin, many = Coded.of(subwords)(subwords, self.distinct, data.tobytes(), starts[at], stops[at])
         # the distinct word after the last is the end; one follows every text's words
         self.word = np.insert(self.which, first[1:], len(self.distinct))
         self.word_first = first + np.arange(len(first))
-        length = np.diff(cut)[self.word]
+        length = many[self.word]
         self.piece_first = np.append(0, np.cumsum(length))
-        self.ids = ids[np.repeat(cut[:-1][self.word] - self.piece_first[:-1], length) + np.arange(int(length.sum()))]
+        self.ids = ids[np.repeat(begin[self.word] - self.piece_first[:-1], length) + np.arange(int(length.sum()))].astype(np.int64)
         self.id_first = self.piece_first[self.word_first]
 
 
@@ -512,17 +551,21 @@ class Model:
     def kind_logs(self, r: Read, counts: np.ndarray, by_kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of each word and end: its natural log probability by the kinds, weighed by the words of the text before it; and the likeliest kind by these."""
         known = counts > 0
-        table = np.zeros((len(known), len(self.prior)))
-        table[known] = np.log((by_kind[known] + 1000 * (counts[known] / self.tokens)[:, None]) / (self.of_kind + 1000))
-        own = table[r.word]  # 0 for words that no training document has: they say nothing of the kind
-        sums = np.zeros((len(own) + 1, own.shape[1]))
-        np.cumsum(own, axis=0, out=sums[1:])
-        seen = sums[:-1] - sums[r.word_first[:-1]][r.places()[0]] + np.log(self.prior)
-        likeliest = seen.argmax(axis=1)
-        seen -= seen[np.arange(len(seen)), likeliest][:, None]
+        table = np.zeros((len(self.prior), len(known)))  # a row for each kind
+        table[:, known] = np.log((by_kind[known].T + 1000 * counts[known] / self.tokens) / (self.of_kind + 1000)[:, None])
+        own = table.take(r.word, axis=1)  # 0 for words that no training document has: they say nothing of the kind
+        seen = np.zeros((len(own), own.shape[1] + 1))
+        np.cumsum(own, axis=1, out=seen[:, 1:])
+        starts = seen.take(r.word_first[:-1], axis=1) - np.log(self.prior)[:, None]
+        seen = seen[:, :-1]
+        seen -= np.repeat(starts, np.diff(r.word_first), axis=1)
+        likeliest = seen.argmax(axis=0)
+        seen -= seen.max(axis=0)
         np.exp(seen, out=seen)
+        own = np.exp(table).take(r.word, axis=1)
+        own *= seen
         with np.errstate(divide="ignore"):
-            return np.where(known[r.word], np.log((seen * np.exp(own)).sum(axis=1) / seen.sum(axis=1)), -np.inf), likeliest
+            return np.where(known[r.word], np.log(own.sum(axis=0) / seen.sum(axis=0)), -np.inf), likeliest
 
     def word_logs(self, r: Read, rare: Rare | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Natural logs of the four parts [part, word or end] of the batch, and counts of the distinct words and the end."""
@@ -537,7 +580,11 @@ class Model:
         return out, counts
 
     def mixed(self, logs: np.ndarray, stage: np.ndarray) -> np.ndarray:
-        return np.logaddexp.reduce(np.log(self.mixture)[stage].T + logs, axis=0)
+        parts = np.log(self.mixture).T.take(stage, axis=1)
+        parts += logs
+        top = parts.max(axis=0)  # that of attention is finite
+        parts -= top
+        return np.log(np.exp(parts, out=parts).sum(axis=0)) + top
 
 
 def classes(seen: np.ndarray, subwords: Subwords, p: LM) -> tuple[np.ndarray, np.ndarray]:

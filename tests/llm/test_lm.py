@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from aerolytics.llm import registry
-from aerolytics.llm.lm import LM, VOCABULARY, Attention, Read, Subwords, alike, group_sizes, score_documents, train
+from aerolytics.llm.lm import LM, VOCABULARY, Attention, Coded, Read, Subwords, alike, group_sizes, score_documents, train
 from pyspark.sql import functions as F
 
 import fixtures as fx
@@ -223,3 +223,21 @@ def test_a_step_costs_far_less_than_all_outputs():
         return best
 
     assert seconds(4032) < 5 * seconds(192)  # 16 times the classes
+
+
+def test_a_process_encodes_a_word_once(subwords, monkeypatch):
+    asked, encode = [], Subwords.encode
+    monkeypatch.setattr(Subwords, "encode", lambda self, many: asked.append(len(many)) or encode(self, many))
+    parts = [pa.array(x) for x in (["Hello wörld 漢字!", None, "a\xa0b \x1c x y"], ["", "hello more words of wörld"], ["hello " * 9 + "x"])]
+    whole = {}
+    for limit in (1 << 20, 4, 0):  # room for all words, for some batches, for none
+        monkeypatch.setattr(Coded, "kept", Coded(subwords, limit))
+        for again in range(2):
+            for i, part in enumerate(parts):
+                r = Read(part, subwords)
+                assert np.array_equal(r.ids, whole.setdefault(i, r.ids)) and r.ids.dtype == np.int64
+                assert not (again and limit > 4) or asked[-1] == 0
+        assert len(Coded.kept.words) <= limit
+    fresh = pa.array(["more wörld", "漢字!"])
+    monkeypatch.setattr(Coded, "kept", None)
+    assert Read(fresh, subwords).ids.tolist() == [i for t in ("more wörld", "漢字!") for i in [*Coded.kept.encoding.encode_ordinary(" " + t), subwords.end]]
